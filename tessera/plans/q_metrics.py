@@ -1,0 +1,3 @@
+"""q_metrics queries."""
+
+from __future__ import annotations
