@@ -24,7 +24,7 @@ def _null_when(cond, c):
 
 # ------------------------------------------------------------------ lineitem with gaps
 # Fixed rule (both engines): l_quantity missing when l_orderkey % 17 = 0,
-# l_tax when % 29 = 0, l_returnflag when % 31 = 0.
+# l_discount when % 37 = 0, l_tax when % 29 = 0, l_returnflag when % 31 = 0.
 
 def lineitem_na(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
@@ -32,7 +32,8 @@ def lineitem_na(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
         _null_when(k % 17 == 0, F.col("l_quantity")).alias("l_quantity"),
-        "l_extendedprice", "l_discount",
+        "l_extendedprice",
+        _null_when(k % 37 == 0, F.col("l_discount")).alias("l_discount"),
         _null_when(k % 29 == 0, F.col("l_tax")).alias("l_tax"),
         _null_when(k % 31 == 0, F.col("l_returnflag")).alias("l_returnflag"),
         "l_linestatus", "l_shipdate",
@@ -42,7 +43,8 @@ def lineitem_na(spark: SparkSession, sf_dir: str) -> DataFrame:
 LINEITEM_NA_SQL = """
 SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber,
        CASE WHEN l_orderkey % 17 = 0 THEN NULL ELSE l_quantity END AS l_quantity,
-       l_extendedprice, l_discount,
+       l_extendedprice,
+       CASE WHEN l_orderkey % 37 = 0 THEN NULL ELSE l_discount END AS l_discount,
        CASE WHEN l_orderkey % 29 = 0 THEN NULL ELSE l_tax END AS l_tax,
        CASE WHEN l_orderkey % 31 = 0 THEN NULL ELSE l_returnflag END AS l_returnflag,
        l_linestatus, l_shipdate

@@ -125,7 +125,7 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
        round(1.0 - 1.0 / (1.0 + exp(-{RISK_Z_SQL})), 6) AS proba_low,
        round(1.0 / (1.0 + exp(-{RISK_Z_SQL})), 6) AS proba_high,
        CASE WHEN 1.0 / (1.0 + exp(-{RISK_Z_SQL})) > 0.5 THEN 'high' ELSE 'low' END AS risk_prediction
-FROM src WHERE l_tax IS NOT NULL""")
+FROM src WHERE l_tax IS NOT NULL AND l_discount IS NOT NULL""")
 def q_score_probability(spark, sf_dir):
     man = Manifest(id="risk", name="Risk", problem_type="classification",
                    features=(FeatureSpec("l_discount"), FeatureSpec("l_tax")), prediction_column="risk_prediction")
