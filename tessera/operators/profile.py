@@ -135,10 +135,8 @@ def shape(df: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------------- text tables
 
-def infer_types(text_df: DataFrame) -> DataFrame:
-    """P2/P3 over a table of strings (as read from a text file, NA already nulled):
-    per column the narrowest type that every present value parses as -- bigint, then
-    double, then boolean, else string -- in one aggregate."""
+def infer_aggs(text_df: DataFrame) -> list:
+    """Per column: present count and how many present values read as bigint / double / boolean."""
     aggs = []
     for i, f in enumerate(text_df.schema.fields):
         c = col(f.name)
@@ -148,11 +146,31 @@ def infer_types(text_df: DataFrame) -> DataFrame:
             F.count_if(c.rlike(FLOAT_PATTERN) | c.rlike(INF_PATTERN)).alias(f"d{i}"),
             F.count_if(c.isin(*(TRUE_TOKENS + FALSE_TOKENS))).alias(f"b{i}"),
         ]
-    wide = text_df.agg(*aggs)
+    return aggs
+
+
+def type_from_counts(n, i, d, b) -> str:
+    """The narrowest type every present value parses as (an all-missing column reads as float)."""
+    if n == 0:
+        return "double"
+    if i == n:
+        return "bigint"
+    if d == n:
+        return "double"
+    if b == n:
+        return "boolean"
+    return "string"
+
+
+def infer_types(text_df: DataFrame) -> DataFrame:
+    """P2/P3 over a table of strings (as read from a text file, NA already nulled):
+    per column the narrowest type that every present value parses as -- bigint, then
+    double, then boolean, else string -- in one aggregate."""
+    wide = text_df.agg(*infer_aggs(text_df))
     rows = []
     for i, f in enumerate(text_df.schema.fields):
         n = F.col(f"n{i}")
-        t = (F.when(n == 0, F.lit("double"))  # an all-missing column reads as float
+        t = (F.when(n == 0, F.lit("double"))
              .when(F.col(f"i{i}") == n, F.lit("bigint"))
              .when(F.col(f"d{i}") == n, F.lit("double"))
              .when(F.col(f"b{i}") == n, F.lit("boolean"))
