@@ -84,6 +84,22 @@ class FlatTrees:
                             lambda acc, t: acc + t["w"] * F.element_at(value, self.leaf_expr(t["r"], x) + 1))
         return total + F.lit(float(self.base))
 
+    def leaf_on_array(self, root: Column, arr: Column) -> Column:
+        """Leaf index reached from ``root`` for a row whose inputs are the array ``arr``."""
+        return self.leaf_expr(root, F.transform(arr, lambda v: v.cast("double")))
+
+    def predict_on_array(self, arr: Column) -> Column:
+        """Weighted sum of leaf values over all trees for inputs given as one array column."""
+        if not self.roots:
+            return F.lit(0.0)
+        x = F.transform(arr, lambda v: v.cast("double"))
+        value = self._arrays()[4]
+        pairs = F.arrays_zip(F.array(*[F.lit(int(r)) for r in self.roots]).alias("r"),
+                             F.array(*[F.lit(float(w)) for w in self.weights]).alias("w"))
+        return F.aggregate(pairs, F.lit(0.0),
+                           lambda acc, t: acc + t["w"] * F.element_at(value, self.leaf_expr(t["r"], x) + 1)) \
+            + F.lit(float(self.base))
+
     def leaves_expr(self) -> Column:
         """Array of the leaf index reached in every tree (used for per-tree votes)."""
         x = F.array(*[F.coalesce(col(c).cast("double"), F.lit(float("nan"))) for c in self.features])
