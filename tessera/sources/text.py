@@ -18,7 +18,6 @@ from pyspark.sql import types as T
 from tessera.functions.columns import na_token_to_null, q
 from tessera.operators.profile import apply_types, infer_aggs, type_from_counts
 from tessera.operators.score import ValidationError
-from tessera.session import sql_conf
 
 DATASET_ENCODINGS = ("utf-8-sig", "utf-8", "cp950", "big5")
 SCORING_ENCODINGS = ("utf-8",)
@@ -59,19 +58,27 @@ def detect_encoding(spark: SparkSession, path: str, encodings=DATASET_ENCODINGS)
             if ok == 1:
                 return enc
             continue
-        with sql_conf(spark, **{"spark__sql__legacy__javaCharsets": "true"}):
-            decoded = (spark.read.option("encoding", _JAVA_CHARSET[enc]).option("header", False)
-                       .option("sep", "\u0001").csv(path))
-            bad = decoded.agg(F.count_if(F.col(decoded.columns[0]).contains("\ufffd")).alias("bad")).first()["bad"]
+        allow_java_charsets(spark)
+        decoded = (spark.read.option("encoding", _JAVA_CHARSET[enc]).option("header", False)
+                   .option("sep", "\u0001").csv(path))
+        bad = decoded.agg(F.count_if(F.col(decoded.columns[0]).contains("\ufffd")).alias("bad")).first()["bad"]
         if bad == 0:
             return enc
     raise ValidationError(f"input cannot be decoded as any of {', '.join(encodings)}")
 
 
+def allow_java_charsets(spark: SparkSession) -> None:
+    """Legacy code pages (MS950, Big5) need ``spark.sql.legacy.javaCharsets``. Reads are
+    lazy, so the setting must hold while the returned DataFrame runs: it is switched on
+    for the session (it only widens the accepted charset names) and never switched off."""
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+
+
 def _header(spark: SparkSession, path: str, encoding: str, sep: str) -> list[str]:
-    with sql_conf(spark, **{"spark__sql__legacy__javaCharsets": "true"}):
-        first = (spark.read.option("encoding", _JAVA_CHARSET[encoding]).option("sep", "\u0001")
-                 .option("header", False).csv(path).first())
+    if not encoding.startswith("utf-8"):
+        allow_java_charsets(spark)
+    first = (spark.read.option("encoding", _JAVA_CHARSET[encoding]).option("sep", "\u0001")
+             .option("header", False).csv(path).first())
     line = first[0] if first is not None else ""
     line = line.lstrip("\ufeff")
     return next(csv.reader(io.StringIO(line), delimiter=sep), [])
@@ -86,14 +93,15 @@ def read_strings(spark: SparkSession, path: str, encoding: str = "utf-8", sep: s
         raise ValidationError("input has no header")
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names] +
                           [T.StructField(CORRUPT, T.StringType())])
-    with sql_conf(spark, **{"spark__sql__legacy__javaCharsets": "true"}):
-        return (spark.read.schema(schema).option("header", True).option("enforceSchema", True)
-                .option("encoding", _JAVA_CHARSET[encoding]).option("sep", sep)
-                .option("multiLine", multi_line).option("mode", "PERMISSIVE")
-                .option("columnNameOfCorruptRecord", CORRUPT)
-                # keep empty and NA-like cells as text; the NA rule below decides
-                .option("nullValue", "\u0000__none__").option("emptyValue", "")
-                .csv(path))
+    if not encoding.startswith("utf-8"):
+        allow_java_charsets(spark)
+    return (spark.read.schema(schema).option("header", True).option("enforceSchema", True)
+            .option("encoding", _JAVA_CHARSET[encoding]).option("sep", sep)
+            .option("multiLine", multi_line).option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", CORRUPT)
+            # keep empty and NA-like cells as text; the NA rule below decides
+            .option("nullValue", "\u0000__none__").option("emptyValue", "")
+            .csv(path))
 
 
 def read_table(spark: SparkSession, path: str, encodings=DATASET_ENCODINGS, sep: str = ",",
@@ -107,7 +115,12 @@ def read_table(spark: SparkSession, path: str, encodings=DATASET_ENCODINGS, sep:
     cleaned = raw.select(*[na_token_to_null(F.col(q(c))).alias(c) for c in cols], F.col(CORRUPT))
     text = cleaned.drop(CORRUPT)
     # one aggregate: row count, corrupt rows and the type evidence of every column
-    row = cleaned.agg(F.count(F.lit(1)).alias("_rows"), F.count(F.col(CORRUPT)).alias("_corrupt"),
+    # Spark flags short and long rows alike; a row is too long when its raw text, parsed
+    # with one spare column, fills that column (short rows are padded with nulls)
+    wider = ", ".join(f"c{i} STRING" for i in range(len(cols) + 1))
+    extra = F.from_csv(F.col(CORRUPT), wider, {"sep": sep})[f"c{len(cols)}"]
+    row = cleaned.agg(F.count(F.lit(1)).alias("_rows"),
+                      F.count_if(F.col(CORRUPT).isNotNull() & extra.isNotNull()).alias("_corrupt"),
                       *infer_aggs(text)).first()
     if row["_rows"] == 0:
         raise ValidationError("input must contain at least one data row")
