@@ -77,7 +77,13 @@ class AdaBoostModel:
 
 
 def _cut_lineage(data: DataFrame, t: int, interval: int, prev):
-    data = data.checkpoint(eager=True) if (t + 1) % interval == 0 else data.persist(StorageLevel.MEMORY_AND_DISK)
+    """Persist (or every ``interval`` rounds checkpoint) the new weighted frame, and
+    materialise it before its parent is released so the parent is never recomputed."""
+    if (t + 1) % interval == 0:
+        data = data.checkpoint(eager=True)
+    else:
+        data = data.persist(StorageLevel.MEMORY_AND_DISK)
+        data.count()
     if prev is not None:
         prev.unpersist()
     return data

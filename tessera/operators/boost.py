@@ -160,7 +160,7 @@ def fit_newton_boost(df: DataFrame, features_col: str, label_col: str, params: N
         .select("_bins", "_y", F.xxhash64(F.col("_bins"), F.col("_y"), F.monotonically_increasing_id()).alias("_rid"))
     data = data.withColumn("_m", F.array(*[F.lit(b) for b in base]))
     data = data.checkpoint(eager=True)
-    prev = None
+    prev = older = None
     for t in range(p.n_estimators):
         cur = data
         if p.subsample < 1.0:
@@ -169,7 +169,10 @@ def fit_newton_boost(df: DataFrame, features_col: str, label_col: str, params: N
         gh = [_grad_hess(p.objective, F.col("_m"), F.col("_y"), k, K) for k in range(K)]
         cur = cur.select("_bins", *[g.alias(f"_g{k}") for k, (g, _) in enumerate(gh)],
                          *[h.alias(f"_h{k}") for k, (_, h) in enumerate(gh)])
+        # gradients are read by every level of this round's trees: keep them once
+        cur = cur.persist(StorageLevel.MEMORY_AND_DISK)
         new_trees = [_grow_tree(cur, k, p, n_features, n_bins) for k in range(K)]
+        cur.unpersist()
         for k, nodes in enumerate(new_trees):
             model.trees[k].add_tree(nodes, weight=1.0)
         # advance the margin by this round's trees (one projection), then cut lineage
@@ -182,27 +185,33 @@ def fit_newton_boost(df: DataFrame, features_col: str, label_col: str, params: N
             data = data.checkpoint(eager=True)
         else:
             data = data.persist(StorageLevel.MEMORY_AND_DISK)
-        if prev is not None and prev is not data:
-            prev.unpersist()
-        prev = data
+        # the new frame is computed from ``prev`` by the next round's first job; release
+        # the frame before it only then (unpersisting a parent early forces recomputation)
+        if older is not None:
+            older.unpersist()
+        older, prev = prev, data
+    for frame in (older, prev):
+        if frame is not None:
+            frame.unpersist()
     return model
 
 
 def _grow_tree(rows: DataFrame, k: int, p: NewtonBoostParams, n_features: int, n_bins: int) -> list[dict]:
     """Grow one tree level by level; returns nodes with leaf values (already scaled by
-    the learning rate) in the FlatTrees local format."""
-    nodes = [{"feat": -1, "thr": 0.0, "left": -1, "right": -1, "value": 0.0, "G": None, "H": None}]
+    the learning rate) in the FlatTrees local format.
+
+    One histogram job per level (levels 0 .. max_depth-1). A child's gradient and
+    hessian sums are read off its parent's histogram (cumulative sums up to the split
+    bin), so the deepest leaves need no extra pass."""
+    def new_node(G=None, H=None):
+        return {"feat": -1, "thr": 0.0, "left": -1, "right": -1, "value": 0.0, "G": G, "H": H}
+
+    nodes = [new_node()]
     frontier = [0]
-    for depth in range(p.max_depth + 1):
+    for depth in range(p.max_depth):
         partial = FlatTrees(features=[])
         partial.add_tree([{kk: n[kk] for kk in ("feat", "thr", "left", "right", "value")} for n in nodes])
         node_of = partial.leaf_on_array(F.lit(0), F.col("_bins")) if depth > 0 else F.lit(0)
-        if depth == p.max_depth:
-            leaf = rows.select(node_of.alias("_n"), F.col(f"_g{k}").alias("g"), F.col(f"_h{k}").alias("h")) \
-                .groupBy("_n").agg(F.sum("g").alias("G"), F.sum("h").alias("H")).collect()
-            for r in leaf:
-                nodes[r["_n"]]["G"], nodes[r["_n"]]["H"] = r["G"], r["H"]
-            break
         hist_df = (rows.select(node_of.alias("_n"), F.posexplode("_bins").alias("_f", "_b"),
                                F.col(f"_g{k}").alias("g"), F.col(f"_h{k}").alias("h"))
                    .groupBy("_n", "_f", "_b").agg(F.sum("g").alias("G"), F.sum("h").alias("H")))
@@ -216,14 +225,16 @@ def _grow_tree(rows: DataFrame, k: int, p: NewtonBoostParams, n_features: int, n
         best = _best_splits(hist, p.reg_lambda, p.gamma, p.min_child_weight)
         nxt = []
         for n, b in zip(frontier, best):
-            G, H = hist[slot[n], 0, :, 0].sum(), hist[slot[n], 0, :, 1].sum()
+            h = hist[slot[n]]
+            G, H = h[0, :, 0].sum(), h[0, :, 1].sum()
             nodes[n]["G"], nodes[n]["H"] = G, H
             if b is None:
                 continue
             _, f, thr_bin = b
+            GL, HL = h[f, : thr_bin + 1, 0].sum(), h[f, : thr_bin + 1, 1].sum()
             li, ri = len(nodes), len(nodes) + 1
-            nodes.append({"feat": -1, "thr": 0.0, "left": -1, "right": -1, "value": 0.0, "G": None, "H": None})
-            nodes.append({"feat": -1, "thr": 0.0, "left": -1, "right": -1, "value": 0.0, "G": None, "H": None})
+            nodes.append(new_node(GL, HL))
+            nodes.append(new_node(G - GL, H - HL))
             # rows go left when bin <= thr_bin (bins are compared as doubles by the walker)
             nodes[n].update(feat=f, thr=float(thr_bin), left=li, right=ri)
             nxt += [li, ri]

@@ -265,7 +265,7 @@ def prepare_training_frame(df: DataFrame, spec: TrainSpec):
     return data, numeric, categorical, labels
 
 
-def train(df: DataFrame, spec: TrainSpec, parallelism: int = 3) -> TrainResult:
+def train(df: DataFrame, spec: TrainSpec, parallelism: int | None = None) -> TrainResult:
     data, numeric, categorical, labels = prepare_training_frame(df, spec)
     keys = spec.key_cols or [c for c in df.columns]
     k = spec.cv_folds
@@ -285,7 +285,8 @@ def train(df: DataFrame, spec: TrainSpec, parallelism: int = 3) -> TrainResult:
         m = fit_pipeline(folded.filter(F.col("fold") != f), spec, numeric, categorical, labels)
         return m.transform(folded.filter(F.col("fold") == f))
 
-    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, k))) as pool:
+    # fold fits are independent: submit them together so their (small) jobs share the cluster
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism or k, k))) as pool:
         parts = list(pool.map(fold_fit, range(k)))
     oof = parts[0]
     for part in parts[1:]:
