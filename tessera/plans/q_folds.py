@@ -115,3 +115,21 @@ def q_metric_roc_auc(spark, sf_dir):
     lab = table(spark, sf_dir, "labels")
     docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
     return M.roc_auc(lab.join(docs, "doc_id"), "quality", "n_chars")
+
+
+@query("ols_fit_score", f"""
+WITH src AS ({ORDERS_NA_SQL}),
+fit AS (SELECT regr_slope(o_totalprice, o_custkey) AS slope, regr_intercept(o_totalprice, o_custkey) AS icpt
+        FROM src WHERE o_custkey IS NOT NULL AND o_totalprice IS NOT NULL)
+SELECT o_orderkey, round(fit.icpt + fit.slope * o_custkey, 4) AS prediction
+FROM src, fit WHERE o_custkey IS NOT NULL""")
+def q_ols_fit_score(spark, sf_dir):
+    """Fit on rows with both values, score every row that has the feature. The fit
+    is a one-row aggregate used through scalar subqueries (no join)."""
+    o = orders_na(spark, sf_dir)
+    fit = ols_fit(o, "o_custkey", "o_totalprice")
+    # one scalar subquery carrying both coefficients (the fit runs once)
+    coef = fit.select(F.struct("slope", "intercept").alias("c")).scalar()
+    slope, icpt = coef.getField("slope"), coef.getField("intercept")
+    return o.filter(F.col("o_custkey").isNotNull()).select(
+        "o_orderkey", F.round(icpt + slope * F.col("o_custkey"), 4).alias("prediction"))
