@@ -143,3 +143,17 @@ def q_log_valid_request_id(spark, sf_dir):
             .when(i % 5 == 2, F.concat(F.lit("bad id "), i.cast("string"))).when(i % 5 == 3, F.repeat(F.lit("a"), 130))
             .otherwise(F.col("props")))
     return J.request_id_check(e.select("event_id", cand.alias("request_id")), "request_id").select("event_id", "valid")
+
+
+@query("stream_job_state", f"WITH {JOBS_SQL} SELECT job_id, status, attempt, first_seq, last_seq FROM st")
+def q_stream_job_state(spark, sf_dir):
+    """J3 as a streaming aggregation over the events table read as a file stream."""
+    from tessera.session import scratch_path
+    from tessera.streaming.scoring import job_state_stream
+    schema = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir.rstrip('/')}/events.parque[t]")  # a glob: file streams watch folders
+    ev = stream.select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"),
+                       lifecycle_state(F.col("event_type")).alias("state"))
+    out, ck = scratch_path(spark, "job_state"), scratch_path(spark, "job_state_ck")
+    job_state_stream(ev, out, ck).awaitTermination()
+    return spark.read.parquet(out)

@@ -199,3 +199,24 @@ def q_score_multi_model(spark, sf_dir):
                                                  (F.col("l_suppkey") % 30).alias("model_id"))
     return score_by_model_table(li, model_table(spark, sf_dir), feature="l_quantity").select(
         *KEY_COLS, "model_id", "status", "prediction")
+
+
+# ------------------------------------------------------------------ streaming
+@query("stream_score_records", """
+WITH r AS (SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k,
+                  CASE WHEN event_id % 41 = 0 THEN NULL ELSE value END AS value FROM events)
+SELECT event_id, k, value, round(3.0 + 0.5 * k, 4) AS prediction FROM r WHERE k IS NOT NULL""")
+def q_stream_score_records(spark, sf_dir):
+    """X11 over Structured Streaming: the events table read as a file stream, scored
+    batch by batch with the batch operator, appended to a table, read back."""
+    from tessera.session import scratch_path
+    from tessera.streaming.scoring import score_stream
+    schema = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir.rstrip('/')}/events.parque[t]")  # a glob: file streams watch folders
+    parsed = F.from_json("props", T.StructType([T.StructField("k", T.LongType())]))
+    records = stream.select("event_id", parsed["k"].alias("k"),
+                            F.when(F.col("event_id") % 41 == 0, F.lit(None)).otherwise(F.col("value")).alias("value"))
+    man = Manifest(id="json", name="json", features=(FeatureSpec("k", "int64"),))
+    out, hist, ck = scratch_path(spark, "stream_out"), scratch_path(spark, "stream_hist"), scratch_path(spark, "stream_ck")
+    score_stream(records, man, JSON_MODEL, out, hist, ck).awaitTermination()
+    return spark.read.parquet(out).select("event_id", "k", "value", "prediction")
