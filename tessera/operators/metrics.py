@@ -20,11 +20,14 @@ def _safe_div(a: Column, b: Column) -> Column:
     return F.try_divide(a, b)
 
 
-def regression_terms(y: Column, p: Column) -> list[Column]:
-    """Partial aggregates from which every regression metric is derived."""
+def regression_terms(y: Column, p: Column, mask: Column | None = None) -> list[Column]:
+    """Partial aggregates from which every regression metric is derived. With ``mask``,
+    only rows where it holds count (so one aggregate can also carry other counts)."""
+    if mask is not None:
+        y, p = F.when(mask, y), F.when(mask, p)
     e = p - y
     return [
-        F.count(F.lit(1)).alias("_n"),
+        F.count(e).alias("_n"),
         F.avg(F.abs(e)).alias("_mae"),
         F.avg(F.abs(e) / F.greatest(F.abs(y), F.lit(MAPE_EPSILON))).alias("_mape"),
         F.avg(e * e).alias("_mse"),

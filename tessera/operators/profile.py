@@ -72,6 +72,14 @@ def column_stats(df: DataFrame, accuracy: int | None = None) -> DataFrame:
     return wide.select(F.explode(F.array(*rows)).alias("s")).select("s.*")
 
 
+def column_stats_schema() -> T.StructType:
+    d, lg = T.DoubleType(), T.LongType()
+    return T.StructType([T.StructField("position", T.IntegerType()), T.StructField("name", T.StringType()),
+                         T.StructField("raw_dtype", T.StringType()), T.StructField("ml_type", T.StringType()),
+                         T.StructField("n", lg), T.StructField("missing_count", lg)] +
+                        [T.StructField(c, d) for c in ("minimum", "maximum", "mean", "std", "q1", "median", "q3")])
+
+
 def value_stats(df: DataFrame) -> DataFrame:
     """Pass 1b: per column position, the number of distinct present values and the mode
     rendered as text (most frequent; ties -> smallest, numeric order for numbers)."""
@@ -116,7 +124,8 @@ def outlier_stats(df: DataFrame, stats: DataFrame) -> DataFrame:
 def profile(df: DataFrame, accuracy: int | None = None) -> DataFrame:
     """Whole-table profile (P14). ``accuracy`` switches quartiles to percentile_approx
     (bounded memory per column at very large scale); default is exact."""
-    stats = column_stats(df, accuracy).cache()
+    # one row per column: collected once and reused, so the wide aggregate runs once
+    stats = df.sparkSession.createDataFrame(column_stats(df, accuracy).collect(), column_stats_schema())
     values = value_stats(df)
     outliers = outlier_stats(df, stats)
     out = (stats.join(F.broadcast(values), stats.position == values.pos, "left").drop("pos")

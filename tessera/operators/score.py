@@ -203,7 +203,14 @@ def score(df: DataFrame, manifest: Manifest, model, ground_truth: str | None = N
                                  F.round(F.col("_raw_pred").cast("double") - col(gt).cast("double"), 4))
 
     metrics = None
-    if gt:
+    if gt and not manifest.is_classification and not hasattr(model, "transform"):
+        # expression models: guards and metrics in one aggregate over one scan, the
+        # metric terms masked to the kept rows
+        yv, pv = col(gt).cast("double"), model.predict().cast("double")
+        one = flagged.agg(F.count(F.lit(1)).alias("_rows_in"), F.count_if(F.col("_keep")).alias("_rows"), *bad,
+                          *M.regression_terms(yv, pv, mask=F.col("_keep")))
+        metrics = _guard_columns(one, manifest).select("rows", "dropped_rows", *M.regression_columns())
+    elif gt:
         guards = [F.count(F.lit(1)).alias("_rows_in"), F.count_if(F.col("_keep")).alias("_rows")] + bad
         guard_row = flagged.agg(*guards)
         if manifest.is_classification:
@@ -216,6 +223,18 @@ def score(df: DataFrame, manifest: Manifest, model, ground_truth: str | None = N
     return ScoreResult(out.select(*[col(c) for c in keep_cols]), metrics, gt)
 
 
+def _guard_columns(row: DataFrame, manifest: Manifest) -> DataFrame:
+    """rows (raising inside the job when a guard fails) and dropped_rows from the guard counts."""
+    checks = F.when(F.col("_rows_in") == 0, F.raise_error(F.lit("input must contain at least one data row")))
+    for i, f in enumerate(manifest.features):
+        if f.numeric:
+            checks = checks.when(F.col(f"_bad_{i}") > 0,
+                                 F.raise_error(F.lit(f"column '{f.name}' must contain {f.dtype} values")))
+    checks = checks.when(F.col("_rows") == 0, F.raise_error(F.lit("no rows left after dropping missing values")))
+    return row.withColumn("rows", checks.otherwise(F.col("_rows")).cast("long")) \
+        .withColumn("dropped_rows", (F.col("_rows_in") - F.col("_rows")).cast("long"))
+
+
 def _attach_guards(metrics: DataFrame, guard_row: DataFrame, manifest: Manifest) -> DataFrame:
     """Both inputs are single-row aggregates; they are stacked through one union and
     folded by one aggregate (no join). A failed guard raises inside the job through the
