@@ -285,13 +285,15 @@ def train(df: DataFrame, spec: TrainSpec, parallelism: int | None = None) -> Tra
         m = fit_pipeline(folded.filter(F.col("fold") != f), spec, numeric, categorical, labels)
         return m.transform(folded.filter(F.col("fold") == f))
 
-    # fold fits are independent: submit them together so their (small) jobs share the cluster
-    with ThreadPoolExecutor(max_workers=max(1, min(parallelism or k, k))) as pool:
+    # the k fold fits and the final refit are independent: submit them together so their
+    # jobs share the cluster instead of queueing one after another
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism or (k + 1), k + 1))) as pool:
+        refit = pool.submit(fit_pipeline, folded, spec, numeric, categorical, labels)
         parts = list(pool.map(fold_fit, range(k)))
+        model = refit.result()
     oof = parts[0]
     for part in parts[1:]:
         oof = oof.unionByName(part)
-    model = fit_pipeline(folded, spec, numeric, categorical, labels)
     return TrainResult(model, validation_metrics(oof, spec, labels), oof)
 
 
