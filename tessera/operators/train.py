@@ -200,6 +200,23 @@ def _fit_custom(spec: TrainSpec, data: DataFrame, n_features: int, n_classes: in
     raise ValueError(f"unknown algorithm {a}")
 
 
+def _maybe_prune(model, spec: TrainSpec, spark, n_rows: int, n_classes: int):
+    """Forests with min_samples_split / max_leaf_nodes: prune after growth (Spark has no
+    such growth limits) and score with the flat-tree walker."""
+    hp = spec.hyperparameters
+    if spec.algorithm not in ("random_forest", "random_forest_classifier"):
+        return model
+    mss, mln = hp.get("min_samples_split"), hp.get("max_leaf_nodes")
+    if mss is None and mln is None:
+        return model
+    from tessera.operators.prune import prune_forest
+    if mss is not None:
+        v = float(mss)
+        mss = int(math.ceil(v * n_rows)) if v < 1 else int(v)
+    mln = int(float(mln)) if mln is not None else None
+    return _CustomEstimatorModel(prune_forest(model, spark, spec.classification, n_classes, mss, mln))
+
+
 def fit_pipeline(train: DataFrame, spec: TrainSpec, numeric: list[str], categorical: list[str],
                  labels: list[str] | None) -> FittedPipeline:
     """Fit preprocessing and the estimator on ``train`` (which carries a 'label' column)."""
@@ -227,6 +244,7 @@ def fit_pipeline(train: DataFrame, spec: TrainSpec, numeric: list[str], categori
     est = _estimator(spec, n_rows, n_classes)
     if est is not None:
         model = est.fit(feats)
+        model = _maybe_prune(model, spec, feats.sparkSession, n_rows, n_classes)
     else:
         n_features = len(feats.first()["features"])
         model = _fit_custom(spec, feats, n_features, n_classes)

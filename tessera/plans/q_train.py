@@ -209,3 +209,17 @@ def q_assemble(spark, sf_dir):
     return fp.features(data).select("o_orderkey", vector_to_array("features").alias("features"))
 
 
+
+
+@query("train_random_forest_pruned")
+def q_train_random_forest_pruned(spark, sf_dir):
+    """E1 growth limits Spark lacks: min_samples_split and max_leaf_nodes, applied by
+    post-pruning the fitted forest (scored by the flat-tree walker)."""
+    return _run(part_frame(spark, sf_dir), _reg("random_forest", n_estimators="10", max_depth="8",
+                                                min_samples_split="20", max_leaf_nodes="16"))
+
+
+@query("train_random_forest_classifier_pruned")
+def q_train_random_forest_classifier_pruned(spark, sf_dir):
+    return _run(docs_frame(spark, sf_dir), _clf("random_forest_classifier", n_estimators="10", max_depth="6",
+                                                min_samples_split="0.05", max_leaf_nodes="8"))
