@@ -61,17 +61,10 @@ def hex_digits_for(n_rows: int, rows_per_bucket: int = 2_000_000) -> int:
     return int(min(8, max(2, math.ceil(math.log(need, 16)) + 1)))
 
 
-def global_rank(df: DataFrame, key_cols: list[str], seed: int = 42,
-                strata: list[str] | None = None, rank_col: str = "rank",
-                hex_digits: int | None = None) -> DataFrame:
-    """1-based rank of each row in the order (strata..., md5(seed|key), key...).
-
-    The key columns must identify rows (the order is then total and reproducible
-    by a SQL oracle). Buckets are (strata, md5 hex prefix)."""
-    strata = strata or []
-    if hex_digits is None:
-        hex_digits = hex_digits_for(df.count())
-    keyed = df.withColumn("_h", md5_order_key(key_cols, seed))
+def _rank_core(keyed: DataFrame, strata: list[str], order: list[Column], value: Column, rank_col: str,
+               hex_digits: int) -> DataFrame:
+    """Running sum of ``value`` in the order (strata, _h, *order); buckets are
+    (strata index, hex prefix of _h)."""
     prefix = F.conv(F.substring("_h", 1, hex_digits), 16, 10).cast("long")
     if strata:
         # strata are folded into the bucket through a dense index of the (small) set of
@@ -82,9 +75,62 @@ def global_rank(df: DataFrame, key_cols: list[str], seed: int = 42,
         bucket = F.col("_sidx") * F.lit(16 ** hex_digits) + prefix
     else:
         bucket = prefix
-    order = [F.col("_h")] + [col(c) for c in key_cols]
-    out = bucketed_running_sum(keyed, bucket, order, {rank_col: F.lit(1).cast("long")})
-    return out.drop("_h", "_sidx")
+    out = bucketed_running_sum(keyed, bucket, [F.col("_h")] + order, {rank_col: value})
+    return out.drop("_sidx")
+
+
+def global_rank(df: DataFrame, key_cols: list[str], seed: int = 42,
+                strata: list[str] | None = None, rank_col: str = "rank",
+                hex_digits: int | None = None) -> DataFrame:
+    """1-based rank of each row in the order (strata..., md5(seed|key), key...).
+
+    The key columns must identify rows (the order is then total and reproducible
+    by a SQL oracle). Buckets are (strata, md5 hex prefix). When keys may repeat, use
+    ``global_rank_with_copies``."""
+    strata = strata or []
+    if hex_digits is None:
+        hex_digits = hex_digits_for(df.count())
+    keyed = df.withColumn("_h", md5_order_key(key_cols, seed))
+    out = _rank_core(keyed, strata, [col(c) for c in key_cols], F.lit(1).cast("long"), rank_col, hex_digits)
+    return out.drop("_h")
+
+
+def global_rank_with_copies(df: DataFrame, key_cols: list[str], seed: int = 42,
+                            strata: list[str] | None = None, rank_col: str = "rank") -> DataFrame:
+    """Like ``global_rank`` when the key columns may repeat -- copies of one key may be
+    a large share of the table.
+
+    Rows collapse to distinct key groups with their copy count (map-side partial
+    aggregation); the groups are ranked with the copy count as weight (each group is
+    one row, so no bucket is hot); rows receive their group's start rank by an equi-join
+    on a group id (AQE splits a hot key across tasks). Copies take consecutive ranks:
+    the rows of a group are numbered per task partition by a window over
+    (group, partition) -- no task holds a whole group -- plus the number of the group's
+    rows in earlier partitions. Copies are interchangeable, so which copy gets which
+    rank does not change any result."""
+    strata = strata or []
+    keyed = (df.withColumn("_h", md5_order_key(key_cols, seed))
+             .withColumn("_gid", F.md5(F.to_json(F.struct(*[col(c) for c in strata + key_cols])))))
+    groups = keyed.groupBy("_gid").agg(F.first("_h").alias("_h"),
+                                       *[F.first(col(c)).alias(c) for c in strata],
+                                       F.count(F.lit(1)).alias("_c"))
+    n_groups = groups.count()
+    cum = _rank_core(groups, strata, [F.col("_gid")], F.col("_c"), "_end", hex_digits_for(n_groups))
+    cum = cum.select("_gid", "_c", (F.col("_end") - F.col("_c")).alias("_start"))
+    # the partition a row is read in (taken before any shuffle: after the join a hot group
+    # would sit in one partition, while here its copies are spread over the input)
+    rows = keyed.drop("_h").withColumn("_pid", F.spark_partition_id()).join(cum, "_gid")
+    many = rows.filter(F.col("_c") > 1)
+    per_part = many.groupBy("_gid", "_pid").agg(F.count(F.lit(1)).alias("_pc"))
+    earlier = Window.partitionBy("_gid").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = per_part.select("_gid", "_pid", F.coalesce(F.sum("_pc").over(earlier), F.lit(0)).alias("_poff"))
+    inside = Window.partitionBy("_gid", "_pid").orderBy(F.monotonically_increasing_id())
+    numbered = (many.join(offs, ["_gid", "_pid"])
+                .withColumn("_i", (F.col("_poff") + F.row_number().over(inside) - 1).cast("long"))
+                .drop("_poff"))
+    single = rows.filter(F.col("_c") == 1).withColumn("_i", F.lit(0).cast("long"))
+    out = single.unionByName(numbered)
+    return out.withColumn(rank_col, F.col("_start") + F.col("_i") + 1).drop("_gid", "_c", "_start", "_pid", "_i")
 
 
 def quantile_buckets(df: DataFrame, value: str, n_buckets: int = 256,

@@ -285,12 +285,14 @@ def prepare_training_frame(df: DataFrame, spec: TrainSpec):
 
 def train(df: DataFrame, spec: TrainSpec, parallelism: int | None = None) -> TrainResult:
     data, numeric, categorical, labels = prepare_training_frame(df, spec)
+    # without declared key columns the whole row is the key, and identical rows may repeat
     keys = spec.key_cols or [c for c in df.columns]
+    unique = spec.key_cols is not None
     k = spec.cv_folds
     if spec.classification:
-        folded = stratified_kfold_assign(data, keys, "label", k=k, seed=spec.seed)
+        folded = stratified_kfold_assign(data, keys, "label", k=k, seed=spec.seed, unique_keys=unique)
     else:
-        folded = kfold_assign(data, keys, k=k, seed=spec.seed)
+        folded = kfold_assign(data, keys, k=k, seed=spec.seed, unique_keys=unique)
     folded = folded.persist(StorageLevel.MEMORY_AND_DISK)
     guards = folded.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(
         F.sum("n").alias("rows"), F.count(F.lit(1)).alias("classes"), F.min("n").alias("smallest")).first()

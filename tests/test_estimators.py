@@ -63,3 +63,16 @@ def test_svd_matches_numpy(spark):
     a = np.array([r[0] for r in e.select("embedding").collect()], dtype=float)
     s = np.linalg.svd(a, compute_uv=False)[:4]
     assert np.allclose(m.singular_values, s, rtol=1e-6)
+
+
+def test_train_without_keys_uses_whole_rows(spark):
+    """No key columns: rows (with copies) are the key; every row is out-of-fold once."""
+    from tessera.operators.train import TrainSpec, train
+    p = table(spark, SF_SMALL, "part").select("p_partkey", "p_size", "p_retailprice")
+    copies = p.limit(20).unionByName(p.limit(20))
+    df = p.unionByName(copies)
+    res = train(df, TrainSpec(features=["p_partkey", "p_size"], target="p_retailprice",
+                              algorithm="random_forest", hyperparameters={"n_estimators": "5", "max_depth": "4"},
+                              cv_folds=3))
+    assert res.oof.count() == df.count()
+    assert res.metrics.first()["r2"] is not None
