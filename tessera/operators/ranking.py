@@ -22,14 +22,18 @@ BUCKET = "_bucket"
 
 
 def _with_bucket_offsets(df: DataFrame, value_cols: dict[str, Column]) -> DataFrame:
-    """Attach, per row, the sum of ``value_cols`` over all *earlier* buckets."""
+    """Attach, per row, the sum of ``value_cols`` over all *earlier* buckets.
+
+    The bucket table has one row per non-empty bucket (at most MAX_BUCKETS per stratum).
+    Its join is left to AQE: broadcast when its measured size is small, otherwise a
+    shuffle join on the bucket -- the same partitioning the per-bucket window needs next,
+    so the fallback adds no extra exchange of the big side."""
     totals = df.groupBy(BUCKET).agg(*[F.sum(v).alias(f"_tot_{k}") for k, v in value_cols.items()])
-    # the bucket table has at most as many rows as buckets (bounded by construction)
     w = Window.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         BUCKET, *[F.coalesce(F.sum(f"_tot_{k}").over(w), F.lit(0)).alias(f"_off_{k}") for k in value_cols]
     )
-    return df.join(F.broadcast(offsets), BUCKET, "left")
+    return df.join(offsets, BUCKET, "left")
 
 
 def bucketed_running_sum(df: DataFrame, bucket: Column, order: list[Column],
@@ -55,10 +59,15 @@ def md5_order_key(key_cols: list[str], seed: int) -> Column:
     return F.md5(F.concat_ws("|", *parts))
 
 
+MAX_HEX_DIGITS = 5          # at most 16^5 (about one million) md5 buckets per stratum
+
+
 def hex_digits_for(n_rows: int, rows_per_bucket: int = 2_000_000) -> int:
-    """Number of leading hex digits of an md5 so that buckets hold ~rows_per_bucket rows."""
+    """Leading hex digits of an md5 so that buckets hold about ``rows_per_bucket`` rows
+    (at least 256 buckets, at most 16^MAX_HEX_DIGITS; beyond that buckets grow and the
+    per-bucket window sorts spill)."""
     need = max(1.0, n_rows / float(rows_per_bucket))
-    return int(min(8, max(2, math.ceil(math.log(need, 16)) + 1)))
+    return int(min(MAX_HEX_DIGITS, max(2, math.ceil(math.log(need, 16)))))
 
 
 def _rank_core(keyed: DataFrame, strata: list[str], order: list[Column], value: Column, rank_col: str,

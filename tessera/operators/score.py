@@ -7,7 +7,7 @@ guards ride inside the metric aggregate as ``raise_error`` so no extra job runs.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -96,9 +96,8 @@ class LinearModel:
 @dataclass
 class ScoreResult:
     predictions: DataFrame
-    metrics: DataFrame | None
+    metrics: DataFrame | None      # rows, dropped_rows and the metrics (None without ground truth)
     ground_truth: str | None
-    summary: DataFrame = field(default=None)
 
 
 # ---------------------------------------------------------------- validation steps

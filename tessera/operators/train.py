@@ -119,6 +119,16 @@ class FittedPipeline:
         drop = [f"{c}__idx" for c in self.categorical] + [f"{c}__vec" for c in self.categorical]
         return x.drop(*drop)
 
+    def width(self) -> int:
+        """Length of the feature vector: numeric columns, then one slot per seen category
+        of each categorical column (the 'unknown' slot is dropped), or the SVD rank."""
+        if self.svd is not None:
+            return int(self.svd.components.shape[0])
+        n = len(self.numeric)
+        if self.categorical:
+            n += sum(len(labels) for labels in self.indexer.labelsArray)
+        return n
+
     def transform(self, df: DataFrame, prediction_col: str = "prediction") -> DataFrame:
         x = self.features(df)
         out = self.estimator.transform(x)
@@ -239,15 +249,14 @@ def fit_pipeline(train: DataFrame, spec: TrainSpec, numeric: list[str], categori
         fp.svd = fit_truncated_svd(feats, "features", spec.svd_components)
         feats = fp.svd.transform(feats, "features", "features")
     feats = feats.select("features", "label").persist(StorageLevel.MEMORY_AND_DISK)
-    n_rows = feats.count()
+    n_rows = feats.count()  # also materialises the cached training matrix
     n_classes = len(labels) if labels is not None else 0
     est = _estimator(spec, n_rows, n_classes)
     if est is not None:
         model = est.fit(feats)
         model = _maybe_prune(model, spec, feats.sparkSession, n_rows, n_classes)
     else:
-        n_features = len(feats.first()["features"])
-        model = _fit_custom(spec, feats, n_features, n_classes)
+        model = _fit_custom(spec, feats, fp.width(), n_classes)
     fp.estimator = model
     feats.unpersist()
     return fp
