@@ -78,3 +78,17 @@ def test_integer_column_with_missing_stays_integer(spark, tmp_dir):
 
 def test_dedupe_header_rule():
     assert TX.dedupe_header(["a", "a", "a.1", "b", "a"]) == ["a", "a.1", "a.1.1", "b", "a.2"]
+
+
+def test_json_request_bodies_data_or_records(spark):
+    from pyspark.sql import types as T
+    from tessera.sources.records import records_from_bodies
+    schema = T.StructType([T.StructField("Area", T.DoubleType()), T.StructField("Room", T.LongType())])
+    ok = spark.createDataFrame([('{"data": [{"Area": 1.0, "Room": 2}, {"Area": null, "Room": 3}]}',),
+                                ('{"records": [{"Area": 5.0}]}',)], "body string")
+    rows = records_from_bodies(ok, "body", schema).collect()
+    assert len(rows) == 3 and sum(r["Area"] is None for r in rows) == 1 and sum(r["Room"] is None for r in rows) == 1
+    for bad in ('{"data": [{"Area": 1.0}], "records": [{"Area": 2.0}]}', '{"data": []}', '{"other": 1}'):
+        df = spark.createDataFrame([(bad,)], "body string")
+        with pytest.raises(Exception):
+            records_from_bodies(df, "body", schema).collect()
