@@ -1,7 +1,7 @@
 """Second-order (Newton) gradient boosting on histograms, after Chen & Guestrin (2016).
 
-Distributed plan per tree level:
-  rows (bins array<int>, gradient, hessian, current node) --explode features-->
+Distributed plan per tree level (all K outputs of a round together):
+  rows (bins array<int>, gradient, hessian, current node) --explode outputs x features-->
   groupBy(output, node, feature, bin).agg(sum g, sum h)   [partial aggregation map-side]
 The aggregated histogram is bounded by outputs x 2^depth x features x bins whatever the
 row count; the driver picks the best split per node from it (gain - gamma, L2 lambda)
@@ -171,7 +171,7 @@ def fit_newton_boost(df: DataFrame, features_col: str, label_col: str, params: N
                          *[h.alias(f"_h{k}") for k, (_, h) in enumerate(gh)])
         # gradients are read by every level of this round's trees: keep them once
         cur = cur.persist(StorageLevel.MEMORY_AND_DISK)
-        new_trees = [_grow_tree(cur, k, p, n_features, n_bins) for k in range(K)]
+        new_trees = _grow_trees(cur, K, p, n_features, n_bins)
         cur.unpersist()
         for k, nodes in enumerate(new_trees):
             model.trees[k].add_tree(nodes, weight=1.0)
@@ -196,53 +196,63 @@ def fit_newton_boost(df: DataFrame, features_col: str, label_col: str, params: N
     return model
 
 
-def _grow_tree(rows: DataFrame, k: int, p: NewtonBoostParams, n_features: int, n_bins: int) -> list[dict]:
-    """Grow one tree level by level; returns nodes with leaf values (already scaled by
-    the learning rate) in the FlatTrees local format.
+def _grow_trees(rows: DataFrame, K: int, p: NewtonBoostParams, n_features: int, n_bins: int) -> list[list[dict]]:
+    """Grow the K trees of one round together, level by level; returns, per output, the
+    nodes with leaf values (scaled by the learning rate) in the FlatTrees local format.
 
-    One histogram job per level (levels 0 .. max_depth-1). A child's gradient and
-    hessian sums are read off its parent's histogram (cumulative sums up to the split
-    bin), so the deepest leaves need no extra pass."""
+    One histogram job per level for all K outputs: rows explode over (output, feature)
+    and aggregate by (output, node, feature, bin) with map-side partial aggregation. A
+    child's gradient and hessian sums are read off its parent's histogram, so the
+    deepest leaves need no extra pass."""
     def new_node(G=None, H=None):
         return {"feat": -1, "thr": 0.0, "left": -1, "right": -1, "value": 0.0, "G": G, "H": H}
 
-    nodes = [new_node()]
-    frontier = [0]
+    nodes = [[new_node()] for _ in range(K)]
+    frontier = [[0] for _ in range(K)]
     for depth in range(p.max_depth):
-        partial = FlatTrees(features=[])
-        partial.add_tree([{kk: n[kk] for kk in ("feat", "thr", "left", "right", "value")} for n in nodes])
-        node_of = partial.leaf_on_array(F.lit(0), F.col("_bins")) if depth > 0 else F.lit(0)
-        hist_df = (rows.select(node_of.alias("_n"), F.posexplode("_bins").alias("_f", "_b"),
-                               F.col(f"_g{k}").alias("g"), F.col(f"_h{k}").alias("h"))
-                   .groupBy("_n", "_f", "_b").agg(F.sum("g").alias("G"), F.sum("h").alias("H")))
-        slot = {n: i for i, n in enumerate(frontier)}
-        hist = np.zeros((len(frontier), n_features, n_bins, 2))
+        live = [k for k in range(K) if frontier[k]]
+        if not live:
+            break
+        per_output = []
+        for k in live:
+            partial = FlatTrees(features=[])
+            partial.add_tree([{kk: n[kk] for kk in ("feat", "thr", "left", "right", "value")} for n in nodes[k]])
+            node_of = partial.leaf_on_array(F.lit(0), F.col("_bins")) if depth > 0 else F.lit(0)
+            per_output.append(F.struct(F.lit(k).alias("k"), node_of.alias("n"),
+                                       F.col(f"_g{k}").alias("g"), F.col(f"_h{k}").alias("h")))
+        hist_df = (rows.select("_bins", F.explode(F.array(*per_output)).alias("o"))
+                   .select("o.k", "o.n", "o.g", "o.h", F.posexplode("_bins").alias("_f", "_b"))
+                   .groupBy("k", "n", "_f", "_b").agg(F.sum("g").alias("G"), F.sum("h").alias("H")))
+        slot = {(k, n): i for i, (k, n) in enumerate((k, n) for k in live for n in frontier[k])}
+        hist = np.zeros((len(slot), n_features, n_bins, 2))
         for r in hist_df.collect():
-            s = slot.get(r["_n"])
+            s = slot.get((r["k"], r["n"]))
             if s is not None and r["_b"] is not None:
                 hist[s, r["_f"], int(r["_b"]), 0] = r["G"]
                 hist[s, r["_f"], int(r["_b"]), 1] = r["H"]
         best = _best_splits(hist, p.reg_lambda, p.gamma, p.min_child_weight)
-        nxt = []
-        for n, b in zip(frontier, best):
-            h = hist[slot[n]]
+        nxt = [[] for _ in range(K)]
+        for (k, n), i in slot.items():
+            h = hist[i]
             G, H = h[0, :, 0].sum(), h[0, :, 1].sum()
-            nodes[n]["G"], nodes[n]["H"] = G, H
+            nodes[k][n]["G"], nodes[k][n]["H"] = G, H
+            b = best[i]
             if b is None:
                 continue
             _, f, thr_bin = b
             GL, HL = h[f, : thr_bin + 1, 0].sum(), h[f, : thr_bin + 1, 1].sum()
-            li, ri = len(nodes), len(nodes) + 1
-            nodes.append(new_node(GL, HL))
-            nodes.append(new_node(G - GL, H - HL))
+            li, ri = len(nodes[k]), len(nodes[k]) + 1
+            nodes[k].append(new_node(GL, HL))
+            nodes[k].append(new_node(G - GL, H - HL))
             # rows go left when bin <= thr_bin (bins are compared as doubles by the walker)
-            nodes[n].update(feat=f, thr=float(thr_bin), left=li, right=ri)
-            nxt += [li, ri]
-        if not nxt:
-            break
+            nodes[k][n].update(feat=f, thr=float(thr_bin), left=li, right=ri)
+            nxt[k] += [li, ri]
         frontier = nxt
-    for n in nodes:
-        if n["left"] < 0:
-            G, H = n["G"] or 0.0, n["H"] or 0.0
-            n["value"] = -p.learning_rate * G / (H + p.reg_lambda)
-    return [{kk: n[kk] for kk in ("feat", "thr", "left", "right", "value")} for n in nodes]
+    out = []
+    for k in range(K):
+        for n in nodes[k]:
+            if n["left"] < 0:
+                G, H = n["G"] or 0.0, n["H"] or 0.0
+                n["value"] = -p.learning_rate * G / (H + p.reg_lambda)
+        out.append([{kk: n[kk] for kk in ("feat", "thr", "left", "right", "value")} for n in nodes[k]])
+    return out

@@ -26,7 +26,7 @@ class SVDModel:
     def project_array(self, arr: Column) -> Column:
         comps = []
         for row in self.components:
-            v = F.array(*[F.lit(float(x)) for x in row])
+            v = F.lit([float(x) for x in row]).cast("array<double>")
             comps.append(F.aggregate(F.zip_with(arr, v, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x))
         return F.array(*comps)
 

@@ -56,9 +56,9 @@ class FlatTrees:
 
     # ------------------------------------------------------------ scoring
     def _arrays(self):
-        lit_i = lambda xs: F.array(*[F.lit(int(x)) for x in xs])
-        lit_d = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
-        return lit_i(self.feat), lit_d(self.thr), lit_i(self.left), lit_i(self.right), lit_d(self.value)
+        # each array is ONE literal (not an array of literals): plans stay small and the
+        # generated code references the value instead of inlining every element
+        return (_ints(self.feat), _doubles(self.thr), _ints(self.left), _ints(self.right), _doubles(self.value))
 
     def leaf_expr(self, root: Column, x: Column) -> Column:
         feat, thr, left, right, _ = self._arrays()
@@ -77,9 +77,7 @@ class FlatTrees:
         """Weighted sum over trees of the leaf values, plus ``base``."""
         x = F.array(*[F.coalesce(col(c).cast("double"), F.lit(float("nan"))) for c in self.features])
         value = self._arrays()[4]
-        roots = F.array(*[F.lit(int(r)) for r in self.roots])
-        weights = F.array(*[F.lit(float(w)) for w in self.weights])
-        pairs = F.arrays_zip(roots.alias("r"), weights.alias("w"))
+        pairs = F.arrays_zip(_ints(self.roots).alias("r"), _doubles(self.weights).alias("w"))
         total = F.aggregate(pairs, F.lit(0.0),
                             lambda acc, t: acc + t["w"] * F.element_at(value, self.leaf_expr(t["r"], x) + 1))
         return total + F.lit(float(self.base))
@@ -94,8 +92,7 @@ class FlatTrees:
             return F.lit(0.0)
         x = F.transform(arr, lambda v: v.cast("double"))
         value = self._arrays()[4]
-        pairs = F.arrays_zip(F.array(*[F.lit(int(r)) for r in self.roots]).alias("r"),
-                             F.array(*[F.lit(float(w)) for w in self.weights]).alias("w"))
+        pairs = F.arrays_zip(_ints(self.roots).alias("r"), _doubles(self.weights).alias("w"))
         return F.aggregate(pairs, F.lit(0.0),
                            lambda acc, t: acc + t["w"] * F.element_at(value, self.leaf_expr(t["r"], x) + 1)) \
             + F.lit(float(self.base))
@@ -103,13 +100,20 @@ class FlatTrees:
     def leaves_expr(self) -> Column:
         """Array of the leaf index reached in every tree (used for per-tree votes)."""
         x = F.array(*[F.coalesce(col(c).cast("double"), F.lit(float("nan"))) for c in self.features])
-        roots = F.array(*[F.lit(int(r)) for r in self.roots])
-        return F.transform(roots, lambda r: self.leaf_expr(r, x))
+        return F.transform(_ints(self.roots), lambda r: self.leaf_expr(r, x))
 
     def predict(self) -> Column:
         return self.predict_expr()
 
 
+def _ints(xs) -> Column:
+    return F.lit([int(x) for x in xs]).cast("array<int>") if xs else F.array().cast("array<int>")
+
+
+def _doubles(xs) -> Column:
+    return F.lit([float(x) for x in xs]).cast("array<double>") if xs else F.array().cast("array<double>")
+
+
 def _depth(nodes: list[dict]) -> int:
     best, stack = 0, [(0, 0)]
     while stack:

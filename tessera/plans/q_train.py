@@ -223,3 +223,17 @@ def q_train_random_forest_pruned(spark, sf_dir):
 def q_train_random_forest_classifier_pruned(spark, sf_dir):
     return _run(docs_frame(spark, sf_dir), _clf("random_forest_classifier", n_estimators="10", max_depth="6",
                                                 min_samples_split="0.05", max_leaf_nodes="8"))
+
+
+@query("train_newton_boost_multiclass")
+def q_train_newton_boost_multiclass(spark, sf_dir):
+    """E4/E6 multi-class: softmax Newton boosting on the embedding vectors (10 classes),
+    reduced by truncated SVD inside each fold; string class names go through the label
+    encoder (F10)."""
+    e = table(spark, sf_dir, "embeddings")
+    cols = [F.element_at("embedding", i + 1).cast("double").alias(f"e{i}") for i in range(16)]
+    df = e.select("vec_id", F.concat(F.lit("class_"), F.col("label").cast("string")).alias("label_name"), *cols)
+    spec = TrainSpec(features=[f"e{i}" for i in range(16)], target="label_name", problem_type="classification",
+                     algorithm="xgboost_classifier", dimension_reduction="truncated_svd", svd_components=6,
+                     hyperparameters={"n_estimators": "3", "max_depth": "3"}, key_cols=["vec_id"])
+    return _run(df, spec)
