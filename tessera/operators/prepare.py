@@ -35,7 +35,7 @@ def most_frequent(df: DataFrame, cols: list[str]) -> DataFrame:
         parts.append(F.when(~is_missing(df, c), F.struct(
             F.lit(c).alias("name"),
             (col(c).cast("double") if num else F.lit(None).cast("double")).alias("num"),
-            col(c).cast("string").alias("txt"))))
+            (F.lit(None).cast("string") if num else col(c).cast("string")).alias("txt"))))
     long = df.select(F.explode(F.array(*parts)).alias("v")).filter(F.col("v").isNotNull()).select("v.*")
     counts = long.groupBy("name", "num", "txt").agg(F.count(F.lit(1)).alias("cnt"))
     best = F.min_by(F.struct("num", "txt"), F.struct((-F.col("cnt")).alias("k"), F.col("num"), F.col("txt")))

@@ -82,20 +82,29 @@ def column_stats_schema() -> T.StructType:
 
 def value_stats(df: DataFrame) -> DataFrame:
     """Pass 1b: per column position, the number of distinct present values and the mode
-    rendered as text (most frequent; ties -> smallest, numeric order for numbers)."""
-    parts = []
+    rendered as text (most frequent; ties -> smallest, numeric order for numbers).
+
+    Numeric values travel through the shuffle as doubles only; the mode's text is
+    formatted after the aggregation (integers without a fraction, like their source)."""
+    parts, kinds = [], []
     for i, f in enumerate(df.schema.fields):
         num = is_numeric_type(f.dataType)
+        integral = isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+        kinds.append("int" if integral else ("num" if num else "text"))
         present = ~is_missing(df, f.name)
         parts.append(F.when(present, F.struct(
             F.lit(i).alias("pos"),
             (col(f.name).cast("double") if num else F.lit(None).cast("double")).alias("num"),
-            col(f.name).cast("string").alias("txt"))))
+            (F.lit(None).cast("string") if num else col(f.name).cast("string")).alias("txt"))))
     long = df.select(F.explode(F.array(*parts)).alias("v")).filter(F.col("v").isNotNull()).select("v.*")
     counts = long.groupBy("pos", "num", "txt").agg(F.count(F.lit(1)).alias("cnt"))
-    return counts.groupBy("pos").agg(
+    best = counts.groupBy("pos").agg(
         F.count(F.lit(1)).cast("long").alias("unique_count"),
-        F.min_by("txt", F.struct((-F.col("cnt")).alias("k"), F.col("num"), F.col("txt"))).alias("mode"))
+        F.min_by(F.struct("num", "txt"), F.struct((-F.col("cnt")).alias("k"), F.col("num"), F.col("txt"))).alias("b"))
+    kind = F.element_at(F.lit(kinds).cast("array<string>"), F.col("pos") + 1)
+    text = (F.when(kind == "int", F.col("b.num").cast("bigint").cast("string"))
+            .when(kind == "num", F.col("b.num").cast("string")).otherwise(F.col("b.txt")))
+    return best.select("pos", "unique_count", text.alias("mode"))
 
 
 def outlier_stats(df: DataFrame, stats: DataFrame) -> DataFrame:
