@@ -37,13 +37,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
     Only when nothing is configured (local tests) do we create one ourselves."""
-    sc = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 -- a remote (Connect) session exposes no SparkContext
+        if not configured:
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
+        return configured
     current = sc.getCheckpointDir()
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="tessera-ckpt-")
+        configured = tempfile.mkdtemp(prefix="tessera-ckpt-")  # only when the session names none (tests)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 

@@ -19,10 +19,25 @@ from pyspark.sql import SparkSession
 from tessera.operators.adaboost import AdaBoostModel
 from tessera.operators.boost import NewtonBoostModel, NewtonBoostParams
 from tessera.operators.prepare import ImputerModel
+from tessera.operators.prune import PrunedForestModel
 from tessera.operators.svd import SVDModel
 from tessera.operators.train import FittedPipeline, TrainSpec, _CustomEstimatorModel
 from tessera.operators.trees import FlatTrees
 
+_TREE_FIELDS = ("feat", "thr", "left", "right", "value", "roots", "weights", "depth", "base")
+
+
+def _flat_to_dict(t: FlatTrees) -> dict:
+    return {k: getattr(t, k) for k in _TREE_FIELDS}
+
+
+def _flat_from_dict(d: dict) -> FlatTrees:
+    ft = FlatTrees(features=[])
+    for k, v in d.items():
+        setattr(ft, k, v)
+    return ft
+
+
 _SPARK_MODELS = {c.__name__: c for c in (GBTClassificationModel, LogisticRegressionModel, OneVsRestModel,
                                          RandomForestClassificationModel, GBTRegressionModel, LinearRegressionModel,
                                          RandomForestRegressionModel)}
@@ -37,8 +52,12 @@ def _read_json(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.read.text(path).first()[0])
 
 
-def save_pipeline(model: FittedPipeline, path: str) -> str:
-    spark = SparkSession.getActiveSession()
+def _session(spark: SparkSession | None) -> SparkSession:
+    return spark or SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+
+
+def save_pipeline(model: FittedPipeline, path: str, spark: SparkSession | None = None) -> str:
+    spark = _session(spark)
     meta = {"spec": asdict(model.spec), "numeric": model.numeric, "categorical": model.categorical,
             "fills": model.imputer.fills, "drop_cols": list(model.imputer.drop_cols), "labels": model.labels,
             "svd": None if model.svd is None else {"components": model.svd.components.tolist(),
@@ -52,9 +71,10 @@ def save_pipeline(model: FittedPipeline, path: str) -> str:
         if isinstance(inner, NewtonBoostModel):
             meta["estimator"] = {"kind": "newton", "params": asdict(inner.params), "n_features": inner.n_features,
                                  "edges": inner.edges, "base": inner.base,
-                                 "trees": [{k: getattr(t, k) for k in ("feat", "thr", "left", "right", "value",
-                                                                       "roots", "weights", "depth", "base")}
-                                           for t in inner.trees]}
+                                 "trees": [_flat_to_dict(t) for t in inner.trees]}
+        elif isinstance(inner, PrunedForestModel):
+            meta["estimator"] = {"kind": "pruned_forest", "classification": inner.classification,
+                                 "outputs": [_flat_to_dict(t) for t in inner.outputs]}
         else:
             meta["estimator"] = {"kind": "adaboost", "ab_kind": inner.kind, "weights": inner.weights,
                                  "num_classes": inner.num_classes, "n": len(inner.trees),
@@ -68,8 +88,8 @@ def save_pipeline(model: FittedPipeline, path: str) -> str:
     return path
 
 
-def load_pipeline(path: str) -> FittedPipeline:
-    spark = SparkSession.getActiveSession()
+def load_pipeline(path: str, spark: SparkSession | None = None) -> FittedPipeline:
+    spark = _session(spark)
     meta = _read_json(spark, f"{path}/meta")
     spec = TrainSpec(**meta["spec"])
     indexer = encoder = None
@@ -83,14 +103,12 @@ def load_pipeline(path: str) -> FittedPipeline:
     if e["kind"] == "spark":
         est = _SPARK_MODELS[e["class"]].load(f"{path}/estimator")
     elif e["kind"] == "newton":
-        trees = []
-        for t in e["trees"]:
-            ft = FlatTrees(features=[])
-            for k, v in t.items():
-                setattr(ft, k, v)
-            trees.append(ft)
+        trees = [_flat_from_dict(t) for t in e["trees"]]
         est = _CustomEstimatorModel(NewtonBoostModel(NewtonBoostParams(**e["params"]), e["n_features"], e["edges"],
                                                      e["base"], trees))
+    elif e["kind"] == "pruned_forest":
+        est = _CustomEstimatorModel(PrunedForestModel([_flat_from_dict(t) for t in e["outputs"]],
+                                                      e["classification"]))
     else:
         cls = DecisionTreeRegressionModel if e["tree_class"] == "DecisionTreeRegressionModel" \
             else DecisionTreeClassificationModel

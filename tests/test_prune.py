@@ -63,3 +63,18 @@ def test_max_leaf_nodes_expands_best_first():
 
 def test_min_samples_split_collapses_small_nodes():
     assert _leaves(prune_tree(_tree(), 50, None)) == [2, 3, 4]
+
+
+def test_pruned_forest_survives_save_and_load(spark):
+    from tessera.operators.train import TrainSpec, fit_pipeline, prepare_training_frame
+    from tessera.session import scratch_path
+    from tessera.sources.models import load_pipeline, save_pipeline
+    p = table(spark, SF_SMALL, "part").select("p_partkey", "p_size", "p_retailprice")
+    spec = TrainSpec(features=["p_partkey", "p_size"], target="p_retailprice", algorithm="random_forest",
+                     hyperparameters={"n_estimators": "3", "max_depth": "4", "max_leaf_nodes": "6"}, key_cols=["p_partkey"])
+    data, num, cat, labels = prepare_training_frame(p, spec)
+    m = fit_pipeline(data, spec, num, cat, labels)
+    again = load_pipeline(save_pipeline(m, scratch_path(spark, "pruned")))
+    a = m.transform(data).select("p_partkey", F.col("prediction").alias("a"))
+    b = again.transform(data).select("p_partkey", F.col("prediction").alias("b"))
+    assert a.join(b, "p_partkey").filter(F.abs(F.col("a") - F.col("b")) > 1e-12).count() == 0
