@@ -1,8 +1,9 @@
 """Toxic spans by a linear-chain CRF, document scores from its forward-backward marginals.
 
 Labels are per document, so labelled tokens come first: in a bounded sample of labelled
-training documents, word and prefix features that occur in at least ``MIN_DOCS`` toxic
-documents with a lift of at least ``MIN_LIFT`` are kept, and a token of a toxic document
+training documents (one of each set of copies, see ``_sketch``), word and prefix features that
+occur in at least ``MIN_DOCS`` and ``MIN_SHARE`` of the toxic documents with a lift of at least
+``MIN_LIFT`` are kept, and a token of a toxic document
 is labelled toxic when one of its features is at least ``SEED_ODDS`` times likelier in
 toxic documents; all tokens of other documents are clean. The CRF is fitted to these
 labels; marginals of every position of every whole text give the spans (runs of
@@ -19,6 +20,7 @@ table that names an id twice counts as toxic if any of its rows does.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -34,7 +36,7 @@ from tessera.llm.common import chunks, fold_of, materialize, utf8
 
 SAMPLE_PER_CLASS = 6000      # bound of the labelled sample, each class
 PREFIXES = (3, 4, 5)         # in code points
-MIN_DOCS, MIN_LIFT, SEED_ODDS = 4, 2.0, 8.0
+MIN_DOCS, MIN_SHARE, MIN_LIFT, SEED_ODDS = 4, 0.01, 2.0, 8.0
 BLOCK_BYTES = 6_000_000      # texts handled together in a task
 EDGE = ".,!?;:|\"'()[]{}*#$%&<>-_"
 
@@ -55,6 +57,17 @@ def token_features(word: bytes) -> tuple[str, ...]:
     return ("=" + w, *(f"{k}{w[:k]}" for k in PREFIXES if len(w) >= k))
 
 
+def _sketch(texts: pd.Series) -> pd.Series:
+    """Least hash of a text's 3-word windows: copies and most near copies agree, so their
+    shared rare words do not count once per copy."""
+    out = []
+    for t in texts:
+        w = t.lower().split()
+        out.append(min((zlib.crc32(b" ".join(w[i:i + 3])) << 20 | len(w[i]) for i in range(max(1, len(w) - 2))), default=0)
+                   if w else 0)
+    return pd.Series(out, dtype="int64")
+
+
 class _Emission(dict):
     """word -> emission, filled as words turn up and emptied when it grows too large."""
 
@@ -110,8 +123,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     if not shares.get(0) or not shares.get(1):
         return model
     ids = F.broadcast(crf.bounded_sample(lab, "id", "y", per_class))       # at most 2 * per_class rows
-    sample = materialize(docs.select(F.col(id_col).alias("id"), utf8(F.col(text_col)).alias("t"))
-                         .join(ids, "id").repartition(crf.SHARDS, "id"), "toxic-sample")
+    sample = docs.select(F.col(id_col).alias("id"), utf8(F.col(text_col)).alias("t")).join(ids, "id")
+    sample = materialize(sample.withColumn("sketch", pandas_udf(_sketch, "long")("t")).dropDuplicates(["sketch", "y"])
+                         .repartition(crf.SHARDS, "id"), "toxic-sample")
     sizes = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(0) or not sizes.get(1):
         return model
@@ -131,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     odds = ((F.col("n1") + 0.5) / n1) / ((F.col("n0") + 0.5) / n0)
     found = (sample.mapInArrow(doc_frequencies, "f string, n0 long, n1 long").groupBy("f")
              .agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).withColumn("odds", odds)
-             .filter((F.col("n1") >= MIN_DOCS) & (F.col("odds") >= MIN_LIFT)).orderBy("f").collect())
+             .filter((F.col("n1") >= max(MIN_DOCS, MIN_SHARE * n1)) & (F.col("odds") >= MIN_LIFT)).orderBy("f").collect())
     if not found:
         return model
     features = {r.f: i for i, r in enumerate(found)}
