@@ -4,22 +4,22 @@ A document's set holds the 64-bit hashes of its distinct k-word shingles (words
 ``[^\\x20\\x09-\\x0D]+`` lower-cased A-Z; with fewer words the whole sequence is one). Equal sets
 are one class from the start, so copies never meet each other.
 
-1. One pass makes a row per document (class, size, 16 minima of the hash range) and counts
-   frequent shingles; those in at least ``FREQUENT`` texts of a task's block, at most
+1. One pass makes a row per document (class, size) and counts frequent shingles; those in at least ``FREQUENT`` texts of a task's block, at most
    ``MAX_FREQUENT`` in all, only order the shingles: rare ones first, then by hash. The order is the
-   same for all documents, so the prefix rule holds: sets that reach the threshold share one of
-   their first n - ceil(t n) + 1 shingles.
-2. Prefixes go through one shuffle; shingles in two classes or more stay. Only classes
-   that have one need their whole set, which is read from the texts again.
-3. Similar classes are grouped: classes that agree in a pair of minima are compared with
-   their bucket's leaders, and the verified links' components are the groups, cut into
-   blocks of at most about ``GROUP_TOKENS`` shingles.
-4. Matrix: (shingle, group) over the group members' prefixes. A class queries the groups of
-   other components that hold one of its prefix shingles; a group opens only if the overlap
-   of the query with the group's token union reaches what the threshold asks for, and its
-   members are then counted exactly. A group gives a query at most one link, for its
-   members are connected already, so a large group of near copies costs its size, not its
-   square, and no link between components is lost.
+   same for all documents, so the prefix rule holds: two sets that reach the threshold share at
+   least l of their first n - ceil(t n) + l shingles, for any l; l grows with the set (``least_shared``).
+2. Prefixes go through one shuffle; shingles in two classes or more stay. Only classes with
+   l such shingles (l of the smallest set that could link with them) can have a partner; the others leave,
+   and with them shingles that are then in one class only. The remaining classes' whole sets are read from the texts again.
+3. Similar classes are grouped: a class votes, shingle by shingle, for the class of least hash
+   that shares the shingle, and joins the group of the one it names most often; groups are cut by hash
+   into blocks of about ``GROUP_TOKENS`` shingles. Within a block every class is counted against all
+   members through the block's postings, and a forest of links is kept.
+4. Matrix: (shingle, block) over the members' prefixes. Of two blocks the members of one query the
+   other: a class asks a block that holds l of its prefix shingles, unless all are in one
+   component already; the block opens only if the overlap of the query with its token union reaches what the
+   threshold asks for, and its members are then counted exactly. A query gets one link per
+   component, so a large group of near copies costs blocks, not pairs, and no link between components is lost.
 5. Components of all links give each document the smallest id it reaches.
 
 Defined results: null and empty texts and texts without words have n_shingles 0 and are
@@ -36,7 +36,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import chunks, materialize, utf8
@@ -46,10 +46,9 @@ from tessera.session import sql_conf
 SHINGLE, PERCENT = 4, 85
 FREQUENT = 4                 # texts of a block that make a shingle frequent
 MAX_FREQUENT = 1 << 20       # frequent shingles that order the prefix (8 MB)
-GROUP_TOKENS = 1 << 20
+GROUP_TOKENS = 1 << 18
 BLOCK_BYTES = 8_000_000
-BINS = 16
-LEADERS = 3                  # leader orders per bucket
+L_STEP = 25                  # one more shared prefix shingle is asked for per so many shingles
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -86,14 +85,22 @@ def class_of(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes(), seed=len(s) & 0xFFFFFFFF) - (1 << 63)
 
 
-def minima(s: np.ndarray) -> list[int]:
-    """Least hash of each of BINS equal parts of the hash range; an empty part takes the next one's."""
-    edge = np.searchsorted(s, np.arange(BINS, dtype=np.uint64) << np.uint64(60))
-    return s[edge % len(s)].astype(np.int64).tolist()
+def least_shared(n):
+    """l of a set of n shingles (works on numbers and columns of whole numbers)."""
+    return n // L_STEP + 1
 
 
 def prefix_length(n: int, percent: int) -> int:
-    return n - (-(-percent * n // 100)) + 1
+    return n - (-(-percent * n // 100)) + least_shared(n)
+
+
+def _least_shared(n: Column) -> Column:
+    return F.floor(n / F.lit(L_STEP)).cast("long") + 1
+
+
+def _partner_least(n: Column, percent: int) -> Column:
+    """l of the smallest set that can link with one of n shingles."""
+    return _least_shared(F.ceil(n * F.lit(percent) / F.lit(100)))
 
 
 def linked(common: int, a: int, b: int, percent: int) -> bool:
@@ -114,8 +121,8 @@ def _batch(rows: list[tuple], names: list[str], types: list) -> pa.RecordBatch:
 
 
 def _signatures(k: int):
-    names = ["uid", "id", "n", "cls", "bins", "token", "count"]
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
+    names = ["uid", "id", "n", "cls", "token", "count"]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
     def run(batches):
         words = _Words()
@@ -127,7 +134,7 @@ def _signatures(k: int):
                 for t in part:
                     s = shingle_set(t, k, words)
                     c = class_of(s) if len(s) else None
-                    rows.append((uid[at], ids[at], len(s), c, minima(s) if len(s) else None, None, None))
+                    rows.append((uid[at], ids[at], len(s), c, None, None))
                     at += 1
                     if c is not None and c not in seen:
                         seen.add(c)
@@ -137,7 +144,7 @@ def _signatures(k: int):
                     cut = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
                     n = np.diff(np.concatenate([cut, [len(v)]]))
                     often = n >= FREQUENT
-                    rows += [(None, None, None, None, None, int(x), int(m))
+                    rows += [(None, None, None, None, int(x), int(m))
                              for x, m in zip(v[cut][often].astype(np.int64), n[often])]
             yield _batch(rows, names, types)
 
@@ -192,47 +199,76 @@ def _sets(k: int):
     return run
 
 
-def _verify(percent: int):
-    """Rows (a, b, tokens of a, tokens of b): the pairs that link."""
-    def run(batches):
-        for b in batches:
-            out = []
-            for x, y, s, t in zip(*(b.column(i).to_pylist() for i in range(4))):
-                s, t = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
-                if linked(common_size(s, t), len(s), len(t), percent):
-                    out.append((x, y))
-            yield _batch(out, ["a", "b"], [pa.int64(), pa.int64()])
+class _Postings:
+    """A block's members: which of them hold each of a query's shingles."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.asarray([len(s) for s in sets], np.int64)
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(flat, kind="stable")
+        self.flat, self.owner = flat[order], owner[order]
+
+    def linked_members(self, s: np.ndarray, percent: int) -> np.ndarray:
+        lo, hi = np.searchsorted(self.flat, s, "left"), np.searchsorted(self.flat, s, "right")
+        hit = hi > lo
+        # the overlap with the token union bounds the overlap with every member
+        if 100 * int(hit.sum()) < percent * len(s):
+            return np.zeros(0, np.int64)
+        lo, n = lo[hit], (hi - lo)[hit]
+        at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
+        common = np.bincount(self.owner[at], minlength=len(self.sizes))
+        return np.flatnonzero(100 * common >= percent * (self.sizes + len(s) - common))
+
+
+def _sets_of(column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
+
+
+def _links(rows: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({"a": pa.array([x for x, _ in rows], pa.int64()), "b": pa.array([y for _, y in rows], pa.int64())})
+
+
+def _link_block(percent: int):
+    """A block's members: a forest of links with the components of all its links."""
+    def run(members: pa.Table) -> pa.Table:
+        names, sets = members.column("cls").to_pylist(), _sets_of(members.column("tokens"))
+        parent, out = list(range(len(sets))), []
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        post, left = _Postings(sets), len(sets)
+        for i, s in enumerate(sets):
+            for j in post.linked_members(s, percent).tolist():
+                x, y = root(i), root(j)
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    out.append((names[i], names[j]))
+                    left -= 1
+            if left == 1:
+                break
+        return _links(out)
 
     return run
 
 
-def _open_group(percent: int):
-    """Cogroup of a group's members and its queries: one link per query that has one."""
+def _open_block(percent: int):
+    """Cogroup of a block's members and its queries: one link per query and component."""
     def run(members: pa.Table, queries: pa.Table) -> pa.Table:
-        names = members.column("cls").to_pylist()
-        sets = [np.frombuffer(x, np.uint64) for x in members.column("tokens").to_pylist()]
+        names, comps = members.column("cls").to_pylist(), members.column("comp").to_pylist()
         out = []
         if names and queries.num_rows:
-            sizes = np.asarray([len(s) for s in sets], np.int64)
-            flat = np.concatenate(sets)
-            owner = np.repeat(np.arange(len(sets)), sizes)
-            order = np.argsort(flat, kind="stable")
-            flat, owner = flat[order], owner[order]
-            for q, raw in zip(queries.column("q").to_pylist(), queries.column("q_tokens").to_pylist()):
-                s = np.frombuffer(raw, np.uint64)
-                lo, hi = np.searchsorted(flat, s, "left"), np.searchsorted(flat, s, "right")
-                hit = hi > lo
-                # overlap with the token union bounds the overlap with every member
-                if 100 * int(hit.sum()) < percent * len(s):
-                    continue
-                lo, hi = lo[hit], hi[hit]
-                n = hi - lo
-                at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
-                common = np.bincount(owner[at], minlength=len(sets))
-                ok = np.flatnonzero(100 * common >= percent * (sizes + len(s) - common))
-                if len(ok):
-                    out.append((q, names[int(ok[0])]))
-        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+            post = _Postings(_sets_of(members.column("tokens")))
+            for q, own, s in zip(queries.column("q").to_pylist(), queries.column("q_comp").to_pylist(), _sets_of(queries.column("q_tokens"))):
+                seen = {own}
+                for j in post.linked_members(s, percent).tolist():
+                    if comps[j] not in seen:
+                        seen.add(comps[j])
+                        out.append((q, names[j]))
+        return _links(out)
 
     return run
 
@@ -257,65 +293,70 @@ def _similarity_components(docs, id_col, text_col, shingle, percent) -> Joined:
     uid = F.col("uid") if "uid" in docs.columns else F.monotonically_increasing_id()
     text = utf8(F.col(text_col)).alias("t")
     first = materialize(docs.select(uid.alias("uid"), F.col(id_col).cast("long").alias("id"), text).mapInArrow(
-        _signatures(shingle), "uid long, id long, n int, cls long, bins array<long>, token long, count long"), "sim-signatures")
-    rows = first.filter("token is null").select("uid", "id", "n", "cls", "bins")
+        _signatures(shingle), "uid long, id long, n int, cls long, token long, count long"), "sim-signatures")
+    rows = first.filter("token is null").select("uid", "id", "n", "cls")
     # the most frequent shingles, at most MAX_FREQUENT: they order prefixes and decide nothing
     often = (first.filter("token is not null").groupBy("token").agg(F.sum("count").alias("c"))
              .orderBy(F.desc("c"), "token").limit(MAX_FREQUENT).select("token"))
     often = np.asarray([r.token for r in often.collect()], np.int64).astype(np.uint64)
     frequent = spark.sparkContext.broadcast(np.sort(often))
     classes = materialize(rows.filter("n > 0").groupBy("cls").agg(
-        F.min("id").alias("id"), F.first("n").alias("n"), F.first("bins").alias("bins")), "sim-classes")
+        F.min("id").alias("id"), F.first("n").alias("n")), "sim-classes")
 
     prefixes = docs.select(text).mapInArrow(_prefixes(shingle, percent, frequent), "token long, cls long")
     w = Window.partitionBy("token")
     shared = materialize(prefixes.withColumn("lo", F.min("cls").over(w)).withColumn("hi", F.max("cls").over(w))
                          .filter("lo <> hi").select("token", "cls").distinct(), "sim-shared")
-    needed = shared.select("cls").distinct()
+    sizes = classes.select("cls", "n")
+    for _ in range(2):
+        needed = shared.groupBy("cls").agg(F.count("*").alias("k")).join(sizes, "cls").filter(
+            F.col("k") >= _partner_least(F.col("n"), percent)).select("cls")
+        kept = shared.join(needed, "cls")
+        shared = materialize(kept.withColumn("lo", F.min("cls").over(w)).withColumn("hi", F.max("cls").over(w))
+                             .filter("lo <> hi").select("token", "cls"), "sim-shared")
+    needed = materialize(shared.select("cls").distinct(), "sim-needed")
     wanted = classes.join(needed, "cls").select(F.col("id").alias("wanted_id")).distinct()
     full = docs.select(F.col(id_col).cast("long").alias("i"), text).join(wanted, F.col("i").eqNullSafe(F.col("wanted_id")), "left_semi")
     sets = full.select("t").mapInArrow(_sets(shingle), "cls long, n int, tokens binary")
     sets = materialize(sets.join(needed, "cls", "left_semi").groupBy("cls").agg(
         F.first("n").alias("n"), F.first("tokens").alias("tokens")), "sim-sets")
 
-    # leaders: classes of a bucket against the bucket's least class, under a few orders
-    bands = (classes.join(needed, "cls", "left_semi")
-             .select("cls", "n", F.explode(F.expr(f"transform(sequence(0, {BINS // 2 - 1}), i -> xxhash64(i, bins[2 * i], bins[2 * i + 1]))")).alias("band")))
-    leaders = bands.groupBy("band").agg(F.count("*").alias("size"), F.array(*[
-        F.min(F.struct(F.xxhash64(F.lit(r), "cls").alias("o"), "cls", "n")) for r in range(LEADERS)]).alias("lead")).filter("size > 1")
-    stars = (bands.join(leaders.select("band", "lead"), "band").select("cls", "n", F.explode("lead").alias("l"))
-             .filter((F.col("cls") != F.col("l.cls")) & (100 * F.least("n", "l.n") >= percent * F.greatest("n", "l.n")))
-             .groupBy("cls", F.col("l.cls").alias("lead")).agg(F.count("*").alias("votes"))
-             .filter("votes >= 2 * " + str(LEADERS - 2)).select(F.col("cls").alias("a"), F.col("lead").alias("b")))
-    one, two = sets.select(F.col("cls").alias("a"), F.col("tokens").alias("s")), sets.select(F.col("cls").alias("b"), F.col("tokens").alias("t"))
-    star_links = materialize(stars.join(one, "a").join(two, "b").select("a", "b", "s", "t")
-                             .mapInArrow(_verify(percent), "a long, b long"), "sim-stars")
-    comps = materialize(connected_components(star_links), "sim-groups")
-
-    # groups: components cut into blocks; a class without a link is a group of its own
-    member = sets.select("cls", "n").join(comps.withColumnRenamed("node", "cls"), "cls", "left").select(
-        "cls", "n", F.coalesce("comp", "cls").alias("comp"))
-    blocks = member.groupBy("comp").agg(F.ceil(F.sum("n") / F.lit(GROUP_TOKENS)).cast("long").alias("blocks"),
-                                        F.count("*").alias("members"))
-    member = materialize(member.join(blocks, "comp").select(
-        "cls", "n", "comp", "members", F.xxhash64("comp", F.pmod(F.xxhash64("cls"), "blocks")).alias("grp")), "sim-members")
-    spans = F.struct("members", "comp")
+    # groups of similar classes, cut into blocks
+    heads = shared.groupBy("token").agg(F.min(F.struct(F.xxhash64("cls").alias("o"), "cls")).alias("h"))
+    votes = shared.join(heads, "token").groupBy("cls", F.col("h.cls").alias("head")).agg(F.count("*").alias("votes"))
+    named = votes.groupBy("cls").agg(F.max(F.struct("votes", "head")).alias("v")).select("cls", F.col("v.head").alias("head"))
+    named = materialize(named, "sim-heads")
+    again = named.select(F.col("cls").alias("head"), F.col("head").alias("top"))
+    member = named.join(again, "head", "left").select("cls", F.coalesce("top", "head").alias("top")).join(sets.select("cls", "n"), "cls")
+    blocks = member.groupBy("top").agg(F.ceil(F.sum("n") / F.lit(GROUP_TOKENS)).cast("long").alias("blocks"))
+    member = materialize(member.join(blocks, "top").select(
+        "cls", "n", F.xxhash64("top", F.pmod(F.xxhash64(F.lit(1), "cls"), "blocks")).alias("grp")), "sim-members")
+
+    crowded = member.groupBy("grp").agg(F.count("*").alias("k")).filter("k > 1").select("grp")
+    inside = member.join(crowded, "grp").join(sets.select("cls", "tokens"), "cls").select("grp", "cls", "tokens")
+    inner = materialize(inside.groupBy("grp").applyInArrow(_link_block(percent), "a long, b long"), "sim-inner")
+    comps = connected_components(inner).withColumnRenamed("node", "cls")
+
+    # the matrix, and who asks which block
+    member = materialize(member.join(comps, "cls", "left").select("cls", "n", "grp", F.coalesce("comp", "cls").alias("comp")), "sim-members")
     marks = shared.join(member, "cls")
-    matrix = marks.groupBy("token", "grp").agg(F.first("comp").alias("g_comp"), F.first("members").alias("g_members"),
+    matrix = marks.groupBy("token", "grp").agg(F.min("comp").alias("c_lo"), F.max("comp").alias("c_hi"),
                                                F.min("n").alias("lo"), F.max("n").alias("hi"))
-    asks = marks.select("token", "cls", "comp", "members", "n").join(matrix, "token").filter(
-        # the smaller component asks, the larger one is opened
-        (F.struct(F.col("members").alias("m"), F.col("comp").alias("c")) < F.struct(F.col("g_members").alias("m"), F.col("g_comp").alias("c")))
-        & (100 * F.col("n") >= percent * F.col("lo")) & (100 * F.col("hi") >= percent * F.col("n")))
-    asks = materialize(asks.select("cls", "grp").distinct(), "sim-asks")
+    asks = (marks.select("token", "cls", F.col("grp").alias("own"), "comp", "n").join(matrix, "token")
+            .filter((F.col("own") < F.col("grp")) & (100 * F.col("n") >= percent * F.col("lo")) & (100 * F.col("hi") >= percent * F.col("n"))))
+    least = F.least(_least_shared(F.max("n")), _least_shared(F.min("lo")))
+    asks = (asks.groupBy("cls", "comp", "grp").agg(F.count("*").alias("k"), F.min("c_lo").alias("c_lo"), F.max("c_hi").alias("c_hi"), least.alias("least"))
+            .filter(F.col("k") >= F.col("least")))
+    whole = member.groupBy("grp").agg(F.min("comp").alias("g_lo"), F.max("comp").alias("g_hi"))
+    asks = materialize(asks.join(whole, "grp").filter(~((F.col("g_lo") == F.col("comp")) & (F.col("g_hi") == F.col("comp"))))
+                       .select("cls", "comp", "grp"), "sim-asks")
     asked = sets.select(F.col("cls").alias("q"), F.col("tokens").alias("q_tokens"))
-    queries = asks.select(F.col("cls").alias("q"), F.col("grp").alias("q_grp")).join(asked, "q")
+    queries = asks.select(F.col("cls").alias("q"), F.col("comp").alias("q_comp"), F.col("grp").alias("q_grp")).join(asked, "q")
     opened = asks.select("grp").distinct()
-    inside = member.select("cls", "grp").join(opened, "grp").join(sets.select("cls", "tokens"), "cls")
-    links = materialize(inside.groupBy("grp").cogroup(queries.groupBy("q_grp")).applyInArrow(
-        _open_group(percent), "a long, b long"), "sim-links")
-    all_links = star_links.unionByName(links)
-    return Joined(rows, classes, materialize(connected_components(all_links), "sim-components"))
+    inside = member.select("cls", "comp", "grp").join(opened, "grp").join(sets.select("cls", "tokens"), "cls")
+    outer = materialize(inside.groupBy("grp").cogroup(queries.groupBy("q_grp")).applyInArrow(
+        _open_block(percent), "a long, b long"), "sim-outer")
+    return Joined(rows, classes, materialize(connected_components(inner.unionByName(outer)), "sim-components"))
 
 
 def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
