@@ -46,8 +46,9 @@ from tessera.session import sql_conf
 SHINGLE, PERCENT = 4, 85
 FREQUENT = 4                 # texts of a block that make a shingle frequent
 MAX_FREQUENT = 1 << 20       # frequent shingles that order the prefix (8 MB)
-GROUP_TOKENS = 1 << 18
+GROUP_TOKENS = 1 << 19
 BLOCK_BYTES = 8_000_000
+SMALL_ROWS = 1_000_000       # tables of two or three numbers a row are broadcast up to so many rows
 L_STEP = 25                  # one more shared prefix shingle is asked for per so many shingles
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -280,6 +281,12 @@ class Joined:
     members: DataFrame       # cls, comp (class id) for classes with a link
 
 
+def _small(rows: DataFrame) -> DataFrame:
+    """Broadcast a materialised table of a few numbers a row if it is small, else leave the
+    join to a shuffle."""
+    return F.broadcast(rows) if rows.count() <= SMALL_ROWS else rows
+
+
 def similarity_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                           shingle: int = SHINGLE, percent: int = PERCENT) -> Joined:
     """``docs`` needs a stable ``uid`` (long) if rows are to be told apart; see ``join``."""
@@ -315,11 +322,13 @@ def _similarity_components(docs, id_col, text_col, shingle, percent) -> Joined:
         shared = materialize(kept.withColumn("lo", F.min("cls").over(w)).withColumn("hi", F.max("cls").over(w))
                              .filter("lo <> hi").select("token", "cls"), "sim-shared")
     needed = materialize(shared.select("cls").distinct(), "sim-needed")
-    wanted = classes.join(needed, "cls").select(F.col("id").alias("wanted_id")).distinct()
-    full = docs.select(F.col(id_col).cast("long").alias("i"), text).join(wanted, F.col("i").eqNullSafe(F.col("wanted_id")), "left_semi")
-    sets = full.select("t").mapInArrow(_sets(shingle), "cls long, n int, tokens binary")
-    sets = materialize(sets.join(needed, "cls", "left_semi").groupBy("cls").agg(
-        F.first("n").alias("n"), F.first("tokens").alias("tokens")), "sim-sets")
+    wanted = materialize(classes.join(needed, "cls").select(F.col("id").alias("wanted_id")).distinct(), "sim-wanted")
+    full = docs.select(F.col(id_col).cast("long").alias("i"), text).join(
+        _small(wanted), F.col("i").eqNullSafe(F.col("wanted_id")), "left_semi")
+    sets = materialize(full.select("t").mapInArrow(_sets(shingle), "cls long, n int, tokens binary"), "sim-sets")
+    found = sets.agg(F.count("*").alias("rows"), F.count_distinct("cls").alias("classes")).first()
+    if found.rows > found.classes:               # rows that repeat an id came along: one set a class
+        sets = materialize(sets.groupBy("cls").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")), "sim-sets")
 
     # groups of similar classes, cut into blocks
     heads = shared.groupBy("token").agg(F.min(F.struct(F.xxhash64("cls").alias("o"), "cls")).alias("h"))
@@ -333,7 +342,7 @@ def _similarity_components(docs, id_col, text_col, shingle, percent) -> Joined:
         "cls", "n", F.xxhash64("top", F.pmod(F.xxhash64(F.lit(1), "cls"), "blocks")).alias("grp")), "sim-members")
 
     crowded = member.groupBy("grp").agg(F.count("*").alias("k")).filter("k > 1").select("grp")
-    inside = member.join(crowded, "grp").join(sets.select("cls", "tokens"), "cls").select("grp", "cls", "tokens")
+    inside = sets.select("cls", "tokens").join(_small(materialize(member.join(crowded, "grp").select("cls", "grp"), "sim-inside")), "cls")
     inner = materialize(inside.groupBy("grp").applyInArrow(_link_block(percent), "a long, b long"), "sim-inner")
     comps = connected_components(inner).withColumnRenamed("node", "cls")
 
@@ -351,9 +360,9 @@ def _similarity_components(docs, id_col, text_col, shingle, percent) -> Joined:
     asks = materialize(asks.join(whole, "grp").filter(~((F.col("g_lo") == F.col("comp")) & (F.col("g_hi") == F.col("comp"))))
                        .select("cls", "comp", "grp"), "sim-asks")
     asked = sets.select(F.col("cls").alias("q"), F.col("tokens").alias("q_tokens"))
-    queries = asks.select(F.col("cls").alias("q"), F.col("comp").alias("q_comp"), F.col("grp").alias("q_grp")).join(asked, "q")
-    opened = asks.select("grp").distinct()
-    inside = member.select("cls", "comp", "grp").join(opened, "grp").join(sets.select("cls", "tokens"), "cls")
+    queries = asked.join(_small(asks.select(F.col("cls").alias("q"), F.col("comp").alias("q_comp"), F.col("grp").alias("q_grp"))), "q")
+    opened = materialize(member.join(asks.select("grp").distinct(), "grp").select("cls", "comp", "grp"), "sim-opened")
+    inside = sets.select("cls", "tokens").join(_small(opened), "cls")
     outer = materialize(inside.groupBy("grp").cogroup(queries.groupBy("q_grp")).applyInArrow(
         _open_block(percent), "a long, b long"), "sim-outer")
     return Joined(rows, classes, materialize(connected_components(inner.unionByName(outer)), "sim-components"))
