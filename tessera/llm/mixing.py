@@ -134,7 +134,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     quota = spark.createDataFrame(rows, "s string, epochs int, rest double, blocks int")
 
     # the partial epoch: order the blocks, take those that fit, cut the one at the edge
-    dealt = (sizes.join(quota.filter("rest > 0"), "s")
+    dealt = (sizes.join(F.broadcast(quota.filter("rest > 0")), "s")     # one row per source
              .withColumn("b", F.pmod(F.xxhash64(F.lit(SEED), "i", "h"), F.col("blocks"))))
     key = F.xxhash64(F.lit(SEED), "s", "epochs", "b")
     blocks = dealt.groupBy("s", "epochs", "rest", "b").agg(F.sum("t").alias("t")).withColumn("o", key)
@@ -144,7 +144,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
             .select("s", F.col("b").alias("edge_b"), F.col("o").alias("edge_o"), (F.col("rest") - F.col("before")).alias("left")))
     inner = F.xxhash64(F.lit(SEED + 1), "epochs", "i", "h")
     w2 = Window.partitionBy("s").orderBy("k", "i", "h").rowsBetween(Window.unboundedPreceding, -1)
-    cut = (dealt.join(edge, "s").filter(F.col("b") == F.col("edge_b")).withColumn("k", inner)
+    cut = (dealt.join(F.broadcast(edge), "s").filter(F.col("b") == F.col("edge_b")).withColumn("k", inner)
            .withColumn("sum", F.coalesce(F.sum("t").over(w2), F.lit(0))).filter(F.col("sum") < F.col("left"))
            .groupBy("s").agg(F.max(F.struct("k", "i", "h")).alias("last")))
     edges = quota.join(edge, "s", "left").join(cut, "s", "left").collect()      # one row per source
