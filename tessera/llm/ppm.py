@@ -38,7 +38,7 @@ from tessera.llm.common import chunks, fold_of, materialize, utf8
 
 BOUND = b"\xff"
 N_KEYS = 1 << 24
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 4_000_000
 HEAVY = 1_000_000            # at most so many words are broadcast
 HEAVY_BYTES = 64             # longer words always go through the join
 FLUSH_WORDS = 600_000        # distinct words a counting task holds
@@ -57,6 +57,21 @@ def byte_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return key, starts
 
 
+def add_counts(key: np.ndarray, total: np.ndarray) -> None:
+    """Add the keys' counts to ``total`` (one entry per possible key; untouched pages of it
+    take no memory). Bytes are numbered by those that occur, which keeps the counting array small."""
+    key = key[key >= 0]
+    if not len(key):
+        return
+    used = np.flatnonzero(np.bincount(key & 255, minlength=256) + np.bincount((key >> 8) & 255, minlength=256)
+                          + np.bincount(key >> 16, minlength=256))
+    rank, m = np.zeros(256, np.int32), len(used)
+    rank[used] = np.arange(m)
+    n = np.bincount((rank[key >> 16] * m + rank[(key >> 8) & 255]) * m + rank[key & 255], minlength=m ** 3)
+    at = np.flatnonzero(n)
+    total[(used[at // (m * m)] << 16) | (used[at // m % m] << 8) | used[at % m]] += n[at]
+
+
 def count_corpus(batches):
     """Partition-wise counts: rows (gram, null, n) and (null, word, n)."""
     grams = np.zeros(N_KEYS, np.int64)
@@ -75,7 +90,7 @@ def count_corpus(batches):
         for part in chunks(b.column(0).to_pylist(), len, BLOCK_BYTES):
             part = [t.lower() for t in part]
             key, _ = byte_keys(part)
-            grams += np.bincount(key[key >= 0], minlength=N_KEYS)
+            add_counts(key, grams)
             for t in part:
                 words.update(t.split())
             words[b""] += len(part)                       # the end token
