@@ -44,8 +44,7 @@ def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def stage_sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_pieces, ids and the measured round trip of every row."""
     ship(spark)
-    return docs.select("doc_id", "source", pieces.encoder()(F.coalesce(F.col("text"), F.lit(""))).alias("r")).select(
-        "doc_id", "source", "r.n_pieces", "r.ids", "r.ids_sha256", "r.round_trip")
+    return pieces.encode_documents(docs, keep=("source",))
 
 
 STAGES = [("toxicity", stage_toxicity), ("exact_dedup", stage_exact_dedup), ("near_dedup", stage_near_dedup),

@@ -14,7 +14,7 @@ differ from that library's). Of equal scores the segmentation whose last piece i
 longest wins.
 
 Defined results: null and empty texts have no pieces (sha256 of no bytes, round trip
-true). A word costs its length times the longest piece; repeated rows encode alike.
+true). A word costs its length times the number of piece lengths; repeated rows encode alike.
 """
 
 from __future__ import annotations
@@ -25,15 +25,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from tessera.llm.common import chunks
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
-BLOCK_CHARS = 6_000_000      # texts handled together in a task
-MEMO_WORDS = 400_000         # words whose ids a task keeps between blocks
+BLOCK_BYTES = 2_000_000      # texts handled together in a task, and rows sent back at once
+MEMO_WORDS = 500_000         # words whose ids a task keeps between blocks
 BYTE_SCORE = -1.0e6          # a byte piece only where no listed piece covers a character
 CUT = re.compile(r"[\t\n\v\f\r]| ?[^ \t\n\v\f\r]+| ")
 
@@ -43,7 +46,7 @@ class Vocabulary:
     scores: dict[str, tuple[float, int]]     # piece (mark as a space) -> score, id
     pieces: list[bytes]                      # id -> UTF-8 text it stands for
     byte_ids: list[int]                      # byte -> id of its byte piece
-    longest: int
+    lengths: dict[str, tuple[int, ...]]      # last three characters -> lengths of pieces that end so, longest first
 
 
 _LOADED: dict[str, Vocabulary] = {}
@@ -67,14 +70,18 @@ def load_vocabulary(path: str = MODEL_FILE) -> Vocabulary:
                 x = x.replace("▁", " ")
                 scores[x] = (p.get_score(i), i)
                 pieces.append(x.encode())
-        _LOADED[path] = Vocabulary(scores, pieces, byte_ids, max(map(len, scores)))
+        ends: dict[str, set[int]] = {}
+        for x in scores:
+            if len(x) >= 3:
+                ends.setdefault(x[-3:], set()).add(len(x))
+        _LOADED[path] = Vocabulary(scores, pieces, byte_ids, {x: tuple(sorted(n, reverse=True)) for x, n in ends.items()})
     return _LOADED[path]
 
 
 def encode_words(words: list[str], v: Vocabulary) -> dict[str, bytes]:
     """Distinct marked words -> their ids as int32 bytes, scoring shared prefixes once."""
     out: dict[str, bytes] = {}
-    get, longest = v.scores.get, v.longest
+    get, lengths = v.scores.get, v.lengths.get
     best: list[float] = [0.0]                    # per prefix length: best score,
     back: list[tuple] = [(0, ())]                # and (start of the last piece, its ids)
     before = ""
@@ -86,10 +93,12 @@ def encode_words(words: list[str], v: Vocabulary) -> dict[str, bytes]:
         del best[k + 1:], back[k + 1:]
         for j in range(k + 1, n + 1):
             score, link = -1e300, None
-            for i in range(j - longest if j > longest else 0, j):
-                hit = get(w[i:j])
-                if hit is not None and best[i] + hit[0] > score:
-                    score, link = best[i] + hit[0], (i, (hit[1],))
+            for size in lengths(w[j - 3:j], ()) + (2, 1) if j >= 3 else range(j, 0, -1):
+                i = j - size
+                if i >= 0:
+                    hit = get(w[i:j])
+                    if hit is not None and best[i] + hit[0] > score:
+                        score, link = best[i] + hit[0], (i, (hit[1],))
             if link is None or score < BYTE_SCORE / 2:
                 raw = w[j - 1].encode()
                 s = best[j - 1] + BYTE_SCORE * len(raw)
@@ -120,29 +129,6 @@ def decode_ids(ids: np.ndarray, v: Vocabulary) -> str:
     return b"".join(map(v.pieces.__getitem__, ids.tolist())).decode("utf-8")
 
 
-ENCODED = "ids array<int>, n_pieces int, ids_sha256 string, round_trip boolean"
-
-
-def encoder(path: str = MODEL_FILE):
-    """Column function: text -> struct of ENCODED. ``round_trip`` is measured: the ids
-    are decoded again and compared with the text."""
-
-    @pandas_udf(ENCODED)
-    def encode(texts: pd.Series) -> pd.DataFrame:
-        v, memo = load_vocabulary(path), {}
-        ids, n, sha, same = [], [], [], []
-        for part in chunks(list(texts), len, BLOCK_CHARS):
-            for t, raw in zip(part, encode_block(part, v, memo)):
-                x = np.frombuffer(raw, np.int32)
-                ids.append(x)
-                n.append(len(x))
-                sha.append(hashlib.sha256(raw).hexdigest())
-                same.append(decode_ids(x, v) == t)
-        return pd.DataFrame({"ids": ids, "n_pieces": pd.Series(n, dtype="int32"), "ids_sha256": sha, "round_trip": same})
-
-    return encode
-
-
 def decoder(path: str = MODEL_FILE):
     """Column function: array of ids -> text (null ids: empty text)."""
 
@@ -154,8 +140,33 @@ def decoder(path: str = MODEL_FILE):
     return decode
 
 
-def encode_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path: str = MODEL_FILE) -> DataFrame:
-    """doc_id, n_pieces, ids, ids_sha256 (little-endian int32), round_trip: one row per row."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("doc_id"), encoder(path)(text).alias("r")).select(
-        "doc_id", "r.n_pieces", "r.ids", "r.ids_sha256", "r.round_trip")
+def encode_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (),
+                     path: str = MODEL_FILE) -> DataFrame:
+    """doc_id, the columns of ``keep``, n_pieces, ids, ids_sha256 (little-endian int32) and
+    round_trip (measured: the ids are decoded again and compared with the text): one row per
+    row. Rows come back in small batches, so a task holds a block at a time."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), *keep, F.coalesce(F.col(text_col), F.lit("")).alias("piece_text"))
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("n_pieces", T.IntegerType()),
+                           T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("ids_sha256", T.StringType()),
+                           T.StructField("round_trip", T.BooleanType())])
+
+    def run(batches):
+        v, memo = load_vocabulary(path), {}
+        for b in batches:
+            sizes = pc.binary_length(b.column(b.num_columns - 1)).to_pylist()
+            at = 0
+            for part in chunks(sizes, lambda n: n, BLOCK_BYTES):
+                block = b.slice(at, len(part))
+                at += len(part)
+                texts = block.column(b.num_columns - 1).to_pylist()
+                raw = encode_block(texts, v, memo)
+                flat = np.frombuffer(b"".join(raw), np.int32)
+                n = np.asarray([len(x) // 4 for x in raw], np.int32)
+                cut = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                same = [decode_ids(flat[cut[i]:cut[i + 1]], v) == t for i, t in enumerate(texts)]
+                yield pa.RecordBatch.from_arrays(
+                    [*block.columns[:-1], pa.array(n), pa.ListArray.from_arrays(pa.array(cut), pa.array(flat)),
+                     pa.array([hashlib.sha256(x).hexdigest() for x in raw], pa.string()), pa.array(same, pa.bool_())],
+                    names=schema.names)
+
+    return rows.mapInArrow(run, schema)
