@@ -59,6 +59,21 @@ def chunks(rows: Iterable, weight, most: int) -> Iterator[list]:
         yield out
 
 
+def tidy() -> None:
+    """Give memory that a finished task no longer uses back to the system: Python workers
+    live on for later tasks beside the executor's heap."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):        # not glibc
+        pass
+
+
 def ship(spark: SparkSession) -> None:
     """Make the package importable in Python tasks (``addPyFile``), unless PYTHONPATH
     already names its folder. A cluster job would use ``--py-files``."""

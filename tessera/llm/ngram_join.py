@@ -39,15 +39,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import chunks, materialize, utf8
+from tessera.llm.common import chunks, materialize, tidy, utf8
 from tessera.llm.components import connected_components
 from tessera.session import sql_conf
 
 SHINGLE, PERCENT = 4, 85
-FREQUENT = 4                 # texts of a block that make a shingle frequent
+FREQUENT = 3                 # texts of a block that make a shingle frequent
 MAX_FREQUENT = 1 << 20       # frequent shingles that order the prefix (8 MB)
 GROUP_TOKENS = 1 << 19
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 4_000_000
 SMALL_ROWS = 1_000_000       # tables of two or three numbers a row are broadcast up to so many rows
 L_STEP = 25                  # one more shared prefix shingle is asked for per so many shingles
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -57,7 +57,7 @@ class _Words(dict):
     """word -> 64-bit hash, emptied when it grows too large."""
 
     def __missing__(self, w: bytes) -> int:
-        if len(self) > 700_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[w] = xxhash.xxh3_64_intdigest(w)
         return h
@@ -148,6 +148,8 @@ def _signatures(k: int):
                     rows += [(None, None, None, None, int(x), int(m))
                              for x, m in zip(v[cut][often].astype(np.int64), n[often])]
             yield _batch(rows, names, types)
+        words.clear()
+        tidy()
 
     return run
 
@@ -173,6 +175,8 @@ def _prefixes(k: int, percent: int, frequent):
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).astype(np.int64)),
                                                   pa.array(np.concatenate(owners))], ["token", "cls"])
+        words.clear()
+        tidy()
 
     return run
 
@@ -196,6 +200,8 @@ def _sets(k: int):
             sets = [s for s in (shingle_set(t, k, words) for t in b.column(0).to_pylist()) if len(s)]
             yield _batch([(class_of(s), len(s), s.tobytes()) for s in sets], ["cls", "n", "tokens"],
                          [pa.int64(), pa.int32(), pa.binary()])
+        words.clear()
+        tidy()
 
     return run
 
@@ -288,16 +294,16 @@ def _small(rows: DataFrame) -> DataFrame:
 
 
 def similarity_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
-                          shingle: int = SHINGLE, percent: int = PERCENT) -> Joined:
-    """``docs`` needs a stable ``uid`` (long) if rows are to be told apart; see ``join``."""
+                          shingle: int = SHINGLE, percent: int = PERCENT, row_col: str | None = None) -> Joined:
+    """``row_col`` names a column of row numbers if rows are to be found again; see ``join``."""
     spark = docs.sparkSession
     with sql_conf(spark, spark__sql__execution__arrow__maxRecordsPerBatch="1000"):
-        return _similarity_components(docs, id_col, text_col, shingle, percent)
+        return _similarity_components(docs, id_col, text_col, shingle, percent, row_col)
 
 
-def _similarity_components(docs, id_col, text_col, shingle, percent) -> Joined:
+def _similarity_components(docs, id_col, text_col, shingle, percent, row_col) -> Joined:
     spark = docs.sparkSession
-    uid = F.col("uid") if "uid" in docs.columns else F.monotonically_increasing_id()
+    uid = F.col(row_col) if row_col else F.monotonically_increasing_id()
     text = utf8(F.col(text_col)).alias("t")
     first = materialize(docs.select(uid.alias("uid"), F.col(id_col).cast("long").alias("id"), text).mapInArrow(
         _signatures(shingle), "uid long, id long, n int, cls long, token long, count long"), "sim-signatures")
@@ -393,8 +399,7 @@ def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     taken = {c.lower() for c in docs.columns}
     uid = next(n for n in ("uid", *(f"row_{i}" for i in range(len(taken) + 1))) if n not in taken)
     numbered = materialize(docs.withColumn(uid, F.monotonically_increasing_id()), "sim-rows")
-    inner = numbered.select(F.col(uid).alias("uid"), F.col(id_col).alias("row_id"), F.col(text_col).alias("row_text"))
-    rows = similarity_components(inner, id_col="row_id", text_col="row_text", shingle=shingle, percent=percent)
+    rows = similarity_components(numbered, id_col=id_col, text_col=text_col, shingle=shingle, percent=percent, row_col=uid)
     named = rows.rows.select("uid", "id", "n", "cls").join(rows.members.withColumnRenamed("node", "cls"), "cls", "left") \
         .filter("n > 0").withColumn("comp", F.coalesce("comp", "cls"))
     best = named.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("z"), "id", "uid")).alias("w"))

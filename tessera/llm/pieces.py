@@ -32,11 +32,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from tessera.llm.common import chunks
+from tessera.llm.common import chunks, tidy
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 BLOCK_BYTES = 2_000_000      # texts handled together in a task, and rows sent back at once
-MEMO_WORDS = 500_000         # words whose ids a task keeps between blocks
+MEMO_WORDS = 200_000         # words whose ids a task keeps between blocks
 BYTE_SCORE = -1.0e6          # a byte piece only where no listed piece covers a character
 CUT = re.compile(r"[\t\n\v\f\r]| ?[^ \t\n\v\f\r]+| ")
 
@@ -168,5 +168,7 @@ def encode_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                     [*block.columns[:-1], pa.array(n), pa.ListArray.from_arrays(pa.array(cut), pa.array(flat)),
                      pa.array([hashlib.sha256(x).hexdigest() for x in raw], pa.string()), pa.array(same, pa.bool_())],
                     names=schema.names)
+        memo.clear()
+        tidy()
 
     return rows.mapInArrow(run, schema)

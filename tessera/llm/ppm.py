@@ -34,14 +34,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import chunks, fold_of, materialize, utf8
+from tessera.llm.common import chunks, fold_of, materialize, tidy, utf8
 
 BOUND = b"\xff"
 N_KEYS = 1 << 24
 BLOCK_BYTES = 4_000_000
 HEAVY = 1_000_000            # at most so many words are broadcast
 HEAVY_BYTES = 64             # longer words always go through the join
-FLUSH_WORDS = 600_000        # distinct words a counting task holds
+FLUSH_WORDS = 300_000        # distinct words a counting task holds
 
 
 def byte_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -102,6 +102,8 @@ def count_corpus(batches):
         k = at[i:i + 500_000]
         yield pa.RecordBatch.from_pydict({"gram": pa.array(k.astype(np.int32)), "word": pa.nulls(len(k), pa.binary()),
                                           "n": pa.array(grams[k])})
+    del grams
+    tidy()
 
 
 def costs_below(last: int | None, c2: np.ndarray, c0: np.ndarray) -> np.ndarray:

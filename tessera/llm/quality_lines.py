@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from tessera.llm import crf
-from tessera.llm.common import SPACE, chunks, materialize, utf8
+from tessera.llm.common import SPACE, chunks, materialize, tidy, utf8
 
 SAMPLE_PER_CLASS = 4000      # bound of the labelled sample, each class
 CONTENT_SHARE = 0.5          # least share of words in content lines
@@ -158,7 +158,7 @@ def marker(model: LineModel):
             base, lengths, tok, feat, sizes = [], [], [], [], []
             for t in part:
                 words = t.split()
-                if len(vocab) > 1 << 20:
+                if len(vocab) > 300_000:
                     vocab.clear()
                 ids = np.fromiter((vocab.setdefault(w, len(vocab)) for w in words), np.int64, len(words))
                 lines, repeats = lines_of(t)
@@ -182,6 +182,8 @@ def marker(model: LineModel):
                 bad, words = y[at:at + k], np.asarray(sizes[at:at + k])
                 out.append((*b, k, int(words[~bad].sum()) if k else 0, ",".join(map(str, np.flatnonzero(bad)))))
                 at += k
+        vocab.clear()
+        tidy()
         return pd.DataFrame(out, columns=[x.split()[0] for x in RESULT.split(", ")])
 
     return mark

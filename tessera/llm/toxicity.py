@@ -32,12 +32,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from tessera.llm import crf
-from tessera.llm.common import chunks, fold_of, materialize, utf8
+from tessera.llm.common import chunks, fold_of, materialize, tidy, utf8
 
 SAMPLE_PER_CLASS = 6000      # bound of the labelled sample, each class
 PREFIXES = (3, 4, 5)         # in code points
 MIN_DOCS, MIN_SHARE, MIN_LIFT, SEED_ODDS = 4, 0.01, 2.0, 8.0
-BLOCK_BYTES = 6_000_000      # texts handled together in a task
+BLOCK_BYTES = 3_000_000      # texts handled together in a task
 EDGE = ".,!?;:|\"'()[]{}*#$%&<>-_"
 
 
@@ -81,7 +81,7 @@ class _Emission(dict):
             i = self.f.get(x)
             if i is not None:
                 e += self.w[i]
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = e
         return e
@@ -228,6 +228,9 @@ def scorer(model: ToxicityModel):
                 first, last = at[np.concatenate([[0], cut + 1])], at[np.concatenate([cut, [len(at) - 1]])]
                 spans[d] = ",".join(f"{a}:{b + 1}" for a, b in zip(first, last))
             out += [(float(a), int(k), float(np.expm1(c)), x) for a, k, c, x in zip(s, n, fig[:, 1], spans)]
+        if em is not None:
+            em.clear()
+        tidy()
         return pd.DataFrame(out, columns=["score", "n_tokens", "toxic_tokens", "spans"])
 
     return score
