@@ -11,39 +11,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import exact_dedup, mixing, ngram_join, pieces, toxicity
-from tessera.llm.common import materialize, ship, table, utf8
+from tessera.llm.common import materialize, prepare, table, utf8
 
 
 def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Fitted on the labelled rows of ``docs``; rows with a score of 0.5 or more go."""
-    ship(spark)
+    prepare(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return docs.filter(F.coalesce(toxicity.scorer(model)(utf8(F.col("text")))["score"], F.lit(0.0)) < 0.5)
 
 
 def stage_exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts stays."""
-    ship(spark)
+    prepare(spark)
     return exact_dedup.drop_copies(docs).select(*docs.columns)
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Five-word shingles, similarity 0.8: one row of each component stays."""
-    ship(spark)
+    prepare(spark)
     return ngram_join.drop_near_copies(docs, shingle=5, percent=80).select(*docs.columns)
 
 
 def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Temperature mixing within the budget that holds every source whole: rows of small
     sources are read more than once, none is lost."""
-    ship(spark)
+    prepare(spark)
     mixed, _ = mixing.mix(docs)
     return mixing.realise(mixed).select(*docs.columns)
 
 
 def stage_sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_pieces, ids and the measured round trip of every row."""
-    ship(spark)
+    prepare(spark)
     return pieces.encode_documents(docs, keep=("source",))
 
 

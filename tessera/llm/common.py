@@ -63,10 +63,8 @@ def tidy() -> None:
     """Give memory that a finished task no longer uses back to the system: Python workers
     live on for later tasks beside the executor's heap."""
     import ctypes
-    import gc
 
     import pyarrow as pa
-    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -74,6 +72,15 @@ def tidy() -> None:
         pass
 
 
+def prepare(spark: SparkSession, rows: int = 2000) -> None:
+    """For the queries and the pipeline: ship the package, and send whole texts to Python
+    tasks at most ``rows`` at a time (the default of 10,000 holds tens of MB per task)."""
+    ship(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def ship(spark: SparkSession) -> None:
     """Make the package importable in Python tasks (``addPyFile``), unless PYTHONPATH
     already names its folder. A cluster job would use ``--py-files``."""

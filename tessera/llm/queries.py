@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import (chat_format, exact_dedup, mixing, ngram_join, pieces, pii, ppm, quality_lines, toxicity, warc)
-from tessera.llm.common import ship, table
+from tessera.llm.common import prepare, table
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -16,7 +16,7 @@ _SQL: dict[str, str] = {}
 def _query(name: str, sql: str | None = None):
     def wrap(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            ship(spark)
+            prepare(spark)
             return fn(spark, sf_dir)
         run.__name__, run.__doc__ = fn.__name__, fn.__doc__
         _QUERIES[name] = run

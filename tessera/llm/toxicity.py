@@ -207,10 +207,14 @@ def scorer(model: ToxicityModel):
     """Column function: UTF-8 bytes -> struct(score, n_tokens, expected toxic tokens,
     spans as 'first:end' token positions, end exclusive, comma-joined)."""
 
+    held: list[_Emission] = []               # a task's cache, kept from batch to batch
+
     @pandas_udf(SCORE_TYPE)
     def score(texts: pd.Series) -> pd.DataFrame:
         out = []
-        em = _Emission(model) if model.chain is not None else None
+        if model.chain is not None and not held:
+            held.append(_Emission(model))
+        em = held[0] if held else None
         for part in chunks(list(texts), len, BLOCK_BYTES):
             if em is None:
                 n = np.asarray([len(t.split()) for t in part], dtype=np.int64)
@@ -228,8 +232,6 @@ def scorer(model: ToxicityModel):
                 first, last = at[np.concatenate([[0], cut + 1])], at[np.concatenate([cut, [len(at) - 1]])]
                 spans[d] = ",".join(f"{a}:{b + 1}" for a, b in zip(first, last))
             out += [(float(a), int(k), float(np.expm1(c)), x) for a, k, c, x in zip(s, n, fig[:, 1], spans)]
-        if em is not None:
-            em.clear()
         tidy()
         return pd.DataFrame(out, columns=["score", "n_tokens", "toxic_tokens", "spans"])
 
