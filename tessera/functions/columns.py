@@ -90,8 +90,8 @@ def source_name(c: Column, default: str = "json-api") -> Column:
 
 
 def retry_delay(attempt: Column, base: float = 2.0, cap: float = 60.0) -> Column:
-    """Capped exponential back-off: min(base * 2^(attempt-1), cap)."""
-    return F.least(F.lit(float(base)) * F.pow(F.lit(2.0), attempt.cast("double") - 1.0),
+    """Capped exponential back-off: min(base * 2^max(attempt-1, 0), cap)."""
+    return F.least(F.lit(float(base)) * F.pow(F.lit(2.0), F.greatest(attempt.cast("double") - 1.0, F.lit(0.0))),
                    F.lit(float(cap)))
 
 

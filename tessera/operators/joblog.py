@@ -37,11 +37,17 @@ def dead_letter_report(dead_ids: DataFrame, state: DataFrame) -> DataFrame:
     return dead_ids.distinct().join(state, "job_id", "inner")
 
 
+# fixed values: error classes that are worth another attempt (each with its built-in subclasses)
+TRANSIENT_ERRORS = ("OSError", "TimeoutError", "ConnectionError", "RedisError", "ConnectionResetError",
+                    "ConnectionRefusedError", "ConnectionAbortedError", "BrokenPipeError", "InterruptedError")
+
+
 def retry_plan(state: DataFrame, error_class: str = "error_class", max_attempts: int = MAX_ATTEMPTS,
                base: float = RETRY_BASE, cap: float = RETRY_CAP) -> DataFrame:
-    """Failed jobs with a retryable error and attempts left get a capped exponential delay."""
+    """Failed jobs whose error class is one of the transient ones (an allow-list; a missing
+    class is not retried) and that have attempts left get a capped exponential delay."""
     failed = state.filter(F.col("status") == "failed")
-    retryable = (F.col(error_class) != "ValidationError") & (F.col("attempt") < max_attempts)
+    retryable = F.coalesce(F.col(error_class).isin(*TRANSIENT_ERRORS), F.lit(False)) & (F.col("attempt") < max_attempts)
     return failed.select("job_id", "attempt", error_class, retryable.alias("retryable"),
                          F.when(retryable, retry_delay(F.col("attempt"), base, cap)).alias("delay_seconds"))
 

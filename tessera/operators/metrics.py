@@ -179,4 +179,4 @@ def roc_auc(df: DataFrame, label: str, score: str, positive: Column | None = Non
     return run.agg(
         F.sum(F.col("_p") * (F.col("_neg_le") - F.col("_q") + F.col("_q") * 0.5)).alias("_num"),
         F.sum("_p").alias("_P"), F.sum("_q").alias("_N"),
-    ).select(F.round(F.try_divide(F.col("_num"), F.col("_P") * F.col("_N")), ROUND).alias("roc_auc"))
+    ).select(F.round(F.try_divide(F.col("_num"), F.col("_P").cast("double") * F.col("_N").cast("double")), ROUND).alias("roc_auc"))

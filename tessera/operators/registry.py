@@ -16,6 +16,11 @@ from pyspark.sql import functions as F
 REGISTER, SET_STATUS, RENAME, UNREGISTER = "register", "set_status", "rename", "unregister"
 
 
+def _trimmed(name: str):
+    """The name without white space at its ends (tabs and line ends too)."""
+    return F.btrim(F.col(name), F.lit(" \t\n\r\x0b\x0c"))
+
+
 def registry_state(events: DataFrame, id_col: str = "model_id", seq: str = "seq") -> DataFrame:
     """Fold (id, seq, kind, name, status) events into one row per id:
     name (trimmed, latest register/rename), status (latest register -> active or
@@ -26,7 +31,7 @@ def registry_state(events: DataFrame, id_col: str = "model_id", seq: str = "seq"
     named = kind.isin(REGISTER, RENAME) & F.col("name").isNotNull()
     status = F.when(kind == REGISTER, F.lit("active")).when(kind == SET_STATUS, F.col("status"))
     return events.groupBy(id_col).agg(
-        F.max_by(F.trim(F.col("name")), F.when(named, s)).alias("name"),
+        F.max_by(_trimmed("name"), F.when(named, s)).alias("name"),
         F.max_by(status, F.when(status.isNotNull(), s)).alias("status"),
         (F.max_by(kind, F.when(life, s)) == REGISTER).alias("present"),
         F.max(F.when(kind == REGISTER, s)).alias("registered_seq"),
@@ -47,9 +52,9 @@ def name_lookup(lookups: DataFrame, state: DataFrame, name_col: str = "lookup_na
                 id_col: str = "model_id") -> DataFrame:
     """Trim + casefold equality against active models; the first model by
     registration order wins among duplicates. Lookups without a match keep a null id."""
-    act = active_models(state).select(F.lower(F.trim("name")).alias("_k"), id_col, "registered_seq")
+    act = active_models(state).select(F.lower(_trimmed("name")).alias("_k"), id_col, "registered_seq")
     first = act.groupBy("_k").agg(F.min_by(id_col, "registered_seq").alias(id_col))
-    return (lookups.withColumn("_k", F.lower(F.trim(F.col(name_col))))
+    return (lookups.withColumn("_k", F.lower(_trimmed(name_col)))
             .join(first, "_k", "left").drop("_k"))
 
 

@@ -98,6 +98,7 @@ class ScoreResult:
     predictions: DataFrame
     metrics: DataFrame | None      # rows, dropped_rows and the metrics (None without ground truth)
     ground_truth: str | None
+    guards: DataFrame | None = None    # rows, dropped_rows; reading it raises if a guard fails
 
 
 # ---------------------------------------------------------------- validation steps
@@ -178,12 +179,17 @@ def score(df: DataFrame, manifest: Manifest, model, ground_truth: str | None = N
     df = add_absent_optional(df, manifest)
     gt = resolve_ground_truth(df, manifest, ground_truth)
 
-    flags = {f"_bad_{i}": coercion_violation(df, f) for i, f in enumerate(manifest.features) if f.numeric}
+    flags = {f"__score_bad_{i}": coercion_violation(df, f) for i, f in enumerate(manifest.features) if f.numeric}
     bad = [F.count_if(F.col(n)).alias(n) for n in flags]
     typed = coerce_features(df.select("*", *[c.alias(n) for n, c in flags.items()]), manifest)
     keep = keep_complete(typed, manifest, gt)
-    flagged = typed.withColumn("_keep", keep)
-    kept = flagged.filter(F.col("_keep")).drop("_keep", *flags)
+    flagged = typed.withColumn("__score_keep", keep)
+    # a present value that does not parse stops the run, with or without a ground truth
+    refuse = F.when(F.lit(False), F.lit(None).cast("boolean"))
+    for i, f in enumerate(manifest.features):
+        if f.numeric:
+            refuse = refuse.when(F.col(f"__score_bad_{i}"), F.raise_error(F.lit(f"column '{f.name}' must contain {f.dtype} values")).cast("boolean"))
+    kept = flagged.filter(refuse.otherwise(F.col("__score_keep"))).drop("__score_keep", *flags)
 
     pred_name = manifest.prediction_column
     if hasattr(model, "transform"):
@@ -193,8 +199,10 @@ def score(df: DataFrame, manifest: Manifest, model, ground_truth: str | None = N
     if manifest.is_classification:
         out = raw.withColumn(pred_name, F.col("_raw_pred").cast("string"))
         if gt:
-            out = out.withColumn("prediction_correct",
-                                 F.coalesce(F.col(pred_name) == col(gt).cast("string"), F.lit(False)))
+            truth, guess = col(gt).cast("string"), F.col("_raw_pred").cast("string")
+            if isinstance(out.schema["_raw_pred"].dataType, T.NumericType):      # 1.0 and 1 are the same class
+                truth, guess = (c.try_cast("double").cast("string") for c in (truth, guess))
+            out = out.withColumn("prediction_correct", F.coalesce(guess == truth, F.lit(False)))
     else:
         out = raw.withColumn(pred_name, F.round(F.col("_raw_pred").cast("double"), 4))
         if gt:
@@ -206,20 +214,23 @@ def score(df: DataFrame, manifest: Manifest, model, ground_truth: str | None = N
         # expression models: guards and metrics in one aggregate over one scan, the
         # metric terms masked to the kept rows
         yv, pv = col(gt).cast("double"), model.predict().cast("double")
-        one = flagged.agg(F.count(F.lit(1)).alias("_rows_in"), F.count_if(F.col("_keep")).alias("_rows"), *bad,
-                          *M.regression_terms(yv, pv, mask=F.col("_keep")))
+        one = flagged.agg(F.count(F.lit(1)).alias("_rows_in"), F.count_if(F.col("__score_keep")).alias("_rows"), *bad,
+                          *M.regression_terms(yv, pv, mask=F.col("__score_keep")))
         metrics = _guard_columns(one, manifest).select("rows", "dropped_rows", *M.regression_columns())
     elif gt:
-        guards = [F.count(F.lit(1)).alias("_rows_in"), F.count_if(F.col("_keep")).alias("_rows")] + bad
+        guards = [F.count(F.lit(1)).alias("_rows_in"), F.count_if(F.col("__score_keep")).alias("_rows")] + bad
         guard_row = flagged.agg(*guards)
         if manifest.is_classification:
-            m = M.classification_metrics(out.withColumn("_act", col(gt).cast("string")), "_act", pred_name)
+            m = M.classification_metrics(out.withColumns({"_act": truth, "_guess": guess}), "_act", "_guess")
         else:
             m = raw.agg(*M.regression_terms(col(gt).cast("double"), F.col("_raw_pred").cast("double"))) \
                 .select(*M.regression_columns())
         metrics = _attach_guards(m, guard_row, manifest)
-    keep_cols = [c for c in out.columns if not c.startswith("_")]
-    return ScoreResult(out.select(*[col(c) for c in keep_cols]), metrics, gt)
+    own = set(df.columns)
+    keep_cols = [c for c in out.columns if c in own or not c.startswith("_")]
+    guard_row = flagged.agg(F.count(F.lit(1)).alias("_rows_in"), F.count_if(F.col("__score_keep")).alias("_rows"), *bad)
+    guards = _guard_columns(guard_row, manifest).select("rows", "dropped_rows")
+    return ScoreResult(out.select(*[col(c) for c in keep_cols]), metrics, gt, guards)
 
 
 def _guard_columns(row: DataFrame, manifest: Manifest) -> DataFrame:
@@ -227,7 +238,7 @@ def _guard_columns(row: DataFrame, manifest: Manifest) -> DataFrame:
     checks = F.when(F.col("_rows_in") == 0, F.raise_error(F.lit("input must contain at least one data row")))
     for i, f in enumerate(manifest.features):
         if f.numeric:
-            checks = checks.when(F.col(f"_bad_{i}") > 0,
+            checks = checks.when(F.col(f"__score_bad_{i}") > 0,
                                  F.raise_error(F.lit(f"column '{f.name}' must contain {f.dtype} values")))
     checks = checks.when(F.col("_rows") == 0, F.raise_error(F.lit("no rows left after dropping missing values")))
     return row.withColumn("rows", checks.otherwise(F.col("_rows")).cast("long")) \
@@ -241,7 +252,7 @@ def _attach_guards(metrics: DataFrame, guard_row: DataFrame, manifest: Manifest)
     checks = F.when(F.col("_rows_in") == 0, F.raise_error(F.lit("input must contain at least one data row")))
     for i, f in enumerate(manifest.features):
         if f.numeric:
-            checks = checks.when(F.col(f"_bad_{i}") > 0,
+            checks = checks.when(F.col(f"__score_bad_{i}") > 0,
                                  F.raise_error(F.lit(f"column '{f.name}' must contain {f.dtype} values")))
     checks = checks.when(F.col("_rows") == 0, F.raise_error(F.lit("no rows left after dropping missing values")))
     g = guard_row.select(checks.otherwise(F.col("_rows")).cast("long").alias("rows"),

@@ -41,6 +41,8 @@ def fit_truncated_svd(df: DataFrame, input_col: str, k: int) -> SVDModel:
     var = np.asarray(stats["variance"].toArray())
     n = float(stats["count"])
     p = mu.shape[0]
+    if k > p:
+        raise ValueError(f"{k} components asked of {p} columns")
     if n > 1 and p > 1:
         corr = np.asarray(Correlation.corr(df.select(input_col), input_col).first()[0].toArray())
         corr = np.nan_to_num(corr, nan=0.0)
@@ -51,7 +53,7 @@ def fit_truncated_svd(df: DataFrame, input_col: str, k: int) -> SVDModel:
         cov = np.diag(var) if n > 1 else np.zeros((p, p))
     gram = (n - 1.0) * cov + n * np.outer(mu, mu)
     vals, vecs = np.linalg.eigh(gram)
-    order = np.argsort(vals)[::-1][: min(k, p)]
+    order = np.argsort(vals)[::-1][:k]
     comps = vecs[:, order].T
     # deterministic sign: the largest-magnitude entry of each component is positive
     for i in range(comps.shape[0]):

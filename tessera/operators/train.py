@@ -78,9 +78,18 @@ class TrainSpec:
         bad = set(self.hyperparameters) - set(allowed)
         if self.algorithm != "linear_regression" and bad:
             raise ValueError(f"unsupported hyper-parameters: {', '.join(sorted(bad))}")
+        for name, least, open_ in (("n_estimators", 1, False), ("max_depth", 1, False), ("learning_rate", 0, True),
+                                   ("subsample", 0, True), ("C", 0, True)):
+            v = _num(self.hyperparameters.get(name))
+            if v is not None and (v < least or (open_ and v == least)):
+                raise ValueError(f"{name} must be {'above' if open_ else 'at least'} {least}")
+        if "forest" in self.algorithm and (_num(self.hyperparameters.get("max_depth")) or 0) > 30:
+            raise ValueError("forests grow to a depth of at most 30")
         if self.algorithm == "logistic_regression":
             pen = str(self.hyperparameters.get("penalty", "l2")).lower()
             sol = str(self.hyperparameters.get("solver", "liblinear" if pen == "l1" else "lbfgs")).lower()
+            if pen not in ("l1", "l2"):
+                raise ValueError("penalty must be l1 or l2")
             if pen == "l1" and sol == "lbfgs":
                 raise ValueError("l1 penalty needs the liblinear or saga solver")
 
@@ -161,7 +170,7 @@ def _estimator(spec: TrainSpec, n_rows: int, n_classes: int):
     depth = _num(hp.get("max_depth"), int)
     if a in ("random_forest", "random_forest_classifier"):
         kw = dict(numTrees=_num(hp.get("n_estimators"), int) or 200, seed=seed,
-                  maxDepth=min(depth, 30) if depth else 30, featuresCol="features", labelCol="label")
+                  maxDepth=depth or 30, featuresCol="features", labelCol="label")
         leaf = hp.get("min_samples_leaf")
         if leaf is not None:
             v = float(leaf)
@@ -286,8 +295,9 @@ def prepare_training_frame(df: DataFrame, spec: TrainSpec):
         labels = list(lab.labels)
         data = lab.transform(data.withColumn(spec.target, col(spec.target).cast("string")))
     else:
-        y = col(spec.target).try_cast("double") if dict(data.dtypes)[spec.target] == "string" \
-            else col(spec.target).cast("double")
+        y = col(spec.target).cast("double")
+        if dict(data.dtypes)[spec.target] == "string":       # a target that is no number stops the run
+            y = F.coalesce(F.trim(col(spec.target)).try_cast("double"), F.raise_error(F.lit(f"target '{spec.target}' must be numeric")).cast("double"))
         data = data.withColumn("label", y)
     return data, numeric, categorical, labels
 

@@ -3,7 +3,7 @@
 Fixed derivation rule (both engines): job_id = user_id, seq = event_id,
 state = signup -> queued, view -> running, purchase -> completed, error -> failed
 (click is log noise); error class of a failure = 'ValidationError' when props k % 4 = 0,
-else 'TransientError'; request duration = value / 100 seconds.
+else 'ConnectionError'; request duration = value / 100 seconds.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ def job_events(spark, sf_dir):
     k = F.from_json("props", T.StructType([T.StructField("k", T.LongType())]))["k"]
     return e.select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"),
                     lifecycle_state(F.col("event_type")).alias("state"),
-                    F.when(k % 4 == 0, F.lit("ValidationError")).otherwise(F.lit("TransientError")).alias("error_class"),
+                    F.when(k % 4 == 0, F.lit("ValidationError")).otherwise(F.lit("ConnectionError")).alias("error_class"),
                     "ts", "value", "event_type", "event_id", "props")
 
 
@@ -33,7 +33,7 @@ def _state(spark, sf_dir):
 
 JOBS_SQL = f"""
 ev AS (SELECT user_id AS job_id, event_id AS seq, {LIFECYCLE_SQL} AS state,
-              CASE WHEN CAST(json_extract(props, '$.k') AS BIGINT) % 4 = 0 THEN 'ValidationError' ELSE 'TransientError' END AS error_class
+              CASE WHEN CAST(json_extract(props, '$.k') AS BIGINT) % 4 = 0 THEN 'ValidationError' ELSE 'ConnectionError' END AS error_class
        FROM events),
 st AS (SELECT job_id, arg_max(state, seq) AS status, CAST(count_if(state = 'running') AS INTEGER) AS attempt,
               min(seq) AS first_seq, max(seq) AS last_seq,
@@ -63,8 +63,8 @@ def q_dead_letter_report(spark, sf_dir):
 
 
 @query("retry_plan", f"""WITH {JOBS_SQL}
-SELECT job_id, attempt, error_class, error_class <> 'ValidationError' AND attempt < 3 AS retryable,
-       CASE WHEN error_class <> 'ValidationError' AND attempt < 3 THEN least(2.0 * pow(2.0, attempt - 1), 60.0) END AS delay_seconds
+SELECT job_id, attempt, error_class, coalesce(error_class IN ('OSError', 'TimeoutError', 'ConnectionError'), false) AND attempt < 3 AS retryable,
+       CASE WHEN error_class IN ('OSError', 'TimeoutError', 'ConnectionError') AND attempt < 3 THEN least(2.0 * pow(2.0, greatest(attempt - 1, 0)), 60.0) END AS delay_seconds
 FROM st WHERE status = 'failed'""")
 def q_retry_plan(spark, sf_dir):
     return J.retry_plan(_state(spark, sf_dir))

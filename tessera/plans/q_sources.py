@@ -136,7 +136,7 @@ def q_sink_json_records(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ S8 / S9 / S10 history
-# One scoring run per purchase event: id md5(event_id), model md5('model-' || user_id),
+# One scoring run per event: id md5(event_id), model md5('model-' || user_id),
 # source file 'C:\\uploads\\u<user_id>\\batch_<event_id>.csv' (even event ids) or
 # 'in/u<user_id>/batch_<event_id>.csv' (odd), row_count = floor(value * 10),
 # created_at = ts; appended in two batches (even / odd event ids).
@@ -145,11 +145,11 @@ SELECT md5(CAST(event_id AS VARCHAR)) AS id, md5('model-' || CAST(user_id AS VAR
        CASE WHEN event_id % 2 = 0 THEN 'C:\\uploads\\u' || CAST(user_id AS VARCHAR) || '\\batch_' || CAST(event_id AS VARCHAR) || '.csv'
             ELSE 'in/u' || CAST(user_id AS VARCHAR) || '/batch_' || CAST(event_id AS VARCHAR) || '.csv' END AS raw_source,
        CAST(floor(value * 10) AS BIGINT) AS row_count, strftime(ts, '%Y-%m-%d %H:%M:%S') AS created_at, event_id
-FROM events WHERE event_type = 'purchase'"""
+FROM events"""
 
 
 def _runs(spark, sf_dir):
-    e = table(spark, sf_dir, "events").filter(F.col("event_type") == "purchase")
+    e = table(spark, sf_dir, "events")
     u, i = F.col("user_id").cast("string"), F.col("event_id").cast("string")
     src = F.when(F.col("event_id") % 2 == 0,
                  F.concat(F.lit("C:\\uploads\\u"), u, F.lit("\\batch_"), i, F.lit(".csv"))) \
@@ -221,7 +221,7 @@ def q_job_scan(spark, sf_dir):
     return S.scan_job_records(spark, root)
 
 
-# Trained-model records: one per purchase event (a completed training run):
+# Trained-model records: one per event (a completed training run):
 # id md5('trained-' || event_id), name 'run <event_id>', algorithm by event_id % 9,
 # completed_at = ts (text, to the second).
 @query("trained_model_list", """
@@ -229,10 +229,10 @@ SELECT md5('trained-' || CAST(event_id AS VARCHAR)) AS id, 'run ' || CAST(event_
        ['random_forest', 'gradient_boosting', 'xgboost', 'adaboost', 'random_forest_classifier',
         'gradient_boosting_classifier', 'xgboost_classifier', 'adaboost_classifier', 'logistic_regression'][event_id % 9 + 1] AS algorithm,
        strftime(ts, '%Y-%m-%d %H:%M:%S') AS completed_at
-FROM events WHERE event_type = 'purchase'""")
+FROM events""")
 def q_trained_model_list(spark, sf_dir):
     from tessera.plans.requests import ALGORITHMS
-    e = table(spark, sf_dir, "events").filter(F.col("event_type") == "purchase")
+    e = table(spark, sf_dir, "events")
     algo = F.element_at(F.array(*[F.lit(a) for a in ALGORITHMS]), (F.col("event_id") % 9).cast("int") + 1)
     rec = e.select(F.md5(F.concat(F.lit("trained-"), F.col("event_id").cast("string"))).alias("id"),
                    F.concat(F.lit("run "), F.col("event_id").cast("string")).alias("name"), algo.alias("algorithm"),

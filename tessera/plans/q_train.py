@@ -231,9 +231,9 @@ def q_train_newton_boost_multiclass(spark, sf_dir):
     reduced by truncated SVD inside each fold; string class names go through the label
     encoder (F10)."""
     e = table(spark, sf_dir, "embeddings")
-    cols = [F.element_at("embedding", i + 1).cast("double").alias(f"e{i}") for i in range(16)]
+    cols = [F.element_at("embedding", i + 1).cast("double").alias(f"e{i}") for i in range(64)]
     df = e.select("vec_id", F.concat(F.lit("class_"), F.col("label").cast("string")).alias("label_name"), *cols)
-    spec = TrainSpec(features=[f"e{i}" for i in range(16)], target="label_name", problem_type="classification",
+    spec = TrainSpec(features=[f"e{i}" for i in range(64)], target="label_name", problem_type="classification",
                      algorithm="xgboost_classifier", dimension_reduction="truncated_svd", svd_components=6,
                      hyperparameters={"n_estimators": "3", "max_depth": "3"}, key_cols=["vec_id"])
     return _run(df, spec)

@@ -48,6 +48,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
         configured = tempfile.mkdtemp(prefix="tessera-ckpt-")  # only when the session names none (tests)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

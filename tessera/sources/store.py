@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import source_name
+from tessera.session import sql_conf
 
 
 def file_stem(c) -> F.Column:
@@ -25,16 +26,22 @@ def store_datasets(df: DataFrame, root: str, dataset_id: F.Column) -> str:
     return root
 
 
+def _stored(spark: SparkSession, root: str) -> DataFrame:
+    """All stored datasets; ids stay text ('007' is not 7)."""
+    with sql_conf(spark, spark__sql__sources__partitionColumnTypeInference__enabled="false"):
+        return spark.read.parquet(root)
+
+
 def scan_dataset(spark: SparkSession, root: str, dataset_id: str) -> DataFrame:
     """Partition-pruned read of one stored dataset."""
-    return spark.read.parquet(root).filter(F.col("dataset_id") == dataset_id).drop("dataset_id")
+    return _stored(spark, root).filter(F.col("dataset_id") == dataset_id).drop("dataset_id")
 
 
 def dataset_metadata(spark: SparkSession, root: str, filenames: DataFrame) -> DataFrame:
     """S5 metadata: per dataset id the row count (read from the partition column only),
     the column count, and name = stem of the uploaded file name.
     ``filenames``: (dataset_id, original_filename, created_at)."""
-    stored = spark.read.parquet(root)
+    stored = _stored(spark, root)
     n_cols = len(stored.columns) - 1
     counts = stored.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("row_count"))
     return (filenames.join(counts, "dataset_id", "inner")
