@@ -164,7 +164,9 @@ def fit(sequences: DataFrame, start: Chain, iterations: int = 12, l2: float = 0.
     ``positive``: so many leading feature weights are kept at 0 or more."""
     v = start.vector()
     delta, before = np.full(len(v), step), np.zeros(len(v))
-    shards = sequences.repartition(SHARDS)
+    # dealt and ordered by content, so sums do not depend on how the sample came to be read
+    key = F.xxhash64(*sequences.columns)
+    shards = sequences.repartition(SHARDS, key).sortWithinPartitions(key)
     for _ in range(iterations):
         total = _sum_gradients(shards, v)
         if total is None:

@@ -124,8 +124,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         return model
     ids = F.broadcast(crf.bounded_sample(lab, "id", "y", per_class))       # at most 2 * per_class rows
     sample = docs.select(F.col(id_col).alias("id"), utf8(F.col(text_col)).alias("t")).join(ids, "id")
-    sample = materialize(sample.withColumn("sketch", pandas_udf(_sketch, "long")("t")).dropDuplicates(["sketch", "y"])
-                         .repartition(crf.SHARDS, "id"), "toxic-sample")
+    # of rows with one sketch the least (id, text) stays, whatever the partitioning
+    sample = (sample.withColumn("sketch", pandas_udf(_sketch, "long")("t")).groupBy("sketch", "y")
+              .agg(F.min(F.struct("id", "t")).alias("r")).select("r.id", "r.t", "y"))
+    sample = materialize(sample.repartition(crf.SHARDS, "id").sortWithinPartitions("id", "t"), "toxic-sample")
     sizes = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(0) or not sizes.get(1):
         return model
