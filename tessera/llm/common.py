@@ -72,13 +72,15 @@ def tidy() -> None:
         pass
 
 
-def prepare(spark: SparkSession, rows: int = 2000) -> None:
+def prepare(spark: SparkSession, rows: int = 2000, size: str = "4m") -> None:
     """For the queries and the pipeline: ship the package, and send whole texts to Python
-    tasks at most ``rows`` at a time (the default of 10,000 holds tens of MB per task)."""
+    tasks at most ``rows`` or about ``size`` bytes at a time (the defaults of 10,000 rows
+    and 64 MB hold too much per task where texts are long). A row is never cut."""
     ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= rows:
         spark.conf.set(key, str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def ship(spark: SparkSession) -> None:
