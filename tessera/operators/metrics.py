@@ -133,14 +133,14 @@ def classification_metrics(df: DataFrame, actual: str, predicted: str,
 
 def cv_regression_metrics(oof: DataFrame, fold: str, actual: str, predicted: str) -> DataFrame:
     """Mean of per-fold rmse/mae/r2, population std of fold rmse; pooled pearson,
-    mape and max error over the out-of-fold rows.
+    mape, max error and target mean over the out-of-fold rows.
 
     One ``rollup(fold)`` aggregate yields the per-fold rows and the pooled row together."""
     y, p = col(actual).cast("double"), col(predicted).cast("double")
     both = (oof.rollup(col(fold)).agg(*regression_terms(y, p), F.grouping_id().alias("_gid"))
             .select("_gid", F.sqrt("_mse").alias("_rmse"), F.col("_mae"),
                     r2_from(F.col("_sse"), F.col("_var_y"), F.col("_n")).alias("_r2"),
-                    F.col("_mape"), F.col("_max_err"),
+                    F.col("_mape"), F.col("_max_err"), F.col("_mean_y"),
                     pearson_from(F.col("_cov"), F.col("_sd_y"), F.col("_sd_p")).alias("_pr")))
     per_fold = F.col("_gid") == 0
     pooled = F.col("_gid") == 1
@@ -152,6 +152,7 @@ def cv_regression_metrics(oof: DataFrame, fold: str, actual: str, predicted: str
         F.round(F.lit(100.0) * F.max(F.when(pooled, F.col("_mape"))), ROUND).alias("mape"),
         F.round(F.max(F.when(pooled, F.col("_max_err"))), ROUND).alias("max_error"),
         F.round(F.max(F.when(pooled, F.col("_pr"))), ROUND).alias("pearson_r"),
+        F.round(F.max(F.when(pooled, F.col("_mean_y"))), ROUND).alias("target_mean"),
     )
 
 

@@ -41,27 +41,30 @@ def _quantiles(c, accuracy: int | None):
     return F.percentile(c, probs)
 
 
-def column_stats(df: DataFrame, accuracy: int | None = None) -> DataFrame:
+def column_stats(df: DataFrame, accuracy: int | None = None, quartiles: bool = True, moments: bool = True) -> DataFrame:
     """Pass 1a: per column (position, name, raw_dtype, ml_type, n, missing_count, minimum,
-    maximum, mean, std, q1, median, q3, present)."""
+    maximum, mean, std, q1, median, q3). Without ``quartiles`` (or ``moments``: minimum to
+    std) those columns are null and not worked out."""
     aggs = [F.count(F.lit(1)).alias("n")]
     for i, f in enumerate(df.schema.fields):
         aggs.append(F.count_if(is_missing(df, f.name)).alias(f"m{i}"))
         if is_numeric_type(f.dataType):
             x = F.when(~is_missing(df, f.name), col(f.name).cast("double"))
-            aggs += [F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"), F.avg(x).alias(f"mu{i}"),
-                     F.stddev_samp(x).alias(f"sd{i}"), F.count(x).alias(f"c{i}"),
-                     _quantiles(x, accuracy).alias(f"qs{i}")]
+            if moments:
+                aggs += [F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"), F.avg(x).alias(f"mu{i}"),
+                         F.stddev_samp(x).alias(f"sd{i}"), F.count(x).alias(f"c{i}")]
+            if quartiles:
+                aggs.append(_quantiles(x, accuracy).alias(f"qs{i}"))
     wide = df.agg(*aggs)
     rows = []
     for i, f in enumerate(df.schema.fields):
         num = is_numeric_type(f.dataType)
-        d = (lambda k: F.col(f"{k}{i}")) if num else (lambda k: F.lit(None).cast("double"))
-        qs = (lambda j: F.element_at(F.col(f"qs{i}"), j).cast("double")) if num \
+        d = (lambda k: F.col(f"{k}{i}")) if num and moments else (lambda k: F.lit(None).cast("double"))
+        qs = (lambda j: F.element_at(F.col(f"qs{i}"), j).cast("double")) if num and quartiles \
             else (lambda j: F.lit(None).cast("double"))
-        cnt = F.col(f"c{i}") if num else F.lit(0).cast("long")
+        cnt = F.col(f"c{i}") if num and moments else F.lit(0).cast("long")
         std = F.when(cnt == 0, F.lit(None).cast("double")).when(cnt == 1, F.lit(0.0)).otherwise(d("sd")) \
-            if num else F.lit(None).cast("double")
+            if num and moments else F.lit(None).cast("double")
         rows.append(F.struct(
             F.lit(i).alias("position"), F.lit(f.name).alias("name"),
             F.lit(raw_dtype(f.dataType)).alias("raw_dtype"), F.lit(ml_type(f.dataType)).alias("ml_type"),
@@ -84,8 +87,8 @@ def value_stats(df: DataFrame) -> DataFrame:
     """Pass 1b: per column position, the number of distinct present values and the mode
     rendered as text (most frequent; ties -> smallest, numeric order for numbers).
 
-    Numeric values travel through the shuffle as doubles only; the mode's text is
-    formatted after the aggregation (integers without a fraction, like their source)."""
+    Integers travel through the shuffle as longs (2^53 and 2^53 + 1 stay two values), other
+    numbers as doubles; the mode's text is formatted after the aggregation."""
     parts, kinds = [], []
     for i, f in enumerate(df.schema.fields):
         num = is_numeric_type(f.dataType)
@@ -94,15 +97,16 @@ def value_stats(df: DataFrame) -> DataFrame:
         present = ~is_missing(df, f.name)
         parts.append(F.when(present, F.struct(
             F.lit(i).alias("pos"),
-            (col(f.name).cast("double") if num else F.lit(None).cast("double")).alias("num"),
+            (col(f.name).cast("bigint") if integral else F.lit(None).cast("bigint")).alias("whole"),
+            (col(f.name).cast("double") if num and not integral else F.lit(None).cast("double")).alias("num"),
             (F.lit(None).cast("string") if num else col(f.name).cast("string")).alias("txt"))))
     long = df.select(F.explode(F.array(*parts)).alias("v")).filter(F.col("v").isNotNull()).select("v.*")
-    counts = long.groupBy("pos", "num", "txt").agg(F.count(F.lit(1)).alias("cnt"))
+    counts = long.groupBy("pos", "whole", "num", "txt").agg(F.count(F.lit(1)).alias("cnt"))
     best = counts.groupBy("pos").agg(
         F.count(F.lit(1)).cast("long").alias("unique_count"),
-        F.min_by(F.struct("num", "txt"), F.struct((-F.col("cnt")).alias("k"), F.col("num"), F.col("txt"))).alias("b"))
+        F.min(F.struct((-F.col("cnt")).alias("k"), "whole", "num", "txt")).alias("b"))
     kind = F.element_at(F.lit(kinds).cast("array<string>"), F.col("pos") + 1)
-    text = (F.when(kind == "int", F.col("b.num").cast("bigint").cast("string"))
+    text = (F.when(kind == "int", F.col("b.whole").cast("string"))
             .when(kind == "num", F.col("b.num").cast("string")).otherwise(F.col("b.txt")))
     return best.select("pos", "unique_count", text.alias("mode"))
 
@@ -154,25 +158,30 @@ def shape(df: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------- text tables
 
 def infer_aggs(text_df: DataFrame) -> list:
-    """Per column: present count and how many present values read as bigint / double / boolean."""
+    """Per column: present count and how many present values read as bigint / integer of any
+    width / double / boolean."""
     aggs = []
     for i, f in enumerate(text_df.schema.fields):
         c = col(f.name)
         aggs += [
             F.count(c).alias(f"n{i}"),
-            F.count_if(c.rlike(INT_PATTERN)).alias(f"i{i}"),
+            F.count_if(c.rlike(INT_PATTERN) & F.trim(c).try_cast("bigint").isNotNull()).alias(f"i{i}"),
+            F.count_if(c.rlike(INT_PATTERN)).alias(f"w{i}"),
             F.count_if(c.rlike(FLOAT_PATTERN) | c.rlike(INF_PATTERN)).alias(f"d{i}"),
             F.count_if(c.isin(*(TRUE_TOKENS + FALSE_TOKENS))).alias(f"b{i}"),
         ]
     return aggs
 
 
-def type_from_counts(n, i, d, b) -> str:
-    """The narrowest type every present value parses as (an all-missing column reads as float)."""
+def type_from_counts(n, i, w, d, b) -> str:
+    """The narrowest type every present value parses as (an all-missing column reads as float).
+    Integers of which some do not fit 64 bits stay text: no digit is lost."""
     if n == 0:
         return "double"
     if i == n:
         return "bigint"
+    if w == n:
+        return "string"
     if d == n:
         return "double"
     if b == n:
@@ -190,6 +199,7 @@ def infer_types(text_df: DataFrame) -> DataFrame:
         n = F.col(f"n{i}")
         t = (F.when(n == 0, F.lit("double"))
              .when(F.col(f"i{i}") == n, F.lit("bigint"))
+             .when(F.col(f"w{i}") == n, F.lit("string"))
              .when(F.col(f"d{i}") == n, F.lit("double"))
              .when(F.col(f"b{i}") == n, F.lit("boolean"))
              .otherwise(F.lit("string")))

@@ -68,12 +68,13 @@ SELECT (SELECT round(avg(rmse), 4) FROM pf) AS rmse, (SELECT round(stddev_pop(rm
        round(100.0 * avg(abs(p - o_totalprice) / greatest(abs(o_totalprice), 2.220446049250313e-16)), 6) AS mape,
        round(max(abs(p - o_totalprice)), 4) AS max_error,
        round(CASE WHEN stddev_pop(o_totalprice) * stddev_pop(p) = 0 THEN 0.0
-                  ELSE covar_pop(o_totalprice, p) / (stddev_pop(o_totalprice) * stddev_pop(p)) END, 6) AS pearson_r
+                  ELSE covar_pop(o_totalprice, p) / (stddev_pop(o_totalprice) * stddev_pop(p)) END, 6) AS pearson_r,
+       round(avg(o_totalprice), 4) AS target_mean
 FROM oof""")
 def q_metric_cv_regression(spark, sf_dir):
     m = M.cv_regression_metrics(_oof(spark, sf_dir), "fold", "o_totalprice", "oof_prediction")
     # large-magnitude errors are compared at 4 decimals (summation order differs by engine)
-    return m.select(*[F.round(c, 4).alias(c) if c in ("rmse", "rmse_std", "mae", "max_error") else F.col(c)
+    return m.select(*[F.round(c, 4).alias(c) if c in ("rmse", "rmse_std", "mae", "max_error", "target_mean") else F.col(c)
                       for c in m.columns])
 
 

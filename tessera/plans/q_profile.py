@@ -88,7 +88,7 @@ def q_profile_shape(spark, sf_dir):
 
 @query("profile_missing", profile_sql(ORDERS_NA_SQL, ORDERS_COLS, ["position", "name", "missing_count", "missing_rate"]))
 def q_profile_missing(spark, sf_dir):
-    s = P.column_stats(orders_na(spark, sf_dir))
+    s = P.column_stats(orders_na(spark, sf_dir), quartiles=False, moments=False)
     return s.select("position", "name", "missing_count",
                     F.round(F.col("missing_count") / F.greatest(F.col("n"), F.lit(1)), 4).alias("missing_rate"))
 
@@ -106,14 +106,14 @@ def q_profile_mode(spark, sf_dir):
 @query("profile_numeric", profile_sql(ORDERS_NA_SQL, ORDERS_COLS,
                                      ["position", "name", "minimum", "maximum", "mean", "std"], numeric_only=True))
 def q_profile_numeric(spark, sf_dir):
-    s = P.column_stats(orders_na(spark, sf_dir)).filter(F.col("ml_type") == "numeric")
+    s = P.column_stats(orders_na(spark, sf_dir), quartiles=False).filter(F.col("ml_type") == "numeric")
     return _rounded(s.select("position", "name", "minimum", "maximum", "mean", "std"))
 
 
 @query("profile_quantiles", profile_sql(LINEITEM_NA_SQL, LINEITEM_COLS, ["position", "q1", "median", "q3"],
                                         numeric_only=True))
 def q_profile_quantiles(spark, sf_dir):
-    s = P.column_stats(lineitem_na(spark, sf_dir)).filter(F.col("ml_type") == "numeric")
+    s = P.column_stats(lineitem_na(spark, sf_dir), moments=False).filter(F.col("ml_type") == "numeric")
     return _rounded(s.select("position", "q1", "median", "q3"))
 
 
@@ -121,7 +121,7 @@ def q_profile_quantiles(spark, sf_dir):
                                        numeric_only=True))
 def q_profile_outliers(spark, sf_dir):
     df = lineitem_na(spark, sf_dir)
-    return P.outlier_stats(df, P.column_stats(df))
+    return P.outlier_stats(df, P.column_stats(df, moments=False))
 
 
 # ------------------------------------------------------------------ text tables
@@ -148,7 +148,8 @@ def _infer_sql():
         n = f"count({c})"
         parts.append(f"""SELECT {i} AS position, '{c}' AS name,
   CASE WHEN {n} = 0 THEN 'double'
-       WHEN count_if(regexp_matches({c}, '{INT_PATTERN}')) = {n} THEN 'bigint'
+       WHEN count_if(regexp_matches({c}, '{INT_PATTERN}') AND try_cast(trim({c}) AS BIGINT) IS NOT NULL) = {n} THEN 'bigint'
+       WHEN count_if(regexp_matches({c}, '{INT_PATTERN}')) = {n} THEN 'string'
        WHEN count_if(regexp_matches({c}, '{FLOAT_PATTERN}') OR regexp_matches({c}, '{INF_PATTERN}')) = {n} THEN 'double'
        WHEN count_if({c} IN ({bools})) = {n} THEN 'boolean' ELSE 'string' END AS raw_dtype FROM src""")
     body = "\nUNION ALL\n".join(parts)
@@ -190,7 +191,7 @@ def q_target_candidates(spark, sf_dir):
     """Target candidates per problem type from the profile's ml_type, and the
     feature list once 'o_totalprice' is chosen as target."""
     df = orders_na(spark, sf_dir)
-    s = P.column_stats(df)
+    s = P.column_stats(df, quartiles=False, moments=False)
     return s.select("position", "name", "ml_type",
                     (F.col("ml_type") == "numeric").alias("regression_candidate"),
                     F.lit(True).alias("classification_candidate"),

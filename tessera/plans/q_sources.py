@@ -201,7 +201,7 @@ def q_manifest_scan(spark, sf_dir):
                  F.concat(F.lit("pkg_"), (F.col("p_partkey") % 50).cast("string")).alias("package"))
     root = scratch_path(spark, "ml_models")
     m.write.mode("overwrite").partitionBy("package").json(root)
-    scanned = S.scan_manifests(spark, root)
+    scanned = S.scan_manifests(spark, root, name=None)
     return scanned.select("id", "name", "package_dir", F.size("features").alias("n_features"), "problem_type")
 
 
@@ -239,4 +239,4 @@ def q_trained_model_list(spark, sf_dir):
                    F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("completed_at"))
     root = scratch_path(spark, "trained_models")
     rec.write.mode("overwrite").json(root)
-    return S.newest_first(spark.read.json(root), "completed_at", "id")
+    return S.scan_trained_models(spark, root, name=None)

@@ -59,12 +59,25 @@ def newest_first(df: DataFrame, ts_col: str, tie: str) -> DataFrame:
     return df.orderBy(F.col(ts_col).desc(), F.col(tie).desc())
 
 
-def scan_manifests(spark: SparkSession, root: str) -> DataFrame:
-    """Every manifest file under root/<package>/..., with the package folder name."""
-    m = spark.read.json(root + "/*/")
+def _documents(spark: SparkSession, path: str, name: str | None) -> DataFrame:
+    """JSON documents, one a file called ``name`` (indented or not; a file is small and read
+    whole), or without a name JSON Lines files of any number of documents."""
+    if name is None:
+        return spark.read.json(path)
+    return spark.read.option("multiLine", True).option("pathGlobFilter", name).json(path)
+
+
+def scan_manifests(spark: SparkSession, root: str, name: str | None = "metadata.json") -> DataFrame:
+    """Every manifest under root/<package>/, with the package folder name."""
+    m = _documents(spark, root + "/*/", name)
     return m.withColumn("package_dir", F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]+$", 1))
 
 
+def scan_trained_models(spark: SparkSession, root: str, name: str | None = "record.json") -> DataFrame:
+    """Trained-model records, newest first (one file under root/<id>/ each, or JSON Lines)."""
+    return newest_first(_documents(spark, root + "/*/" if name else root, name), "completed_at", "id")
+
+
 def scan_job_records(spark: SparkSession, root: str) -> DataFrame:
     """{job, request} records flattened to one row per job."""
     j = spark.read.json(root)

@@ -128,7 +128,7 @@ def read_table(spark: SparkSession, path: str, encodings=DATASET_ENCODINGS, sep:
         raise ValidationError(f"{row['_corrupt']} row(s) have more fields than the header")
     if not infer:
         return text
-    types = {c: type_from_counts(row[f"n{i}"], row[f"i{i}"], row[f"d{i}"], row[f"b{i}"]) for i, c in enumerate(cols)}
+    types = {c: type_from_counts(row[f"n{i}"], row[f"i{i}"], row[f"w{i}"], row[f"d{i}"], row[f"b{i}"]) for i, c in enumerate(cols)}
     return apply_types(text, types)
 
 

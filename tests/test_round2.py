@@ -1,10 +1,12 @@
 """Probes of round 1's findings."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import retry_delay
-from tessera.operators import joblog, linear, svd
+from tessera.operators import joblog, linear, metrics, profile, svd
 from tessera.operators.score import FeatureSpec, LinearModel, Manifest, score
 from tessera.operators.train import TrainSpec, prepare_training_frame
 from tessera.sources import store
@@ -83,3 +85,37 @@ def test_dataset_ids_stay_text(spark, tmp_dir):
     df = spark.createDataFrame([("007", 1), ("1e3", 2), ("x", 3)], "d string, v int")
     root = store.store_datasets(df, f"{tmp_dir}/ds", F.col("d"))
     assert store.scan_dataset(spark, root, "007").first().v == 1 and store.scan_dataset(spark, root, "1e3").first().v == 2
+
+
+def test_wide_integers_lose_no_digit(spark):
+    a, b = 2 ** 53, 2 ** 53 + 1
+    stats = profile.value_stats(spark.createDataFrame([(a,), (b,), (b,)], "k long")).first()
+    assert (stats.unique_count, stats["mode"]) == (2, str(b))
+    text = spark.createDataFrame([("123456789012345678901234", "1", "12345678901234567890123"), ("5", "2", "0.5")],
+                                 "wide string, narrow string, mixed string")
+    types = {r.name: r.raw_dtype for r in profile.infer_types(text).collect()}
+    assert types == {"wide": "string", "narrow": "bigint", "mixed": "double"}
+
+
+def test_statistics_that_are_not_asked_for_are_not_planned(spark):
+    df = spark.createDataFrame([(1.0, "a"), (None, "b")], "x double, t string")
+    plan = profile.column_stats(df, quartiles=False)._jdf.queryExecution().toString()
+    assert "percentile" not in plan
+    r = profile.column_stats(df, quartiles=False, moments=False).collect()
+    assert [(x.n, x.missing_count, x.minimum, x.q1) for x in r] == [(2, 1, None, None), (2, 0, None, None)]
+
+
+def test_indented_documents_are_read(spark, tmp_path):
+    for i in ("a", "b"):
+        (tmp_path / i).mkdir()
+        (tmp_path / i / "metadata.json").write_text(json.dumps({"id": "m" + i, "name": i}, indent=2))
+        (tmp_path / i / "record.json").write_text(json.dumps({"id": "r" + i, "completed_at": "2024-01-0" + str(ord(i) - 96)}, indent=2))
+        (tmp_path / i / "notes.json").write_text("[1, 2")
+    m = {r.id: r.package_dir for r in store.scan_manifests(spark, str(tmp_path)).collect()}
+    assert m == {"ma": "a", "mb": "b"}
+    assert [r.id for r in store.scan_trained_models(spark, str(tmp_path)).collect()] == ["rb", "ra"]
+
+
+def test_cv_regression_carries_the_target_mean(spark):
+    df = spark.createDataFrame([(0, 1.0, 1.5), (0, 3.0, 2.0), (1, 8.0, 8.0)], "fold int, y double, p double")
+    assert metrics.cv_regression_metrics(df, "fold", "y", "p").first().target_mean == 4.0
