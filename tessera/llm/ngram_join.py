@@ -15,11 +15,16 @@ are one class from the start, so copies never meet each other.
    that shares the shingle, and joins the group of the one it names most often; groups are cut by hash
    into blocks of about ``GROUP_TOKENS`` shingles. Within a block every class is counted against all
    members through the block's postings, and a forest of links is kept.
+   A group of several blocks is folded further: one class per component stands for it, and these meet
+   in blocks of their own, as long as that at least halves them. Each round is linear in what is left.
 4. Matrix: (shingle, block) over the members' prefixes. Of two blocks the members of one query the
-   other: a class asks a block that holds l of its prefix shingles, unless all are in one
-   component already; the block opens only if the overlap of the query with its token union reaches what the
-   threshold asks for, and its members are then counted exactly. A query gets one link per
-   component, so a large group of near copies costs blocks, not pairs, and no link between components is lost.
+   other: a class asks a block where l of its prefix shingles are held by members of other
+   components. Which (component, block) pairs there are is found per shingle before any row of a class
+   is made, and shingles of one component ask nothing. One class per component asks first; what it
+   links is folded into the components before all others ask. A block opens only if the overlap of the query
+   with its token union reaches what the threshold asks for, and its members are then counted exactly. Queries
+   of a block are cut by hash into parts of about ``GROUP_TOKENS`` shingles, each with a copy of the members.
+   A query gets one link per component, and no link between components is lost.
 5. Components of all links give each document the smallest id it reaches.
 
 Defined results: null and empty texts and texts without words have n_shingles 0 and are
@@ -36,7 +41,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import chunks, materialize, tidy, utf8
@@ -263,7 +268,7 @@ def _link_block(percent: int):
 
 
 def _open_block(percent: int):
-    """Cogroup of a block's members and its queries: one link per query and component."""
+    """Cogroup of a block's members and a part of its queries: one link per query and component."""
     def run(members: pa.Table, queries: pa.Table) -> pa.Table:
         names, comps = members.column("cls").to_pylist(), members.column("comp").to_pylist()
         out = []
@@ -280,6 +285,81 @@ def _open_block(percent: int):
     return run
 
 
+def _in_two_classes(marks: DataFrame) -> DataFrame:
+    """(token, cls) rows whose token is in two classes or more."""
+    ends = marks.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"))
+    return marks.join(ends.filter("lo <> hi").select("token"), "token")
+
+
+def _links_inside(sets: DataFrame, member: DataFrame, percent: int) -> DataFrame:
+    """Links within each ``grp`` of ``member`` (cls, grp)."""
+    crowded = member.groupBy("grp").agg(F.count("*").alias("k")).filter("k > 1").select("grp")
+    inside = sets.select("cls", "tokens").join(_small(materialize(member.join(crowded, "grp").select("cls", "grp"), "sim-inside")), "cls")
+    return materialize(inside.groupBy("grp").applyInArrow(_link_block(percent), "a long, b long"), "sim-inner")
+
+
+def _with_comp(member: DataFrame, links: DataFrame) -> DataFrame:
+    comps = connected_components(links).withColumnRenamed("node", "cls")
+    return materialize(member.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "sim-members")
+
+
+def _representatives(member: DataFrame, *keys: str) -> DataFrame:
+    """One class (cls, n) per ``keys``: that of least hash."""
+    return member.groupBy(*keys).agg(F.min(F.struct(F.xxhash64("cls").alias("o"), "cls", "n")).alias("r")).select(*keys, "r.cls", "r.n")
+
+
+def _fold_groups(sets: DataFrame, member: DataFrame, links: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(members with ``comp``, links) after one class per component of a group with several
+    blocks met the others of its group, while each round halves them."""
+    named, before, turn = _with_comp(member, links), None, 1
+    while True:
+        reps = materialize(_representatives(named.filter("blocks > 1"), "top", "comp"), "sim-reps")
+        left = reps.count()
+        if left == 0 or (before is not None and 2 * left > before):
+            return named, links
+        cut = reps.groupBy("top").agg(F.ceil(F.sum("n") / F.lit(GROUP_TOKENS)).cast("long").alias("parts"))
+        turn += 1
+        placed = reps.join(cut, "top").select("cls", F.xxhash64("top", F.pmod(F.xxhash64(F.lit(turn), "cls"), "parts")).alias("grp"))
+        links = materialize(links.unionByName(_links_inside(sets, placed, percent)), "sim-links")
+        named, before = _with_comp(member, links), left
+
+
+def _asks(shared: DataFrame, member: DataFrame, asking: DataFrame | None, percent: int) -> DataFrame:
+    """cls, n, comp, grp, part: which class (of ``asking``, else of all) queries which block.
+    Only prefix shingles that a block's members of other components hold count."""
+    marks = shared.join(member.select("cls", "n", "grp", "comp"), "cls")
+    ends = marks.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    marks = materialize(marks.join(ends.filter("lo <> hi").select("token"), "token"), "sim-marks")
+    matrix = marks.groupBy("token", "grp").agg(F.min("comp").alias("c_lo"), F.max("comp").alias("c_hi"),
+                                               F.min("n").alias("lo"), F.max("n").alias("hi"))
+    if asking is not None:
+        marks = marks.join(asking.select("cls"), "cls")
+    own = marks.withColumnRenamed("grp", "own")
+    pairs = (own.groupBy("token", "comp").agg(F.min("own").alias("first")).join(matrix, "token")
+             .filter((F.col("first") < F.col("grp")) & ((F.col("c_lo") != F.col("comp")) | (F.col("c_hi") != F.col("comp"))))
+             .select("token", "comp", "grp", "lo", "hi"))
+    rows = own.join(pairs, ["token", "comp"]).filter(
+        (F.col("own") < F.col("grp")) & (100 * F.col("n") >= percent * F.col("lo")) & (100 * F.col("hi") >= percent * F.col("n")))
+    least = F.least(_least_shared(F.max("n")), _least_shared(F.min("lo")))
+    asks = materialize(rows.groupBy("cls", "n", "comp", "grp").agg(F.count("*").alias("k"), least.alias("least"))
+                       .filter(F.col("k") >= F.col("least")).select("cls", "n", "comp", "grp"), "sim-asks")
+    parts = asks.groupBy("grp").agg(F.ceil(F.sum("n") / F.lit(GROUP_TOKENS)).cast("long").alias("parts"))
+    return materialize(asks.join(parts, "grp").select(
+        "cls", "n", "comp", "grp", "parts", F.pmod(F.xxhash64(F.lit(2), "cls"), "parts").alias("part")), "sim-queries")
+
+
+def _links_between(shared: DataFrame, sets: DataFrame, member: DataFrame, asking: DataFrame | None, percent: int) -> DataFrame:
+    asks = _asks(shared, member, asking, percent)
+    asked = sets.select(F.col("cls").alias("q"), F.col("tokens").alias("q_tokens"))
+    queries = asked.join(_small(asks.select(F.col("cls").alias("q"), F.col("comp").alias("q_comp"), F.col("grp").alias("q_grp"),
+                                            F.col("part").alias("q_part"))), "q")
+    # a part that no query fell into needs no copy of the members
+    opened = materialize(member.select("cls", "comp", "grp").join(asks.select("grp", "part").distinct(), "grp"), "sim-opened")
+    inside = sets.select("cls", "tokens").join(_small(opened), "cls")
+    return materialize(inside.groupBy("grp", "part").cogroup(queries.groupBy("q_grp", "q_part")).applyInArrow(
+        _open_block(percent), "a long, b long"), "sim-outer")
+
+
 @dataclass
 class Joined:
     rows: DataFrame          # uid, id, n, cls
@@ -317,16 +397,13 @@ def _similarity_components(docs, id_col, text_col, shingle, percent, row_col) ->
         F.min("id").alias("id"), F.first("n").alias("n")), "sim-classes")
 
     prefixes = docs.select(text).mapInArrow(_prefixes(shingle, percent, frequent), "token long, cls long")
-    w = Window.partitionBy("token")
-    shared = materialize(prefixes.withColumn("lo", F.min("cls").over(w)).withColumn("hi", F.max("cls").over(w))
-                         .filter("lo <> hi").select("token", "cls").distinct(), "sim-shared")
+    prefixes = materialize(prefixes, "sim-prefixes")          # read twice: the texts are not cut into shingles again
+    shared = materialize(_in_two_classes(prefixes).distinct(), "sim-shared")
     sizes = classes.select("cls", "n")
     for _ in range(2):
         needed = shared.groupBy("cls").agg(F.count("*").alias("k")).join(sizes, "cls").filter(
             F.col("k") >= _partner_least(F.col("n"), percent)).select("cls")
-        kept = shared.join(needed, "cls")
-        shared = materialize(kept.withColumn("lo", F.min("cls").over(w)).withColumn("hi", F.max("cls").over(w))
-                             .filter("lo <> hi").select("token", "cls"), "sim-shared")
+        shared = materialize(_in_two_classes(shared.join(needed, "cls").select("token", "cls")), "sim-shared")
     needed = materialize(shared.select("cls").distinct(), "sim-needed")
     wanted = materialize(classes.join(needed, "cls").select(F.col("id").alias("wanted_id")).distinct(), "sim-wanted")
     full = docs.select(F.col(id_col).cast("long").alias("i"), text).join(
@@ -345,33 +422,18 @@ def _similarity_components(docs, id_col, text_col, shingle, percent, row_col) ->
     member = named.join(again, "head", "left").select("cls", F.coalesce("top", "head").alias("top")).join(sets.select("cls", "n"), "cls")
     blocks = member.groupBy("top").agg(F.ceil(F.sum("n") / F.lit(GROUP_TOKENS)).cast("long").alias("blocks"))
     member = materialize(member.join(blocks, "top").select(
-        "cls", "n", F.xxhash64("top", F.pmod(F.xxhash64(F.lit(1), "cls"), "blocks")).alias("grp")), "sim-members")
-
-    crowded = member.groupBy("grp").agg(F.count("*").alias("k")).filter("k > 1").select("grp")
-    inside = sets.select("cls", "tokens").join(_small(materialize(member.join(crowded, "grp").select("cls", "grp"), "sim-inside")), "cls")
-    inner = materialize(inside.groupBy("grp").applyInArrow(_link_block(percent), "a long, b long"), "sim-inner")
-    comps = connected_components(inner).withColumnRenamed("node", "cls")
-
-    # the matrix, and who asks which block
-    member = materialize(member.join(comps, "cls", "left").select("cls", "n", "grp", F.coalesce("comp", "cls").alias("comp")), "sim-members")
-    marks = shared.join(member, "cls")
-    matrix = marks.groupBy("token", "grp").agg(F.min("comp").alias("c_lo"), F.max("comp").alias("c_hi"),
-                                               F.min("n").alias("lo"), F.max("n").alias("hi"))
-    asks = (marks.select("token", "cls", F.col("grp").alias("own"), "comp", "n").join(matrix, "token")
-            .filter((F.col("own") < F.col("grp")) & (100 * F.col("n") >= percent * F.col("lo")) & (100 * F.col("hi") >= percent * F.col("n"))))
-    least = F.least(_least_shared(F.max("n")), _least_shared(F.min("lo")))
-    asks = (asks.groupBy("cls", "comp", "grp").agg(F.count("*").alias("k"), F.min("c_lo").alias("c_lo"), F.max("c_hi").alias("c_hi"), least.alias("least"))
-            .filter(F.col("k") >= F.col("least")))
-    whole = member.groupBy("grp").agg(F.min("comp").alias("g_lo"), F.max("comp").alias("g_hi"))
-    asks = materialize(asks.join(whole, "grp").filter(~((F.col("g_lo") == F.col("comp")) & (F.col("g_hi") == F.col("comp"))))
-                       .select("cls", "comp", "grp"), "sim-asks")
-    asked = sets.select(F.col("cls").alias("q"), F.col("tokens").alias("q_tokens"))
-    queries = asked.join(_small(asks.select(F.col("cls").alias("q"), F.col("comp").alias("q_comp"), F.col("grp").alias("q_grp"))), "q")
-    opened = materialize(member.join(asks.select("grp").distinct(), "grp").select("cls", "comp", "grp"), "sim-opened")
-    inside = sets.select("cls", "tokens").join(_small(opened), "cls")
-    outer = materialize(inside.groupBy("grp").cogroup(queries.groupBy("q_grp")).applyInArrow(
-        _open_block(percent), "a long, b long"), "sim-outer")
-    return Joined(rows, classes, materialize(connected_components(inner.unionByName(outer)), "sim-components"))
+        "cls", "n", "top", "blocks", F.xxhash64("top", F.pmod(F.xxhash64(F.lit(1), "cls"), "blocks")).alias("grp")), "sim-members")
+
+    named, links = _fold_groups(sets, member, _links_inside(sets, member, percent), percent)
+
+    # the matrix: one class of each component asks first, then all whose component is still not the block's
+    crowd = named.groupBy("comp").agg(F.count_distinct("grp").alias("k")).filter("k > 1").select("comp")
+    first = materialize(_representatives(named.join(crowd, "comp"), "comp"), "sim-first")
+    if first.count():
+        links = materialize(links.unionByName(_links_between(shared, sets, named, first, percent)), "sim-links")
+        named = _with_comp(member, links)
+    outer = _links_between(shared, sets, named, None, percent)
+    return Joined(rows, classes, materialize(connected_components(links.unionByName(outer)), "sim-components"))
 
 
 def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,

@@ -537,6 +537,33 @@ def test_shingle_join_against_all_pairs(docs, empty, k, percent, tokens, monkeyp
     assert ngram_join.join(empty).count() == 0
 
 
+@pytest.mark.parametrize("edits", [1, 4])
+def test_large_group_asks_little_and_in_bounded_parts(spark, edits, monkeypatch):
+    """80 texts with one edit each are one component over many blocks; with four edits each no two are similar,
+    though they share enough of their prefixes that all blocks have to be asked."""
+    ship(spark)
+    rnd, seen = random.Random(3), collections.defaultdict(list)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for i in range(80):
+        w = list(base)
+        for j in range(edits):
+            w[50 * j + 5 + rnd.randrange(40)] = f"edit{i}x{j}"
+        texts.append(" ".join(w))
+    docs = _frame(spark, texts)
+    monkeypatch.setattr(ngram_join, "GROUP_TOKENS", 800)
+    write = ngram_join.materialize
+    monkeypatch.setattr(ngram_join, "materialize", lambda df, name: seen[name].append(write(df, name)) or seen[name][-1])
+    got = {r.doc_id: r.component_id for r in ngram_join.join(docs).collect()}
+    assert set(got.values()) == ({0} if edits == 1 else set(range(80))) and len(got) == 80
+    if edits == 1:
+        assert sum(a.count() for a in seen["sim-asks"]) <= 80
+    else:
+        assert seen["sim-asks"][-1].count() > 400                    # they cannot be told apart without asking
+        parts = seen["sim-queries"][-1].groupBy("grp", "part").agg(F.sum("n").alias("n")).collect()
+        assert max(r.n for r in parts) <= 4 * 800 and len(parts) > 20
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 140)] + [(5, 5), (200, 201), (None, 3)]
     out = {r.node: r.comp for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
