@@ -1,6 +1,6 @@
 """Language-model scoring by prediction by partial matching over bytes.
 
-The model is a context trie of order 2 over lower-cased UTF-8 bytes: every training text,
+The model is a context trie (order 2 unless a longer one is asked for) over lower-cased UTF-8 bytes: every training text,
 with two boundary bytes before and one after it (0xFF never occurs in UTF-8), adds one
 count to each (context, next byte) of orders 0, 1 and 2. A byte is predicted in the
 longest context that was seen; symbols not seen there escape to the next shorter one
@@ -14,6 +14,12 @@ Spark adds them, and the probabilities below each last context byte are worked o
 group by group. At order 2 the trie has at most 2^24 entries whatever the corpus, so the
 table of costs (64 MB) is what each scoring task holds.
 
+Longer orders (``order`` 3 to 6; ``ORDER`` in the query) follow the same rules. Their contexts grow with the
+corpus and stay in Spark: tasks count the longest grams, shorter ones are sums of them, and every
+context is a row with its symbols' counts and the mass of those symbols one order below (which
+exclusion takes away there). Texts are scored in chunks of about ``CHUNK_BYTES``; a chunk asks for its distinct contexts
+by a join, and meets the answers in one task, where orders 0 to 2 come from the table.
+
 The base model counts words (one end token per text). Words that make up at least one in
 ``HEAVY`` training tokens are at most that many and are broadcast; all rarer words are
 looked up by a join.
@@ -31,7 +37,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import chunks, fold_of, materialize, tidy, utf8
@@ -39,6 +45,9 @@ from tessera.llm.common import chunks, fold_of, materialize, tidy, utf8
 BOUND = b"\xff"
 N_KEYS = 1 << 24
 BLOCK_BYTES = 4_000_000
+ORDER = 4                    # order of the query's model
+CHUNK_BYTES = 16_000_000     # text that asks for its contexts together
+FLUSH_GRAMS = 2_000_000      # distinct long grams a counting task holds
 HEAVY = 1_000_000            # at most so many words are broadcast
 HEAVY_BYTES = 64             # longer words always go through the join
 FLUSH_WORDS = 300_000        # distinct words a counting task holds
@@ -72,6 +81,170 @@ def add_counts(key: np.ndarray, total: np.ndarray) -> None:
     total[(used[at // (m * m)] << 16) | (used[at // m % m] << 8) | used[at % m]] += n[at]
 
 
+def long_keys(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of ``order`` context bytes and the next byte at every byte and end of the texts, and
+    each text's first one."""
+    a = np.frombuffer(b"".join(BOUND * order + t + BOUND for t in texts), np.uint8)
+    key = np.zeros(len(a) - order, np.int64)
+    for i in range(order + 1):
+        key = (key << 8) | a[i:len(a) - order + i]
+    lengths = np.asarray([len(t) + 1 for t in texts], np.int64)
+    starts = np.cumsum(lengths) - lengths
+    return key[np.arange(int(lengths.sum())) + np.repeat(np.arange(len(texts)) * order, lengths)], starts
+
+
+def _count_long(order: int):
+    def run(batches):
+        held, total = [], 0
+
+        def rows():
+            g, at = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+            n = np.bincount(at, weights=np.concatenate([y for _, y in held])).astype(np.int64)
+            return g, n
+
+        def out(g, n):
+            for i in range(0, len(g), 500_000):
+                yield pa.RecordBatch.from_arrays([pa.array(g[i:i + 500_000]), pa.array(n[i:i + 500_000])], ["gram", "n"])
+
+        for b in batches:
+            for part in chunks(b.column(0).to_pylist(), len, BLOCK_BYTES):
+                held.append(np.unique(long_keys([t.lower() for t in part], order)[0], return_counts=True))
+                total += len(held[-1][0])
+                if total > FLUSH_GRAMS:
+                    held = [rows()]
+                    total = len(held[0][0])
+                    if 2 * total > FLUSH_GRAMS:
+                        yield from out(*held[0])
+                        held, total = [], 0
+        if held:
+            yield from out(*rows())
+        held.clear()
+        tidy()
+
+    return run
+
+
+def _contexts(docs: DataFrame, order: int) -> DataFrame:
+    """k, ctx, total, below, symbols, counts: every context of orders 3 to ``order``; ``below`` is what its
+    symbols weigh in the context one byte shorter. Groups have at most 256 rows."""
+    grams = materialize(docs.mapInArrow(_count_long(order), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "ppm-grams")
+    out = None
+    for k in range(order, 2, -1):
+        low = F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1))
+        both = grams.withColumn("low", low).withColumn("n_low", F.sum("n").over(Window.partitionBy("low")))
+        rows = both.groupBy(F.shiftright("gram", 8).alias("ctx")).agg(
+            F.sum("n").alias("total"), F.sum("n_low").alias("below"),
+            F.array_sort(F.collect_list(F.struct(F.col("gram").bitwiseAND(F.lit(255)).cast("int").alias("s"), "n"))).alias("x"))
+        rows = rows.select(F.lit(k).alias("k"), "ctx", "total", "below", F.col("x.s").alias("symbols"), F.col("x.n").alias("counts"))
+        out = rows if out is None else out.unionByName(rows)
+        grams = grams.groupBy(low.alias("gram")).agg(F.sum("n").alias("n"))
+    return materialize(out, "ppm-contexts")
+
+
+def _ask_contexts(order: int):
+    """Rows (chunk, doc_id, uid, text) and, at the end of a chunk, (chunk, k, ctx) of its distinct contexts."""
+    names = ["chunk", "doc_id", "uid", "t", "k", "ctx"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64()]
+
+    def run(batches):
+        chunk, size, asked = None, 0, []
+
+        def asks():
+            c = np.unique(np.concatenate(asked))
+            for k in range(order, 2, -1):
+                for i in range(0, len(c), 500_000):
+                    part = c[i:i + 500_000]
+                    none = [pa.nulls(len(part), t) for t in types[1:4]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), chunk, np.int64)), *none,
+                                                      pa.array(np.full(len(part), k, np.int32)), pa.array(part)], names)
+                c = np.unique(c & ((1 << 8 * (k - 1)) - 1))
+
+        for b in batches:
+            rows = zip(*(b.column(i).to_pylist() for i in range(3)))
+            for part in chunks(rows, lambda r: len(r[2]), BLOCK_BYTES):
+                part = [(i, u, t.lower()) for i, u, t in part]
+                if chunk is None:
+                    chunk = part[0][1]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*[(chunk, *r, None, None) for r in part]), types)], names)
+                asked.append(np.unique(long_keys([t for _, _, t in part], order)[0] >> 8))
+                size += sum(len(t) for _, _, t in part)
+                if size >= CHUNK_BYTES:
+                    yield from asks()
+                    chunk, size, asked = None, 0, []
+        if asked:
+            yield from asks()
+        tidy()
+
+    return run
+
+
+def _at(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where in the sorted ``table`` the values are, and whether they are there."""
+    if not len(table):
+        return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+    at = np.minimum(np.searchsorted(table, x), len(table) - 1)
+    return at, table[at] == x
+
+
+class _Long:
+    """The contexts one chunk asked for, by order."""
+
+    def __init__(self, found: pa.Table, order: int):
+        self.levels = []
+        ks = found.column("k").to_numpy()
+        for k in range(order, 2, -1):
+            part = found.filter(pa.array(ks == k)).sort_by("ctx").combine_chunks()
+            ctx = part.column("ctx").to_numpy()
+            lists, counts = part.column("symbols").to_pylist(), part.column("counts").to_pylist()
+            d = np.asarray([len(x) for x in lists], np.int64)
+            flat = np.fromiter((y for x in lists for y in x), np.int64, int(d.sum()))
+            n = np.fromiter((y for x in counts for y in x), np.float64, int(d.sum()))
+            self.levels.append((k, ctx, part.column("total").to_numpy().astype(np.float64), part.column("below").to_numpy().astype(np.float64),
+                                d.astype(np.float64), (np.repeat(ctx, d) << 8) | flat, n))
+
+    def costs(self, u: np.ndarray, logp: np.ndarray, total2: np.ndarray, kinds2: np.ndarray, seen2: np.ndarray) -> np.ndarray:
+        """log10 probabilities of the grams ``u``."""
+        reach, cost, done = np.zeros(len(u)), np.zeros(len(u)), np.zeros(len(u), bool)
+        mass, kinds = np.zeros(len(u)), np.zeros(len(u))           # of excluded symbols, at the order looked at
+        for k, ctx, total, below, d, grams, n in self.levels:
+            at, has = _at(ctx, (u >> 8) & ((1 << 8 * k) - 1))
+            if not has.any():
+                continue
+            spot, hit = _at(grams, u & ((1 << 8 * (k + 1)) - 1))
+            new = np.where(has, d[at] - kinds, 0)
+            whole = np.where(new > 0, total[at] - mass + new, 1)
+            take = hit & ~done
+            cost[take] = reach[take] + np.log10(n[spot[take]] / whole[take])
+            done |= hit
+            reach = reach + np.where(new > 0, np.log10(np.where(new > 0, new, 1) / whole), 0)
+            mass, kinds = np.where(has, below[at], 0), np.where(has, d[at], 0)
+        key = u & (N_KEYS - 1)
+        c, p = key >> 8, logp[key].astype(np.float64)
+        seen = (seen2[key >> 3] >> (7 - (key & 7)).astype(np.uint8)) & 1 == 1
+        # the table's costs are those without exclusion by longer contexts
+        d2 = np.where(kinds2[c] == 256, 0, kinds2[c])
+        full = np.where(total2[c] > 0, total2[c] + d2, 1)
+        new = kinds2[c] - kinds
+        rest = np.where(new > 0, total2[c] - mass + np.where(d2 > 0, new, 0), 1)
+        escape = np.where(new > 0, np.log10(np.where(new > 0, new, 1) / rest), 0) - np.log10(np.where(d2 > 0, d2, 1) / full)
+        p = np.where(kinds > 0, np.where(seen, p + np.log10(full / rest), p + escape), p)
+        return np.where(done, cost, reach + p)
+
+
+def _long_scores(order: int, table, base):
+    def run(docs: pa.Table, found: pa.Table) -> pa.Table:
+        long, logp, low = _Long(found, order), table.value, base.value
+        ids, uids, scores = docs.column("doc_id").to_pylist(), docs.column("uid").to_pylist(), []
+        for part in chunks((x.as_py() for x in docs.column("t")), len, BLOCK_BYTES):
+            key, starts = long_keys(part, order)
+            u, at = np.unique(key, return_inverse=True)
+            scores += np.add.reduceat(long.costs(u, logp, *low)[at], starts).tolist()
+        tidy()
+        return pa.table({"uid": pa.array(uids, pa.int64()), "score": pa.array(scores, pa.float64())})
+
+    return run
+
+
 def count_corpus(batches):
     """Partition-wise counts: rows (gram, null, n) and (null, word, n)."""
     grams = np.zeros(N_KEYS, np.int64)
@@ -129,12 +302,16 @@ def costs_below(last: int | None, c2: np.ndarray, c0: np.ndarray) -> np.ndarray:
 class PpmModel:
     """log10 probability per trigram key, and the base model's word counts."""
 
-    def __init__(self, logp: np.ndarray, words: DataFrame, n: int, v: int, heavy: dict[bytes, int]):
+    def __init__(self, logp: np.ndarray, words: DataFrame, n: int, v: int, heavy: dict[bytes, int],
+                 order: int = 2, contexts: DataFrame | None = None, base: tuple = ()):
         self.logp, self.words, self.n, self.v, self.heavy = logp, words, n, v, heavy
+        self.order, self.contexts, self.base = order, contexts, base      # base: totals, kinds and seen bits of order 2
 
 
-def fit(docs: DataFrame, train: Column, *, text_col: str = "text") -> PpmModel:
+def fit(docs: DataFrame, train: Column, *, text_col: str = "text", order: int = 2) -> PpmModel:
     """Gather the model from all rows of ``docs`` where ``train`` holds."""
+    if not 2 <= order <= 6:
+        raise ValueError("order must be 2 to 6")
     counts = materialize(docs.filter(train).select(utf8(F.col(text_col)).alias("t"))
                          .mapInArrow(count_corpus, "gram int, word binary, n long"), "ppm-counts")
     grams = counts.filter("gram is not null").groupBy("gram").agg(F.sum("n").alias("n"))
@@ -148,18 +325,25 @@ def fit(docs: DataFrame, train: Column, *, text_col: str = "text") -> PpmModel:
         last = int(g[0] >> 8) & 255
         c2 = np.zeros((256, 256))
         c2[g >> 16, g & 255] = rows["n"].to_numpy()
-        return pd.DataFrame({"last": [last], "p": [costs_below(last, c2, c0).tobytes()]})
+        return pd.DataFrame({"last": [last], "p": [costs_below(last, c2, c0).tobytes()], "total": [c2.sum(axis=1).tobytes()],
+                             "seen": [np.packbits(c2 > 0).tobytes()]})
 
     logp = np.empty((256, 256, 256), np.float32)
     logp[:] = costs_below(None, np.zeros((256, 256)), c0)[:, None, :]          # last byte never seen
     below = F.shiftright("gram", 8).bitwiseAND(255)
-    for r in grams.groupBy(below).applyInPandas(table_of, "last int, p binary").collect():       # at most 64 MB
+    total2, seen2 = np.zeros((256, 256)), np.zeros((256, 256, 32), np.uint8)
+    for r in grams.groupBy(below).applyInPandas(table_of, "last int, p binary, total binary, seen binary").collect():       # at most 66 MB
         logp[:, r["last"], :] = np.frombuffer(r.p, np.float32).reshape(256, 256)
+        total2[:, r["last"]] = np.frombuffer(r.total, np.float64)
+        seen2[:, r["last"], :] = np.frombuffer(r.seen, np.uint8).reshape(256, 32)
+    kinds2 = np.unpackbits(seen2, axis=2).sum(axis=2).astype(np.float64)
+    contexts = _contexts(docs.filter(train).select(utf8(F.col(text_col)).alias("t")), order) if order > 2 else None
 
     words = materialize(counts.filter("word is not null").groupBy("word").agg(F.sum("n").alias("c")), "ppm-words")
     total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     often = words.filter((F.col("c") * HEAVY >= F.lit(total.n)) & (F.length("word") <= HEAVY_BYTES)).collect()  # at most HEAVY
-    return PpmModel(logp.reshape(-1), words, total.n, total.v, {bytes(r.word): r.c for r in often})
+    return PpmModel(logp.reshape(-1), words, total.n, total.v, {bytes(r.word): r.c for r in often}, order, contexts,
+                    (total2.reshape(-1), kinds2.reshape(-1), seen2.reshape(-1)))
 
 
 def score_documents(docs: DataFrame, model: PpmModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -196,8 +380,18 @@ def score_documents(docs: DataFrame, model: PpmModel, *, id_col: str = "doc_id",
             names = ("doc_id", "uid", "n_tokens", "n_known", "base", "score", "rare", "times")
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], list(names))
 
-    first = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("uid"),
-                                    utf8(F.col(text_col)).alias("t")).mapInArrow(score, fields), "ppm-scored")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("uid"), utf8(F.col(text_col)).alias("t"))
+    if model.order > 2:
+        chunked = materialize(texts.mapInArrow(_ask_contexts(model.order), "chunk long, doc_id long, uid long, t binary, k int, ctx long"), "ppm-chunks")
+        texts = chunked.filter("k is null").select("chunk", "doc_id", "uid", "t")
+        found = chunked.filter("k is not null").select(F.col("chunk").alias("asker"), "k", "ctx").join(model.contexts, ["k", "ctx"])
+        base = spark.sparkContext.broadcast(model.base)                        # 3 MB
+        long = materialize(texts.groupBy("chunk").cogroup(found.groupBy("asker")).applyInArrow(
+            _long_scores(model.order, table, base), "uid long, score double"), "ppm-long")
+        texts = texts.drop("chunk")
+    first = materialize(texts.mapInArrow(score, fields), "ppm-scored")
+    if model.order > 2:
+        first = first.drop("score").join(long, "uid")
     rare = first.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select(
         "uid", F.col("x.rare").alias("word"), F.col("x.times").alias("k"))
     c = F.coalesce(F.col("c"), F.lit(0))

@@ -65,7 +65,7 @@ def op4(spark, sf_dir):
 @_query("op5_ppm")
 def op5(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    model = ppm.fit(docs, ~ppm.held_out(F.col("doc_id")))
+    model = ppm.fit(docs, ~ppm.held_out(F.col("doc_id")), order=ppm.ORDER)
     return ppm.score_documents(docs, model).withColumn("held_out", ppm.held_out(F.col("doc_id")))
 
 

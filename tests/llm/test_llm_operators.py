@@ -335,6 +335,49 @@ def test_ppm_joins_rare_words(docs, monkeypatch):
         assert r.n_known == whole[r.uid].n_known and abs(r.base_score - whole[r.uid].base_score) < 1e-6 * r.n_tokens
 
 
+def _long_logp(train, text, order):
+    """``_ppm_logp`` for any order."""
+    counts = collections.defaultdict(collections.Counter)
+    for t in train:
+        b = [255] * order + [*t.encode(), 255]
+        for i in range(order, len(b)):
+            for k in range(order + 1):
+                counts[tuple(b[i - k:i])][b[i]] += 1
+    b, total = [255] * order + [*text.encode(), 255], 0.0
+    for i in range(order, len(b)):
+        gone, p = set(), 1.0
+        for k in range(order, -1, -1):
+            c = {s: n for s, n in counts[tuple(b[i - k:i])].items() if s not in gone}
+            if not c:
+                continue
+            if b[i] in c:
+                p *= c[b[i]] / (sum(c.values()) + len(c))
+                break
+            p *= len(c) / (sum(c.values()) + len(c))
+            gone |= set(c)
+        else:
+            p /= 256 - len(gone)
+        total += math.log10(p)
+    return total
+
+
+def test_ppm_longer_order_matches_direct_counts(docs, empty, monkeypatch):
+    monkeypatch.setattr(ppm, "CHUNK_BYTES", 3000)
+    d = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
+    rows = d.collect()
+    train = [_lower(r.text or "") for r in rows if zlib.crc32(str(r.doc_id).encode()) % 5 != 1]
+    text = {r.doc_id: _lower(r.text or "") for r in rows if len(r.text or "") < 500}
+    model = ppm.fit(d, ~ppm.held_out(F.col("doc_id")), order=4)
+    out = ppm.score_documents(d, model).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        if r.doc_id in text:
+            assert abs(r.score - _long_logp(train, text[r.doc_id], 4)) < 1e-3
+    assert ppm.score_documents(empty, model).count() == 0
+    none = ppm.score_documents(d, ppm.fit(empty, F.lit(True), order=4)).filter("n_tokens = 2").first()
+    assert none.train_tokens == 0
+
+
 def _scored(docs):
     d = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
     return [r for r in ppm.score_documents(d, ppm.fit(d, ~ppm.held_out(F.col("doc_id")))).withColumn("uid", F.col("doc_id")).collect()]
