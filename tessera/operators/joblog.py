@@ -37,9 +37,21 @@ def dead_letter_report(dead_ids: DataFrame, state: DataFrame) -> DataFrame:
     return dead_ids.distinct().join(state, "job_id", "inner")
 
 
-# fixed values: error classes that are worth another attempt (each with its built-in subclasses)
-TRANSIENT_ERRORS = ("OSError", "TimeoutError", "ConnectionError", "RedisError", "ConnectionResetError",
-                    "ConnectionRefusedError", "ConnectionAbortedError", "BrokenPipeError", "InterruptedError")
+# fixed values: error classes that are worth another attempt: OSError (TimeoutError and ConnectionError
+# are among its subclasses) and RedisError of redis 5.2, each with its subclasses by name
+TRANSIENT_ERRORS = (
+    "OSError", "BlockingIOError", "ChildProcessError", "ConnectionError", "BrokenPipeError", "ConnectionAbortedError",
+    "ConnectionRefusedError", "ConnectionResetError", "FileExistsError", "FileNotFoundError", "InterruptedError",
+    "IsADirectoryError", "NotADirectoryError", "PermissionError", "ProcessLookupError", "TimeoutError",
+    # of the standard library
+    "gaierror", "herror", "SSLError", "SSLZeroReturnError", "SSLWantReadError", "SSLWantWriteError", "SSLSyscallError",
+    "SSLEOFError", "SSLCertVerificationError", "URLError", "HTTPError", "ContentTooShortError",
+    # of redis
+    "RedisError", "AuthenticationError", "AuthorizationError", "BusyLoadingError", "MaxConnectionsError", "MasterNotFoundError",
+    "SlaveNotFoundError", "InvalidResponse", "ResponseError", "DataError", "PubSubError", "WatchError", "NoScriptError",
+    "OutOfMemoryError", "ExecAbortError", "ReadOnlyError", "NoPermissionError", "ModuleError", "LockError", "LockNotOwnedError",
+    "AuthenticationWrongNumberOfArgsError", "ClusterError", "ClusterDownError", "AskError", "TryAgainError", "MovedError",
+    "MasterDownError", "ClusterCrossSlotError")
 
 
 def retry_plan(state: DataFrame, error_class: str = "error_class", max_attempts: int = MAX_ATTEMPTS,

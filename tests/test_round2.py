@@ -119,3 +119,13 @@ def test_indented_documents_are_read(spark, tmp_path):
 def test_cv_regression_carries_the_target_mean(spark):
     df = spark.createDataFrame([(0, 1.0, 1.5), (0, 3.0, 2.0), (1, 8.0, 8.0)], "fold int, y double, p double")
     assert metrics.cv_regression_metrics(df, "fold", "y", "p").first().target_mean == 4.0
+
+
+def test_all_subclasses_of_transient_errors_are_retried(spark):
+    import builtins
+    names = {c.__name__ for c in vars(builtins).values() if isinstance(c, type) and issubclass(c, OSError)}
+    names |= {"RedisError", "BusyLoadingError", "ReadOnlyError", "ClusterDownError", "gaierror"}
+    rows = [(i, "failed", 1, n) for i, n in enumerate([*sorted(names), "ValueError", None])]
+    df = spark.createDataFrame(rows, "job_id long, status string, attempt int, error_class string")
+    out = {r.error_class: (r.retryable, r.delay_seconds) for r in joblog.retry_plan(df).collect()}
+    assert {n for n, (again, _) in out.items() if again} == names and out["ValueError"] == out[None] == (False, None)
