@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import (chat_format, exact_dedup, mixing, ngram_join, pieces, pii, ppm, quality_lines, toxicity, warc)
+from tessera.llm import (chat_format, exact_dedup, fim, fm_index, mixing, ngram_join, pieces, pii, ppm, quality_lines, toxicity, warc,
+                         zone_clusters)
 from tessera.llm.common import prepare, table
 
 _QUERIES: dict = {}
@@ -102,3 +103,20 @@ def op9(spark, sf_dir):
 @_query("op10_ngram_join")
 def op10(spark, sf_dir):
     return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
+@_query("op11_fill_in_middle", fim.SQL)
+def op11(spark, sf_dir):
+    rows = fim.restore(fim.transform(table(spark, sf_dir, "documents")))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2("restored", 256).alias("restored_sha256"))
+
+
+@_query("op12_decontamination", fm_index.SQL)
+def op12(spark, sf_dir):
+    return fm_index.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
+
+
+@_query("op13_zone_clusters", zone_clusters.SQL)
+def op13(spark, sf_dir):
+    return zone_clusters.cluster(table(spark, sf_dir, "embeddings"))
