@@ -11,8 +11,9 @@ and of its end.
 
 Training counts are gathered from all training texts: tasks count trigrams of bytes,
 Spark adds them, and the probabilities below each last context byte are worked out
-group by group. At order 2 the trie has at most 2^24 entries whatever the corpus, so the
-table of costs (64 MB) is what each scoring task holds.
+group by group. At order 2 the trie has at most 2^24 entries whatever the corpus, so a
+table of costs is what each scoring task holds. Bytes that no training text holds share their costs,
+so the table has a row for each byte that occurs and one for all others (at most 64 MB).
 
 Longer orders (``order`` 3 to 6; ``ORDER`` in the query) follow the same rules. Their contexts grow with the
 corpus and stay in Spark: tasks count the longest grams, shorter ones are sums of them, and every
@@ -37,6 +38,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,8 +47,9 @@ from tessera.llm.common import chunks, fold_of, materialize, tidy, utf8
 BOUND = b"\xff"
 N_KEYS = 1 << 24
 BLOCK_BYTES = 4_000_000
+LONG_BLOCK_BYTES = 1_000_000 # text whose longer grams a task sorts at once
 ORDER = 4                    # order of the query's model
-CHUNK_BYTES = 16_000_000     # text that asks for its contexts together
+CHUNK_BYTES = 8_000_000      # text that asks for its contexts together
 FLUSH_GRAMS = 2_000_000      # distinct long grams a counting task holds
 HEAVY = 1_000_000            # at most so many words are broadcast
 HEAVY_BYTES = 64             # longer words always go through the join
@@ -107,7 +110,7 @@ def _count_long(order: int):
                 yield pa.RecordBatch.from_arrays([pa.array(g[i:i + 500_000]), pa.array(n[i:i + 500_000])], ["gram", "n"])
 
         for b in batches:
-            for part in chunks(b.column(0).to_pylist(), len, BLOCK_BYTES):
+            for part in chunks((x.as_py() for x in b.column(0)), len, LONG_BLOCK_BYTES):
                 held.append(np.unique(long_keys([t.lower() for t in part], order)[0], return_counts=True))
                 total += len(held[-1][0])
                 if total > FLUSH_GRAMS:
@@ -161,7 +164,7 @@ def _ask_contexts(order: int):
 
         for b in batches:
             rows = zip(*(b.column(i).to_pylist() for i in range(3)))
-            for part in chunks(rows, lambda r: len(r[2]), BLOCK_BYTES):
+            for part in chunks(rows, lambda r: len(r[2]), LONG_BLOCK_BYTES):
                 part = [(i, u, t.lower()) for i, u, t in part]
                 if chunk is None:
                     chunk = part[0][1]
@@ -186,23 +189,49 @@ def _at(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == x
 
 
+def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths of a column's lists, and their values end to end."""
+    parts = [c for c in column.chunks if len(c)]
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return (np.concatenate([np.diff(c.offsets.to_numpy()) for c in parts]).astype(np.int64),
+            np.concatenate([c.flatten().to_numpy() for c in parts]))
+
+
+class Table:
+    """The costs of order 2: log10 probabilities by trigram key. ``logp`` holds all keys, only those of bytes that occur are kept."""
+
+    def __init__(self, logp: np.ndarray, seen: np.ndarray):
+        used = np.flatnonzero(seen)
+        other = np.flatnonzero(~seen)[:1]
+        kept = np.concatenate([used, other])
+        self.rank, self.m = np.full(256, len(used), np.int32), len(kept)
+        self.rank[used] = np.arange(len(used))
+        self.logp = np.ascontiguousarray(logp.reshape(256, 256, 256)[np.ix_(kept, kept, kept)]).reshape(-1)
+
+    def __getitem__(self, key: np.ndarray) -> np.ndarray:
+        r, m = self.rank, self.m
+        return self.logp[(r[(key >> 16) & 255] * m + r[(key >> 8) & 255]) * m + r[key & 255]].astype(np.float64)
+
+
 class _Long:
     """The contexts one chunk asked for, by order."""
 
     def __init__(self, found: pa.Table, order: int):
         self.levels = []
-        ks = found.column("k").to_numpy()
         for k in range(order, 2, -1):
-            part = found.filter(pa.array(ks == k)).sort_by("ctx").combine_chunks()
+            part = found.filter(pc.equal(found.column("k"), k)).select(["ctx", "total", "below", "symbols", "counts"])
             ctx = part.column("ctx").to_numpy()
-            lists, counts = part.column("symbols").to_pylist(), part.column("counts").to_pylist()
-            d = np.asarray([len(x) for x in lists], np.int64)
-            flat = np.fromiter((y for x in lists for y in x), np.int64, int(d.sum()))
-            n = np.fromiter((y for x in counts for y in x), np.float64, int(d.sum()))
-            self.levels.append((k, ctx, part.column("total").to_numpy().astype(np.float64), part.column("below").to_numpy().astype(np.float64),
-                                d.astype(np.float64), (np.repeat(ctx, d) << 8) | flat, n))
-
-    def costs(self, u: np.ndarray, logp: np.ndarray, total2: np.ndarray, kinds2: np.ndarray, seen2: np.ndarray) -> np.ndarray:
+            by = np.argsort(ctx, kind="stable")
+            d, symbols = _lists(part.column("symbols"))
+            n = _lists(part.column("counts"))[1]
+            first = np.cumsum(d) - d
+            at = np.repeat(first[by] - (np.cumsum(d[by]) - d[by]), d[by]) + np.arange(len(symbols))
+            ctx, d = ctx[by], d[by]
+            self.levels.append((k, ctx, part.column("total").to_numpy()[by].astype(np.float64), part.column("below").to_numpy()[by].astype(np.float64),
+                                d.astype(np.float64), (np.repeat(ctx, d) << 8) | symbols[at], n[at]))
+
+    def costs(self, u: np.ndarray, logp: Table, total2: np.ndarray, kinds2: np.ndarray, seen2: np.ndarray) -> np.ndarray:
         """log10 probabilities of the grams ``u``."""
         reach, cost, done = np.zeros(len(u)), np.zeros(len(u)), np.zeros(len(u), bool)
         mass, kinds = np.zeros(len(u)), np.zeros(len(u))           # of excluded symbols, at the order looked at
@@ -219,7 +248,7 @@ class _Long:
             reach = reach + np.where(new > 0, np.log10(np.where(new > 0, new, 1) / whole), 0)
             mass, kinds = np.where(has, below[at], 0), np.where(has, d[at], 0)
         key = u & (N_KEYS - 1)
-        c, p = key >> 8, logp[key].astype(np.float64)
+        c, p = key >> 8, logp[key]
         seen = (seen2[key >> 3] >> (7 - (key & 7)).astype(np.uint8)) & 1 == 1
         # the table's costs are those without exclusion by longer contexts
         d2 = np.where(kinds2[c] == 256, 0, kinds2[c])
@@ -234,13 +263,14 @@ class _Long:
 def _long_scores(order: int, table, base):
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
         long, logp, low = _Long(found, order), table.value, base.value
-        ids, uids, scores = docs.column("doc_id").to_pylist(), docs.column("uid").to_pylist(), []
-        for part in chunks((x.as_py() for x in docs.column("t")), len, BLOCK_BYTES):
+        del found
+        scores = []
+        for part in chunks((x.as_py() for x in docs.column("t")), len, LONG_BLOCK_BYTES):
             key, starts = long_keys(part, order)
             u, at = np.unique(key, return_inverse=True)
             scores += np.add.reduceat(long.costs(u, logp, *low)[at], starts).tolist()
         tidy()
-        return pa.table({"uid": pa.array(uids, pa.int64()), "score": pa.array(scores, pa.float64())})
+        return pa.table({"uid": docs.column("uid"), "score": pa.array(scores, pa.float64())})
 
     return run
 
@@ -302,7 +332,7 @@ def costs_below(last: int | None, c2: np.ndarray, c0: np.ndarray) -> np.ndarray:
 class PpmModel:
     """log10 probability per trigram key, and the base model's word counts."""
 
-    def __init__(self, logp: np.ndarray, words: DataFrame, n: int, v: int, heavy: dict[bytes, int],
+    def __init__(self, logp: Table, words: DataFrame, n: int, v: int, heavy: dict[bytes, int],
                  order: int = 2, contexts: DataFrame | None = None, base: tuple = ()):
         self.logp, self.words, self.n, self.v, self.heavy = logp, words, n, v, heavy
         self.order, self.contexts, self.base = order, contexts, base      # base: totals, kinds and seen bits of order 2
@@ -342,7 +372,7 @@ def fit(docs: DataFrame, train: Column, *, text_col: str = "text", order: int =
     words = materialize(counts.filter("word is not null").groupBy("word").agg(F.sum("n").alias("c")), "ppm-words")
     total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     often = words.filter((F.col("c") * HEAVY >= F.lit(total.n)) & (F.length("word") <= HEAVY_BYTES)).collect()  # at most HEAVY
-    return PpmModel(logp.reshape(-1), words, total.n, total.v, {bytes(r.word): r.c for r in often}, order, contexts,
+    return PpmModel(Table(logp, c0 > 0), words, total.n, total.v, {bytes(r.word): r.c for r in often}, order, contexts,
                     (total2.reshape(-1), kinds2.reshape(-1), seen2.reshape(-1)))
 
 
@@ -350,8 +380,9 @@ def score_documents(docs: DataFrame, model: PpmModel, *, id_col: str = "doc_id",
     """doc_id, n_tokens, n_known, train_tokens, base_score, score: one row per row of docs."""
     spark = docs.sparkSession
     spread = model.n + 0.5 * (model.v + 1)
-    table = spark.sparkContext.broadcast(model.logp)                           # 64 MB, whatever the corpus
+    table = spark.sparkContext.broadcast(model.logp)                           # at most 64 MB, whatever the corpus
     heavy = spark.sparkContext.broadcast({w: math.log10((c + 0.5) / spread) for w, c in model.heavy.items()})
+    model_order = model.order
     fields = "doc_id long, uid long, n_tokens long, n_known long, base double, score double, rare array<binary>, times array<int>"
 
     def score(batches):
@@ -361,10 +392,12 @@ def score_documents(docs: DataFrame, model: PpmModel, *, id_col: str = "doc_id",
             rows, at = [], 0
             for part in chunks(b.column(2).to_pylist(), len, BLOCK_BYTES):
                 part = [t.lower() for t in part]
-                key, starts = byte_keys(part)
-                cost = logp[key].astype(np.float64)
-                cost[key < 0] = 0.0
-                total = np.add.reduceat(cost, starts)
+                total = np.zeros(len(part))
+                if model_order == 2:
+                    key, starts = byte_keys(part)
+                    cost = logp[key]
+                    cost[key < 0] = 0.0
+                    total = np.add.reduceat(cost, starts)
                 for t, s in zip(part, total):
                     words = t.split()
                     words.append(b"")
