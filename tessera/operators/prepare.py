@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import col, is_missing, is_numeric_type
+from tessera.operators.order_stats import exact_quantiles
 
 NUMERIC_STRATEGIES = ("median", "mean", "most_frequent", "constant", "drop")
 CATEGORICAL_STRATEGIES = ("most_frequent", "constant")
@@ -80,17 +81,13 @@ def fit_imputer(df: DataFrame, numeric: list[str], categorical: list[str], numer
     elif numeric_strategy == "constant":
         fills.update({c: float(numeric_constant) for c in numeric})
     elif numeric_strategy in ("median", "mean") and numeric:
-        aggs = []
-        for i, c in enumerate(numeric):
-            x = F.when(~is_missing(df, c), col(c).cast("double"))
-            if numeric_strategy == "mean":
-                aggs.append(F.avg(x).alias(f"v{i}"))
-            elif accuracy:
-                aggs.append(F.percentile_approx(x, 0.5, accuracy).cast("double").alias(f"v{i}"))
-            else:
-                aggs.append(F.percentile(x, F.lit(0.5)).alias(f"v{i}"))
-        row = df.agg(*aggs).first()
-        fills.update({c: row[f"v{i}"] for i, c in enumerate(numeric)})
+        present = {c: F.when(~is_missing(df, c), col(c).cast("double")) for c in numeric}
+        if numeric_strategy == "median" and not accuracy:
+            fills.update({c: m for c, (m,) in exact_quantiles(df, present, [0.5]).items()})
+        else:
+            fit = F.avg if numeric_strategy == "mean" else lambda x: F.percentile_approx(x, 0.5, accuracy).cast("double")
+            row = df.agg(*[fit(x).alias(f"v{i}") for i, x in enumerate(present.values())]).first()
+            fills.update({c: row[f"v{i}"] for i, c in enumerate(numeric)})
     mf_cols = (numeric if numeric_strategy == "most_frequent" else []) + \
               (categorical if categorical_strategy == "most_frequent" else [])
     if mf_cols:
@@ -134,25 +131,23 @@ def label_encode(df: DataFrame, label: str, out: str = "label_index"):
 def impute_per_fold(df: DataFrame, fold: str, k: int, median_cols: list[str], mean_cols: list[str]) -> DataFrame:
     """each fold's gaps are filled from the statistics of the *other* folds.
 
-    Means use per-fold sums and counts (complement = total - fold); medians use one
-    conditional ``percentile`` per fold in a single aggregate. The fitted table has one
+    Means use per-fold sums and counts (complement = total - fold); medians of all complements
+    are selected together (a series per column and fold). The fitted table has one
     row per fold and is broadcast back by fold."""
+    medians = exact_quantiles(df, {f"{c}/{f}": F.when((col(fold) != f) & ~is_missing(df, c), col(c).cast("double"))
+                                   for c in median_cols for f in range(k)}, [0.5])
     aggs = []
     for c in mean_cols:
         x = F.when(~is_missing(df, c), col(c).cast("double"))
         for f in range(k):
             in_comp = col(fold) != f
             aggs += [F.sum(F.when(in_comp, x)).alias(f"s_{c}_{f}"), F.count(F.when(in_comp, x)).alias(f"n_{c}_{f}")]
-    for c in median_cols:
-        x = F.when(~is_missing(df, c), col(c).cast("double"))
-        for f in range(k):
-            aggs.append(F.percentile(F.when(col(fold) != f, x), F.lit(0.5)).alias(f"m_{c}_{f}"))
-    wide = df.agg(*aggs)
+    wide = df.agg(*aggs, F.count("*").alias("rows"))
     rows = []
     for f in range(k):
         fields = [F.lit(f).alias(fold)]
         fields += [(F.col(f"s_{c}_{f}") / F.col(f"n_{c}_{f}")).alias(f"_fill_{c}") for c in mean_cols]
-        fields += [F.col(f"m_{c}_{f}").alias(f"_fill_{c}") for c in median_cols]
+        fields += [F.lit(medians[f"{c}/{f}"][0]).cast("double").alias(f"_fill_{c}") for c in median_cols]
         rows.append(F.struct(*fields))
     fits = wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
     j = df.join(F.broadcast(fits), fold, "left")

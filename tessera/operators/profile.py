@@ -1,7 +1,8 @@
 """Column profiling (P1-P19): one output row per input column, in input order.
 
 Plan (independent of the number of rows):
-  pass 1a  one wide aggregate: missing counts, min/max/mean/std, quartiles per numeric column
+  pass 1a  one wide aggregate: missing counts, min/max/mean/std per numeric column; quartiles by
+           distributed selection (``order_stats``), all columns in the same passes
   pass 1b  one long-form value count: (column, value) -> count with map-side partial
            aggregation, then per column the number of distinct values and the mode
            (ties -> smallest value). A dominant value is collapsed before the shuffle.
@@ -19,6 +20,7 @@ from pyspark.sql import types as T
 
 from tessera.functions.columns import (FALSE_TOKENS, FLOAT_PATTERN, INF_PATTERN, INT_PATTERN,
                                        TRUE_TOKENS, col, is_missing, is_numeric_type)
+from tessera.operators.order_stats import exact_quantiles
 
 PROFILE_FIELDS = ("position", "name", "raw_dtype", "ml_type", "missing_count", "missing_rate",
                   "unique_count", "outlier_count", "minimum", "maximum", "mean", "std", "median", "mode")
@@ -34,34 +36,33 @@ def ml_type(dt: T.DataType) -> str:
     return "numeric" if is_numeric_type(dt) else "categorical"
 
 
-def _quantiles(c, accuracy: int | None):
-    probs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    if accuracy:
-        return F.percentile_approx(c, [0.25, 0.5, 0.75], accuracy)
-    return F.percentile(c, probs)
-
-
 def column_stats(df: DataFrame, accuracy: int | None = None, quartiles: bool = True, moments: bool = True) -> DataFrame:
     """Pass 1a: per column (position, name, raw_dtype, ml_type, n, missing_count, minimum,
     maximum, mean, std, q1, median, q3). Without ``quartiles`` (or ``moments``: minimum to
-    std) those columns are null and not worked out."""
+    std) those columns are null and not worked out. Quartiles are exact unless ``accuracy`` asks for
+    ``percentile_approx``."""
+    numbers = {str(i): F.when(~is_missing(df, f.name), col(f.name).cast("double"))
+               for i, f in enumerate(df.schema.fields) if is_numeric_type(f.dataType)}
+    exact = exact_quantiles(df, numbers, [0.25, 0.5, 0.75]) if quartiles and not accuracy else {}
     aggs = [F.count(F.lit(1)).alias("n")]
     for i, f in enumerate(df.schema.fields):
         aggs.append(F.count_if(is_missing(df, f.name)).alias(f"m{i}"))
         if is_numeric_type(f.dataType):
-            x = F.when(~is_missing(df, f.name), col(f.name).cast("double"))
+            x = numbers[str(i)]
             if moments:
                 aggs += [F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"), F.avg(x).alias(f"mu{i}"),
                          F.stddev_samp(x).alias(f"sd{i}"), F.count(x).alias(f"c{i}")]
-            if quartiles:
-                aggs.append(_quantiles(x, accuracy).alias(f"qs{i}"))
+            if quartiles and accuracy:
+                aggs.append(F.percentile_approx(x, [0.25, 0.5, 0.75], accuracy).alias(f"qs{i}"))
     wide = df.agg(*aggs)
     rows = []
     for i, f in enumerate(df.schema.fields):
         num = is_numeric_type(f.dataType)
         d = (lambda k: F.col(f"{k}{i}")) if num and moments else (lambda k: F.lit(None).cast("double"))
-        qs = (lambda j: F.element_at(F.col(f"qs{i}"), j).cast("double")) if num and quartiles \
-            else (lambda j: F.lit(None).cast("double"))
+        if num and quartiles and accuracy:
+            qs = lambda j: F.element_at(F.col(f"qs{i}"), j).cast("double")      # noqa: E731
+        else:
+            qs = lambda j: F.lit(exact[str(i)][j - 1] if str(i) in exact else None).cast("double")      # noqa: E731
         cnt = F.col(f"c{i}") if num and moments else F.lit(0).cast("long")
         std = F.when(cnt == 0, F.lit(None).cast("double")).when(cnt == 1, F.lit(0.0)).otherwise(d("sd")) \
             if num and moments else F.lit(None).cast("double")
@@ -136,7 +137,7 @@ def outlier_stats(df: DataFrame, stats: DataFrame) -> DataFrame:
 
 def profile(df: DataFrame, accuracy: int | None = None) -> DataFrame:
     """Whole-table profile (P14). ``accuracy`` switches quartiles to percentile_approx
-    (bounded memory per column at very large scale); default is exact."""
+    (one pass); default is exact, by distributed selection."""
     # one row per column: collected once and reused, so the wide aggregate runs once
     stats = df.sparkSession.createDataFrame(column_stats(df, accuracy).collect(), column_stats_schema())
     values = value_stats(df)
