@@ -12,15 +12,18 @@ are one class from the start, so copies never meet each other.
    l such shingles (l of the smallest set that could link with them) can have a partner; the others leave,
    and with them shingles that are then in one class only. The remaining classes' whole sets are read from the texts again.
 3. Similar classes are grouped: a class votes, shingle by shingle, for the class of least hash
-   that shares the shingle, and joins the group of the one it names most often; groups are cut by hash
-   into blocks of about ``GROUP_TOKENS`` shingles. Within a block every class is counted against all
+   that shares the shingle, and joins the group of the one it names most often; then the groups vote in
+   the same way, until none joins another (at most ``VOTES`` times; groups decide where work is done, not what is found).
+   Groups are cut by hash into blocks of about ``GROUP_TOKENS`` shingles. Within a block every class is counted against all
    members through the block's postings, and a forest of links is kept.
    A group of several blocks is folded further: one class per component stands for it, and these meet
    in blocks of their own, as long as that at least halves them. Each round is linear in what is left.
-4. Matrix: (shingle, block) over the members' prefixes. Of two blocks the members of one query the
-   other: a class asks a block where l of its prefix shingles are held by members of other
-   components. Which (component, block) pairs there are is found per shingle before any row of a class
-   is made, and shingles of one component ask nothing. One class per component asks first; what it
+4. Of two blocks the members of one query the other. Blocks of one group are asked by every class of the group
+   that they may hold a partner of (another component, a size within the threshold): a row per class and block, as
+   nearly all shingles of such blocks are shared. Other blocks are asked by the matrix (shingle, block) over the
+   members' prefixes: a class asks a block where l of its prefix shingles are held by members of other
+   groups. Which (component, block) pairs there are is found per shingle before any row of a class
+   is made, and shingles of one group ask nothing. One class per component asks first; what it
    links is folded into the components before all others ask. A block opens only if the overlap of the query
    with its token union reaches what the threshold asks for, and its members are then counted exactly. Queries
    of a block are cut by hash into parts of about ``GROUP_TOKENS`` shingles, each with a copy of the members.
@@ -54,6 +57,7 @@ MAX_FREQUENT = 1 << 20       # frequent shingles that order the prefix (8 MB)
 GROUP_TOKENS = 1 << 19
 BLOCK_BYTES = 4_000_000
 SMALL_ROWS = 1_000_000       # tables of two or three numbers a row are broadcast up to so many rows
+VOTES = 6
 L_STEP = 25                  # one more shared prefix shingle is asked for per so many shingles
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -324,25 +328,53 @@ def _fold_groups(sets: DataFrame, member: DataFrame, links: DataFrame, percent:
         named, before = _with_comp(member, links), left
 
 
+def _settled_groups(shared: DataFrame) -> DataFrame:
+    """cls, top: the group of every class of ``shared`` (token, cls)."""
+    of = materialize(shared.select("cls", F.col("cls").alias("top")).distinct(), "sim-tops")
+    for _ in range(VOTES):
+        marks = shared.join(of, "cls").groupBy("token", "top").agg(F.count("*").alias("w"))
+        marks = materialize(marks, "sim-votes")
+        heads = marks.groupBy("token").agg(F.min(F.struct(F.xxhash64("top").alias("o"), "top")).alias("h"))
+        votes = marks.join(heads, "token").groupBy("top", F.col("h.top").alias("head")).agg(F.sum("w").alias("votes"))
+        to = materialize(votes.groupBy("top").agg(F.max(F.struct("votes", "head")).alias("v")).select("top", F.col("v.head").alias("head")), "sim-heads")
+        moved = to.filter("head <> top").count()
+        if not moved:
+            break
+        while moved:                                # a head's hash is less than that of the group that names it: no circles
+            on = to.select(F.col("top").alias("head"), F.col("head").alias("next"))
+            both = materialize(to.join(on, "head").select("top", "head", "next"), "sim-heads")
+            moved = both.filter("next <> head").count()
+            to = both.select("top", F.col("next").alias("head"))
+        of = materialize(of.join(to, "top").select("cls", F.col("head").alias("top")), "sim-tops")
+    return of
+
+
 def _asks(shared: DataFrame, member: DataFrame, asking: DataFrame | None, percent: int) -> DataFrame:
-    """cls, n, comp, grp, part: which class (of ``asking``, else of all) queries which block.
-    Only prefix shingles that a block's members of other components hold count."""
-    marks = shared.join(member.select("cls", "n", "grp", "comp"), "cls")
-    ends = marks.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    marks = materialize(marks.join(ends.filter("lo <> hi").select("token"), "token"), "sim-marks")
-    matrix = marks.groupBy("token", "grp").agg(F.min("comp").alias("c_lo"), F.max("comp").alias("c_hi"),
-                                               F.min("n").alias("lo"), F.max("n").alias("hi"))
+    """cls, n, comp, grp, part: which class (of ``asking``, else of all) queries which block."""
+    asker = member if asking is None else member.join(asking.select("cls"), "cls")
+    other = (F.col("c_lo") != F.col("comp")) | (F.col("c_hi") != F.col("comp"))
+    sized = (100 * F.col("n") >= percent * F.col("lo")) & (100 * F.col("hi") >= percent * F.col("n"))
+    ends = (F.min("comp").alias("c_lo"), F.max("comp").alias("c_hi"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    # blocks of the class's own group: a row for each group of several blocks and block of it
+    near = materialize(member.filter("blocks > 1").groupBy("top", "grp").agg(*ends), "sim-blocks")
+    within = asker.filter("blocks > 1").withColumnRenamed("grp", "own").join(_small(near), "top") \
+        .filter((F.col("own") < F.col("grp")) & other & sized).select("cls", "n", "comp", "grp")
+    # blocks of other groups, by the shingles that several groups hold
+    marks = shared.join(member.select("cls", "n", "top", "grp", "comp"), "cls")
+    tops = marks.groupBy("token").agg(F.min("top").alias("t_lo"), F.max("top").alias("t_hi")).filter("t_lo <> t_hi").select("token")
+    marks = materialize(marks.join(tops, "token"), "sim-marks")
+    matrix = marks.groupBy("token", "grp").agg(F.first("top").alias("at"), *ends)
     if asking is not None:
         marks = marks.join(asking.select("cls"), "cls")
     own = marks.withColumnRenamed("grp", "own")
-    pairs = (own.groupBy("token", "comp").agg(F.min("own").alias("first")).join(matrix, "token")
-             .filter((F.col("first") < F.col("grp")) & ((F.col("c_lo") != F.col("comp")) | (F.col("c_hi") != F.col("comp"))))
-             .select("token", "comp", "grp", "lo", "hi"))
-    rows = own.join(pairs, ["token", "comp"]).filter(
-        (F.col("own") < F.col("grp")) & (100 * F.col("n") >= percent * F.col("lo")) & (100 * F.col("hi") >= percent * F.col("n")))
+    pairs = (own.groupBy("token", "comp", "top").agg(F.min("own").alias("first")).join(matrix, "token")
+             .filter((F.col("at") != F.col("top")) & (F.col("first") < F.col("grp")) & other)
+             .select("token", "comp", "top", "grp", "lo", "hi"))
+    rows = own.join(pairs, ["token", "comp", "top"]).filter((F.col("own") < F.col("grp")) & sized)
     least = F.least(_least_shared(F.max("n")), _least_shared(F.min("lo")))
-    asks = materialize(rows.groupBy("cls", "n", "comp", "grp").agg(F.count("*").alias("k"), least.alias("least"))
-                       .filter(F.col("k") >= F.col("least")).select("cls", "n", "comp", "grp"), "sim-asks")
+    between = rows.groupBy("cls", "n", "comp", "grp").agg(F.count("*").alias("k"), least.alias("least")) \
+        .filter(F.col("k") >= F.col("least")).select("cls", "n", "comp", "grp")
+    asks = materialize(within.unionByName(between), "sim-asks")
     parts = asks.groupBy("grp").agg(F.ceil(F.sum("n") / F.lit(GROUP_TOKENS)).cast("long").alias("parts"))
     return materialize(asks.join(parts, "grp").select(
         "cls", "n", "comp", "grp", "parts", F.pmod(F.xxhash64(F.lit(2), "cls"), "parts").alias("part")), "sim-queries")
@@ -414,12 +446,7 @@ def _similarity_components(docs, id_col, text_col, shingle, percent, row_col) ->
         sets = materialize(sets.groupBy("cls").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")), "sim-sets")
 
     # groups of similar classes, cut into blocks
-    heads = shared.groupBy("token").agg(F.min(F.struct(F.xxhash64("cls").alias("o"), "cls")).alias("h"))
-    votes = shared.join(heads, "token").groupBy("cls", F.col("h.cls").alias("head")).agg(F.count("*").alias("votes"))
-    named = votes.groupBy("cls").agg(F.max(F.struct("votes", "head")).alias("v")).select("cls", F.col("v.head").alias("head"))
-    named = materialize(named, "sim-heads")
-    again = named.select(F.col("cls").alias("head"), F.col("head").alias("top"))
-    member = named.join(again, "head", "left").select("cls", F.coalesce("top", "head").alias("top")).join(sets.select("cls", "n"), "cls")
+    member = _settled_groups(shared).join(sets.select("cls", "n"), "cls")
     blocks = member.groupBy("top").agg(F.ceil(F.sum("n") / F.lit(GROUP_TOKENS)).cast("long").alias("blocks"))
     member = materialize(member.join(blocks, "top").select(
         "cls", "n", "top", "blocks", F.xxhash64("top", F.pmod(F.xxhash64(F.lit(1), "cls"), "blocks")).alias("grp")), "sim-members")
