@@ -197,7 +197,7 @@ def _estimator(spec: TrainSpec, n_rows: int, n_classes: int):
     return None  # custom estimators are fitted by _fit_custom
 
 
-def _fit_custom(spec: TrainSpec, data: DataFrame, n_features: int, n_classes: int):
+def _fit_custom(spec: TrainSpec, data: DataFrame, n_features: int, n_classes: int, keys: list[str]):
     hp = spec.hyperparameters
     a = spec.algorithm
     if a in ("xgboost", "xgboost_classifier"):
@@ -207,7 +207,7 @@ def _fit_custom(spec: TrainSpec, data: DataFrame, n_features: int, n_classes: in
                                    max_depth=_num(hp.get("max_depth"), int) or 6,
                                    gamma=_num(hp.get("gamma")) or 0.0, subsample=_num(hp.get("subsample")) or 1.0,
                                    seed=spec.seed, num_class=max(n_classes, 1))
-        return _CustomEstimatorModel(fit_newton_boost(data, "features", "label", params, n_features))
+        return _CustomEstimatorModel(fit_newton_boost(data, "features", "label", params, n_features, keys))
     if a == "adaboost":
         return _CustomEstimatorModel(fit_adaboost_r2(
             data, "features", "label", n_estimators=_num(hp.get("n_estimators"), int) or 50,
@@ -257,7 +257,8 @@ def fit_pipeline(train: DataFrame, spec: TrainSpec, numeric: list[str], categori
     if spec.dimension_reduction == "truncated_svd":
         fp.svd = fit_truncated_svd(feats, "features", spec.svd_components)
         feats = fp.svd.transform(feats, "features", "features")
-    feats = feats.select("features", "label").persist(StorageLevel.MEMORY_AND_DISK)
+    keys = [c for c in spec.key_cols or [] if c not in ("features", "label") and c in feats.columns]
+    feats = feats.select("features", "label", *keys).persist(StorageLevel.MEMORY_AND_DISK)
     n_rows = feats.count()  # also materialises the cached training matrix
     n_classes = len(labels) if labels is not None else 0
     est = _estimator(spec, n_rows, n_classes)
@@ -265,7 +266,7 @@ def fit_pipeline(train: DataFrame, spec: TrainSpec, numeric: list[str], categori
         model = est.fit(feats)
         model = _maybe_prune(model, spec, feats.sparkSession, n_rows, n_classes)
     else:
-        model = _fit_custom(spec, feats, fp.width(), n_classes)
+        model = _fit_custom(spec, feats, fp.width(), n_classes, keys)
     fp.estimator = model
     feats.unpersist()
     return fp

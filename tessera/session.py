@@ -7,6 +7,7 @@ import contextlib
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -87,3 +88,23 @@ def broadcast_limit_bytes(spark: SparkSession) -> int:
     except ValueError:
         value = 10 * 1024 * 1024
     return value if value > 0 else 10 * 1024 * 1024
+
+
+def ship(spark: SparkSession) -> None:
+    """Make the package importable in Python tasks (``addPyFile``), unless PYTHONPATH
+    already names its folder. A cluster job would use ``--py-files``."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    sc = spark.sparkContext
+    if getattr(sc, "_tessera_shipped", False):
+        return
+    at = os.path.join(tempfile.mkdtemp(prefix="tessera-package-"), "tessera.zip")     # the driver's copy, sent to executors
+    with zipfile.ZipFile(at, "w") as z:
+        for folder, _, names in os.walk(os.path.join(root, "tessera")):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    p = os.path.join(folder, n)
+                    z.write(p, os.path.relpath(p, root))
+    sc.addPyFile(at)
+    sc._tessera_shipped = True
