@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.columns import source_name
+from tessera.functions.columns import NA_TOKENS, source_name
 from tessera.operators.score import FeatureSpec, Manifest, score
 from tessera.plans.catalog import query
 from tessera.plans.fixtures import LINEITEM_NA_SQL, lineitem_na, table
@@ -29,6 +29,16 @@ def q_src_csv_roundtrip(spark, sf_dir):
     return TX.read_table(spark, path)
 
 
+# documents written as text with a quoted header that holds a comma; texts hold line ends, quotes and commas.
+@query("src_csv_quoted", f"""
+SELECT doc_id, CASE WHEN text IN ({", ".join("'" + t + "'" for t in NA_TOKENS)}) THEN NULL ELSE md5(text) END AS text_md5,
+       lang AS "lang, name" FROM (SELECT doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text, lang FROM documents)""")
+def q_src_csv_quoted(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("text, whole"), F.col("lang").alias("lang, name"))
+    back = TX.read_table(spark, TX.write_table(d, scratch_path(spark, "documents_csv")), infer=False)
+    return back.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.col("`text, whole`").cast("binary")).alias("text_md5"), "`lang, name`")
+
+
 @query("src_csv_scoring", """
 SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey,
        round(1.5 * n_regionkey + 0.25 * n_nationkey, 4) AS prediction FROM nation""")
