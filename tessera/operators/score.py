@@ -21,6 +21,9 @@ class ValidationError(ValueError):
     """Input does not satisfy the model contract."""
 
 
+NO_ROWS, NONE_LEFT = "input must contain at least one data row", "no rows left after dropping missing values"
+
+
 # ---------------------------------------------------------------- model contract
 
 @dataclass(frozen=True)
@@ -170,7 +173,8 @@ def score(df: DataFrame, manifest: Manifest, model, ground_truth: str | None = N
           validate_schema: bool = True) -> ScoreResult:
     """Score ``df`` with ``model`` (a LinearModel, a tree ensemble with ``predict()`` column,
     or a fitted Spark ML PipelineModel). Returns predictions (input columns + prediction
-    [+ prediction_error | prediction_correct]) and, with a ground truth, the metrics row
+    [+ prediction_error | prediction_correct]; reading them raises on an input without rows or
+    without a complete row) and, with a ground truth, the metrics row
     including ``rows`` and ``dropped_rows``."""
     if validate_schema:
         gone = missing_required(df, manifest)
@@ -230,17 +234,29 @@ def score(df: DataFrame, manifest: Manifest, model, ground_truth: str | None = N
     keep_cols = [c for c in out.columns if c in own or not c.startswith("_")]
     guard_row = flagged.agg(F.count(F.lit(1)).alias("_rows_in"), F.count_if(F.col("__score_keep")).alias("_rows"), *bad)
     guards = _guard_columns(guard_row, manifest).select("rows", "dropped_rows")
-    return ScoreResult(out.select(*[col(c) for c in keep_cols]), metrics, gt, guards)
+    return ScoreResult(_stop_if_empty(out.select(*[col(c) for c in keep_cols]), flagged), metrics, gt, guards)
+
+
+def _stop_if_empty(predictions: DataFrame, flagged: DataFrame) -> DataFrame:
+    """``predictions``, raising when they are read if the input has no row or no complete one. The branch that
+    looks takes one row of each kind and adds none."""
+    found = flagged.select(F.lit(False).alias("kept")).limit(1).unionByName(
+        flagged.filter("__score_keep").select(F.lit(True).alias("kept")).limit(1))
+    seen = found.agg(F.count(F.lit(1)).alias("n"), F.count_if("kept").alias("kept"))
+    stop = (F.when(F.col("n") == 0, F.raise_error(F.lit(NO_ROWS)).cast("boolean"))
+            .when(F.col("kept") == 0, F.raise_error(F.lit(NONE_LEFT)).cast("boolean")).otherwise(F.lit(False)))
+    return predictions.unionByName(seen.filter(stop).select(
+        *[F.lit(None).cast(f.dataType).alias(f.name) for f in predictions.schema.fields]))
 
 
 def _guard_columns(row: DataFrame, manifest: Manifest) -> DataFrame:
     """rows (raising inside the job when a guard fails) and dropped_rows from the guard counts."""
-    checks = F.when(F.col("_rows_in") == 0, F.raise_error(F.lit("input must contain at least one data row")))
+    checks = F.when(F.col("_rows_in") == 0, F.raise_error(F.lit(NO_ROWS)))
     for i, f in enumerate(manifest.features):
         if f.numeric:
             checks = checks.when(F.col(f"__score_bad_{i}") > 0,
                                  F.raise_error(F.lit(f"column '{f.name}' must contain {f.dtype} values")))
-    checks = checks.when(F.col("_rows") == 0, F.raise_error(F.lit("no rows left after dropping missing values")))
+    checks = checks.when(F.col("_rows") == 0, F.raise_error(F.lit(NONE_LEFT)))
     return row.withColumn("rows", checks.otherwise(F.col("_rows")).cast("long")) \
         .withColumn("dropped_rows", (F.col("_rows_in") - F.col("_rows")).cast("long"))
 
@@ -249,12 +265,12 @@ def _attach_guards(metrics: DataFrame, guard_row: DataFrame, manifest: Manifest)
     """Both inputs are single-row aggregates; they are stacked through one union and
     folded by one aggregate (no join). A failed guard raises inside the job through the
     ``rows`` column, which every caller keeps."""
-    checks = F.when(F.col("_rows_in") == 0, F.raise_error(F.lit("input must contain at least one data row")))
+    checks = F.when(F.col("_rows_in") == 0, F.raise_error(F.lit(NO_ROWS)))
     for i, f in enumerate(manifest.features):
         if f.numeric:
             checks = checks.when(F.col(f"__score_bad_{i}") > 0,
                                  F.raise_error(F.lit(f"column '{f.name}' must contain {f.dtype} values")))
-    checks = checks.when(F.col("_rows") == 0, F.raise_error(F.lit("no rows left after dropping missing values")))
+    checks = checks.when(F.col("_rows") == 0, F.raise_error(F.lit(NONE_LEFT)))
     g = guard_row.select(checks.otherwise(F.col("_rows")).cast("long").alias("rows"),
                          (F.col("_rows_in") - F.col("_rows")).cast("long").alias("dropped_rows"))
     mcols = metrics.columns
