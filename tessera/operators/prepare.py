@@ -9,12 +9,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.feature import OneHotEncoder, StringIndexer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import col, is_missing, is_numeric_type
+from tessera.operators.dictionary import Dictionary, fit_dictionary
 from tessera.operators.order_stats import exact_quantiles
 
 NUMERIC_STRATEGIES = ("median", "mean", "most_frequent", "constant", "drop")
@@ -98,34 +97,25 @@ def fit_imputer(df: DataFrame, numeric: list[str], categorical: list[str], numer
     return ImputerModel(fills, drop)
 
 
-def fit_one_hot(df: DataFrame, column: str, max_categories: int = 10_000):
-    """alphabetical category index; an unseen category at transform time maps to the
-    extra 'keep' slot, which dropLast removes, so it encodes as all zeros."""
-    n = df.select(col(column)).distinct().count()
-    if n > max_categories:
-        raise ValueError(f"column {column} has {n} categories (> {max_categories}); refusing to one-hot it")
-    idx = StringIndexer(inputCol=column, outputCol=f"{column}__idx", stringOrderType="alphabetAsc",
-                        handleInvalid="keep").fit(df)
-    # the indexer's extra 'unknown' slot is the last category, which dropLast removes
-    ohe = OneHotEncoder(inputCols=[f"{column}__idx"], outputCols=[f"{column}__vec"], dropLast=True).fit(idx.transform(df))
-    return idx, ohe
-
-
-def one_hot_slot(df: DataFrame, column: str, idx, ohe) -> DataFrame:
-    """Transform and expose the sparse vector as (width, hot slot or null)."""
-    out = ohe.transform(idx.transform(df))
-    arr = vector_to_array(F.col(f"{column}__vec"))
-    return (out.withColumn("width", F.size(arr))
-            .withColumn("slot", (F.array_position(arr, 1.0) - 1).cast("int"))
-            .withColumn("slot", F.when(F.col("slot") < 0, F.lit(None).cast("int")).otherwise(F.col("slot")))
-            .drop(f"{column}__idx", f"{column}__vec"))
-
-
-def label_encode(df: DataFrame, label: str, out: str = "label_index"):
-    """string classes -> 0..k-1 in alphabetical order (and the fitted model, whose
-    ``labels`` decode indices back)."""
-    m = StringIndexer(inputCol=label, outputCol=out, stringOrderType="alphabetAsc").fit(df)
-    return m.transform(df), m
+def fit_one_hot(df: DataFrame, column: str) -> Dictionary:
+    """alphabetical category numbers, however many there are; an unseen category at
+    transform time has none, so it encodes as all zeros."""
+    return fit_dictionary(df, [column])
+
+
+def one_hot_slot(df: DataFrame, column: str, dictionary: Dictionary) -> DataFrame:
+    """``df`` with the encoded vector as (width, hot slot or null)."""
+    return dictionary.encode(df, column, "slot").withColumn("width", F.lit(dictionary.sizes[column]).cast("int")) \
+        .withColumn("slot", F.col("slot").cast("int"))
+
+
+def label_encode(df: DataFrame, label: str, out: str = "label_index") -> tuple[DataFrame, Dictionary]:
+    """string classes -> 0..k-1 in alphabetical order (and the dictionary, which decodes
+    indices back). Rows without a label are refused, as are labels unknown to it."""
+    known = fit_dictionary(df, [label])
+    rows = known.encode(df, label, out)
+    return rows.withColumn(out, F.when(F.col(out).isNull(), F.raise_error(F.lit(f"'{label}' holds a missing label")).cast("double"))
+                           .otherwise(F.col(out).cast("double"))), known
 
 
 def impute_per_fold(df: DataFrame, fold: str, k: int, median_cols: list[str], mean_cols: list[str]) -> DataFrame:

@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 from pyspark import StorageLevel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, OneVsRest,
                                        RandomForestClassifier)
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
@@ -27,6 +27,7 @@ from tessera.functions.columns import col
 from tessera.operators import metrics as M
 from tessera.operators.adaboost import fit_adaboost_r2, fit_adaboost_samme
 from tessera.operators.boost import NewtonBoostParams, fit_newton_boost
+from tessera.operators.dictionary import Dictionary, assemble, fit_dictionary
 from tessera.operators.folds import kfold_assign, stratified_kfold_assign
 from tessera.operators.prepare import ImputerModel, fit_imputer, split_features
 from tessera.operators.svd import SVDModel, fit_truncated_svd
@@ -110,32 +111,27 @@ class FittedPipeline:
     numeric: list[str]
     categorical: list[str]
     imputer: ImputerModel
-    indexer: object | None
-    encoder: object | None
+    dictionary: Dictionary | None
     svd: SVDModel | None
     estimator: object
     labels: list[str] | None
 
     def features(self, df: DataFrame) -> DataFrame:
         x = self.imputer.transform(df)
-        vec_inputs = list(self.numeric)
         if self.categorical:
-            x = self.encoder.transform(self.indexer.transform(x))
-            vec_inputs += [f"{c}__vec" for c in self.categorical]
-        x = VectorAssembler(inputCols=vec_inputs, outputCol="features", handleInvalid="keep").transform(x)
-        if self.svd is not None:
-            x = self.svd.transform(x, "features", "features")
-        drop = [f"{c}__idx" for c in self.categorical] + [f"{c}__vec" for c in self.categorical]
-        return x.drop(*drop)
+            x = assemble(x, self.numeric, self.categorical, self.dictionary)
+        else:
+            x = VectorAssembler(inputCols=list(self.numeric), outputCol="features", handleInvalid="keep").transform(x)
+        return x if self.svd is None else self.svd.transform(x, "features", "features")
 
     def width(self) -> int:
         """Length of the feature vector: numeric columns, then one slot per seen category
-        of each categorical column (the 'unknown' slot is dropped), or the SVD rank."""
+        of each categorical column (an unknown one has none), or the SVD rank."""
         if self.svd is not None:
             return int(self.svd.components.shape[0])
         n = len(self.numeric)
         if self.categorical:
-            n += sum(len(labels) for labels in self.indexer.labelsArray)
+            n += sum(self.dictionary.sizes[c] for c in self.categorical)
         return n
 
     def transform(self, df: DataFrame, prediction_col: str = "prediction") -> DataFrame:
@@ -246,13 +242,7 @@ def fit_pipeline(train: DataFrame, spec: TrainSpec, numeric: list[str], categori
     if spec.numeric_imputer == "drop":
         imputer.fills = {k: v for k, v in imputer.fills.items() if k in categorical}
     x = imputer.transform(train)
-    indexer = encoder = None
-    if categorical:
-        indexer = StringIndexer(inputCols=categorical, outputCols=[f"{c}__idx" for c in categorical],
-                                stringOrderType="alphabetAsc", handleInvalid="keep").fit(x)
-        encoder = OneHotEncoder(inputCols=[f"{c}__idx" for c in categorical],
-                                outputCols=[f"{c}__vec" for c in categorical], dropLast=True).fit(indexer.transform(x))
-    fp = FittedPipeline(spec, numeric, categorical, imputer, indexer, encoder, None, None, labels)
+    fp = FittedPipeline(spec, numeric, categorical, imputer, fit_dictionary(x, categorical) if categorical else None, None, None, labels)
     feats = fp.features(train)
     if spec.dimension_reduction == "truncated_svd":
         fp.svd = fit_truncated_svd(feats, "features", spec.svd_components)

@@ -79,8 +79,7 @@ SELECT p.p_partkey, (SELECT CAST(count(*) AS INTEGER) FROM cats) AS width, cats.
 FROM p LEFT JOIN cats ON cats.p_brand = p.p_brand""")
 def q_one_hot(spark, sf_dir):
     p = kfold_assign(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), ["p_partkey"])
-    idx, ohe = PR.fit_one_hot(p.filter(F.col("fold") != 0), "p_brand")
-    return PR.one_hot_slot(p, "p_brand", idx, ohe).select("p_partkey", "width", "slot")
+    return PR.one_hot_slot(p, "p_brand", PR.fit_one_hot(p.filter(F.col("fold") != 0), "p_brand")).select("p_partkey", "width", "slot")
 
 
 @query("label_encode", """

@@ -16,7 +16,7 @@ from tessera.operators.folds import kfold_assign
 from tessera.operators.svd import fit_truncated_svd
 from tessera.operators.train import TrainSpec, external_metrics, fit_pipeline, prepare_training_frame, train
 from tessera.plans.catalog import query
-from tessera.plans.fixtures import table, orders_na
+from tessera.plans.fixtures import ORDERS_NA_SQL, orders_na, table
 from tessera.session import scratch_path
 
 
@@ -191,7 +191,14 @@ def q_truncated_svd(spark, sf_dir):
     return svd.transform(v, "features", "svd").select("vec_id", vector_to_array("svd").alias("components"))
 
 
-@query("assemble")
+@query("assemble", f"""
+WITH src AS (SELECT * FROM ({ORDERS_NA_SQL}) WHERE o_orderstatus IS NOT NULL),
+f AS (SELECT o_orderkey, coalesce(o_totalprice, (SELECT quantile_cont(o_totalprice, 0.5) FROM src)) AS price,
+             coalesce(CAST(o_custkey AS DOUBLE), (SELECT quantile_cont(CAST(o_custkey AS DOUBLE), 0.5) FROM src)) AS cust,
+             coalesce(o_orderpriority, (SELECT o_orderpriority FROM src WHERE o_orderpriority IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) AS p FROM src),
+c AS (SELECT list(DISTINCT p ORDER BY p) AS all_p FROM f)
+SELECT o_orderkey, list_concat([price, cust], list_transform(all_p, lambda x: CASE WHEN x = p THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)) AS features
+FROM f, c""")
 def q_assemble(spark, sf_dir):
     """F8: numeric block then one-hot block, after imputation (median / most frequent)."""
     spec = TrainSpec(features=["o_totalprice", "o_custkey", "o_orderpriority"], target="o_orderstatus",
@@ -199,13 +206,9 @@ def q_assemble(spark, sf_dir):
     data, num, cat, labels = prepare_training_frame(orders_na(spark, sf_dir), spec)
     from tessera.operators.prepare import fit_imputer
     from tessera.operators.train import FittedPipeline
-    from pyspark.ml.feature import OneHotEncoder, StringIndexer
+    from tessera.operators.dictionary import fit_dictionary
     imp = fit_imputer(data, num, cat)
-    x = imp.transform(data)
-    idx = StringIndexer(inputCols=cat, outputCols=[f"{c}__idx" for c in cat], stringOrderType="alphabetAsc",
-                        handleInvalid="keep").fit(x)
-    enc = OneHotEncoder(inputCols=[f"{c}__idx" for c in cat], outputCols=[f"{c}__vec" for c in cat]).fit(idx.transform(x))
-    fp = FittedPipeline(spec, num, cat, imp, idx, enc, None, None, labels)
+    fp = FittedPipeline(spec, num, cat, imp, fit_dictionary(imp.transform(data), cat), None, None, labels)
     return fp.features(data).select("o_orderkey", vector_to_array("features").alias("features"))
 
 

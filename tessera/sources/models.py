@@ -11,13 +11,13 @@ from dataclasses import asdict
 import numpy as np
 from pyspark.ml.classification import (DecisionTreeClassificationModel, GBTClassificationModel,
                                        LogisticRegressionModel, OneVsRestModel, RandomForestClassificationModel)
-from pyspark.ml.feature import OneHotEncoderModel, StringIndexerModel
 from pyspark.ml.regression import (DecisionTreeRegressionModel, GBTRegressionModel, LinearRegressionModel,
                                    RandomForestRegressionModel)
 from pyspark.sql import SparkSession
 
 from tessera.operators.adaboost import AdaBoostModel
 from tessera.operators.boost import NewtonBoostModel, NewtonBoostParams
+from tessera.operators.dictionary import Dictionary
 from tessera.operators.prepare import ImputerModel
 from tessera.operators.prune import PrunedForestModel
 from tessera.operators.svd import SVDModel
@@ -62,9 +62,9 @@ def save_pipeline(model: FittedPipeline, path: str, spark: SparkSession | None =
             "fills": model.imputer.fills, "drop_cols": list(model.imputer.drop_cols), "labels": model.labels,
             "svd": None if model.svd is None else {"components": model.svd.components.tolist(),
                                                    "singular_values": model.svd.singular_values.tolist()}}
-    if model.indexer is not None:
-        model.indexer.write().overwrite().save(f"{path}/indexer")
-        model.encoder.write().overwrite().save(f"{path}/encoder")
+    if model.dictionary is not None:
+        model.dictionary.rows(spark).write.mode("overwrite").parquet(f"{path}/dictionary")
+        meta["dictionary"] = {"sizes": model.dictionary.sizes, "widths": model.dictionary.widths}
     est = model.estimator
     if isinstance(est, _CustomEstimatorModel):
         inner = est.model
@@ -92,10 +92,7 @@ def load_pipeline(path: str, spark: SparkSession | None = None) -> FittedPipelin
     spark = _session(spark)
     meta = _read_json(spark, f"{path}/meta")
     spec = TrainSpec(**meta["spec"])
-    indexer = encoder = None
-    if meta["categorical"]:
-        indexer = StringIndexerModel.load(f"{path}/indexer")
-        encoder = OneHotEncoderModel.load(f"{path}/encoder")
+    dictionary = Dictionary(f"{path}/dictionary", **meta["dictionary"]) if meta["categorical"] else None
     svd = None
     if meta["svd"]:
         svd = SVDModel(np.asarray(meta["svd"]["components"]), np.asarray(meta["svd"]["singular_values"]))
@@ -116,5 +113,5 @@ def load_pipeline(path: str, spark: SparkSession | None = None) -> FittedPipelin
                            e["num_classes"])
         est = _CustomEstimatorModel(ab)
     imputer = ImputerModel(meta["fills"], tuple(meta["drop_cols"]))
-    return FittedPipeline(spec, meta["numeric"], meta["categorical"], imputer, indexer, encoder, svd, est,
+    return FittedPipeline(spec, meta["numeric"], meta["categorical"], imputer, dictionary, svd, est,
                           meta["labels"])
