@@ -170,11 +170,11 @@ def keep_complete(df: DataFrame, manifest: Manifest, ground_truth: str | None) -
 # ---------------------------------------------------------------- scoring
 
 def score(df: DataFrame, manifest: Manifest, model, ground_truth: str | None = None,
-          validate_schema: bool = True) -> ScoreResult:
+          validate_schema: bool = True, allow_empty: bool = False) -> ScoreResult:
     """Score ``df`` with ``model`` (a LinearModel, a tree ensemble with ``predict()`` column,
     or a fitted Spark ML PipelineModel). Returns predictions (input columns + prediction
     [+ prediction_error | prediction_correct]; reading them raises on an input without rows or
-    without a complete row) and, with a ground truth, the metrics row
+    without a complete row, unless ``allow_empty``) and, with a ground truth, the metrics row
     including ``rows`` and ``dropped_rows``."""
     if validate_schema:
         gone = missing_required(df, manifest)
@@ -234,7 +234,8 @@ def score(df: DataFrame, manifest: Manifest, model, ground_truth: str | None = N
     keep_cols = [c for c in out.columns if c in own or not c.startswith("_")]
     guard_row = flagged.agg(F.count(F.lit(1)).alias("_rows_in"), F.count_if(F.col("__score_keep")).alias("_rows"), *bad)
     guards = _guard_columns(guard_row, manifest).select("rows", "dropped_rows")
-    return ScoreResult(_stop_if_empty(out.select(*[col(c) for c in keep_cols]), flagged), metrics, gt, guards)
+    predictions = out.select(*[col(c) for c in keep_cols])
+    return ScoreResult(predictions if allow_empty else _stop_if_empty(predictions, flagged), metrics, gt, guards)
 
 
 def _stop_if_empty(predictions: DataFrame, flagged: DataFrame) -> DataFrame:

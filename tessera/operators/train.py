@@ -269,6 +269,7 @@ class TrainResult:
     model: FittedPipeline
     metrics: DataFrame
     oof: DataFrame
+    test_metrics: DataFrame | None = None      # with an external test set
 
 
 def prepare_training_frame(df: DataFrame, spec: TrainSpec):
@@ -293,7 +294,11 @@ def prepare_training_frame(df: DataFrame, spec: TrainSpec):
     return data, numeric, categorical, labels
 
 
-def train(df: DataFrame, spec: TrainSpec, parallelism: int | None = None) -> TrainResult:
+def train(df: DataFrame, spec: TrainSpec, parallelism: int | None = None, test: DataFrame | None = None) -> TrainResult:
+    """Cross-validated metrics, out-of-fold rows and the model refitted on all rows; with ``test``, also
+    its metrics on that table (whose columns are checked before anything is fitted)."""
+    if test is not None:
+        check_test_columns(test, spec)
     data, numeric, categorical, labels = prepare_training_frame(df, spec)
     # without declared key columns the whole row is the key, and identical rows may repeat
     keys = spec.key_cols or [c for c in df.columns]
@@ -324,7 +329,7 @@ def train(df: DataFrame, spec: TrainSpec, parallelism: int | None = None) -> Tra
     oof = parts[0]
     for part in parts[1:]:
         oof = oof.unionByName(part)
-    return TrainResult(model, validation_metrics(oof, spec, labels), oof)
+    return TrainResult(model, validation_metrics(oof, spec, labels), oof, None if test is None else external_metrics(model, test))
 
 
 def validation_metrics(oof: DataFrame, spec: TrainSpec, labels: list[str] | None) -> DataFrame:
@@ -338,13 +343,17 @@ def validation_metrics(oof: DataFrame, spec: TrainSpec, labels: list[str] | None
     return out
 
 
+def check_test_columns(test: DataFrame, spec: TrainSpec) -> None:
+    gone = [c for c in spec.features + [spec.target] if c not in test.columns]
+    if gone:
+        raise ValueError("test set is missing columns: " + ", ".join(gone))
+
+
 def external_metrics(model: FittedPipeline, test: DataFrame) -> DataFrame:
     """Score another table (missing features are filled by the imputers, not
     dropped) and report metrics; regression adds nrmse and the target mean."""
     spec = model.spec
-    gone = [c for c in spec.features + [spec.target] if c not in test.columns]
-    if gone:
-        raise ValueError("test set is missing columns: " + ", ".join(gone))
+    check_test_columns(test, spec)
     data = drop_null_target(test, spec.target)
     scored = model.transform(data)
     if spec.classification:

@@ -1,8 +1,8 @@
 """Structured Streaming entry points that reuse the batch operators.
 
 ``score_stream``: each micro-batch goes through the same validation, scoring and
-metrics as a batch request (``foreachBatch``), predictions are appended to a table and
-one history row per non-empty batch is appended beside them. Scoring is stateless, so
+metrics as a batch request (``foreachBatch``) and is a scoring run of its own, named by model and
+batch: predictions in the run's folder, then one history row if there are any. Scoring is stateless, so
 no watermark or state store is involved.
 
 ``job_state_stream``: the lifecycle fold (latest state per job, runs started) as a
@@ -11,27 +11,22 @@ streaming aggregation; each trigger rewrites the state table from the complete r
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import source_name
 from tessera.operators import joblog as J
-from tessera.operators.score import Manifest, score
-from tessera.sources.store import append_table
+from tessera.operators.score import Manifest
+from tessera.sources.runs import score_run
 
 
 def score_stream(stream: DataFrame, manifest: Manifest, model, out_path: str, history_path: str,
                  checkpoint_location: str, source: str = "stream", available_now: bool = True):
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        res = score(batch, manifest, model, ground_truth="")
-        preds = res.predictions.withColumn("batch_id", F.lit(batch_id))
-        preds.write.mode("append").parquet(out_path)
-        hist = preds.agg(F.count(F.lit(1)).alias("row_count")).filter(F.col("row_count") > 0).select(
-            F.md5(F.concat(F.lit(f"{manifest.id}-"), F.lit(str(batch_id)))).alias("id"),
-            F.lit(manifest.id).alias("model_id"), F.lit(manifest.name).alias("model_name"),
-            source_name(F.lit(source)).alias("source_filename"), "row_count",
-            F.current_timestamp().alias("created_at"))
-        append_table(hist, history_path)
+        # a replayed batch has the id it had: its rows and its history row are replaced
+        score_run(batch.withColumn("batch_id", F.lit(batch_id)), manifest, model, out_path, history_path,
+                  f"{re.sub(r"[^A-Za-z0-9._-]", "_", manifest.id)}-{batch_id}", source=source, ground_truth="", allow_empty=True)
 
     w = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint_location)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
