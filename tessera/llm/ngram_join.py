@@ -329,23 +329,34 @@ def _fold_groups(sets: DataFrame, member: DataFrame, links: DataFrame, percent:
 
 
 def _settled_groups(shared: DataFrame) -> DataFrame:
-    """cls, top: the group of every class of ``shared`` (token, cls)."""
+    """cls, top: the group of every class of ``shared`` (token, cls). From the second vote on, only shingles that
+    several groups hold are looked at; the others are a number per group, votes for itself."""
     of = materialize(shared.select("cls", F.col("cls").alias("top")).distinct(), "sim-tops")
+    marks, own = shared.select("token", F.col("cls").alias("top"), F.lit(1).cast("long").alias("w")), None
     for _ in range(VOTES):
-        marks = shared.join(of, "cls").groupBy("token", "top").agg(F.count("*").alias("w"))
-        marks = materialize(marks, "sim-votes")
         heads = marks.groupBy("token").agg(F.min(F.struct(F.xxhash64("top").alias("o"), "top")).alias("h"))
-        votes = marks.join(heads, "token").groupBy("top", F.col("h.top").alias("head")).agg(F.sum("w").alias("votes"))
+        votes = marks.join(heads, "token").select("top", F.col("h.top").alias("head"), "w")
+        if own is not None:
+            votes = votes.unionByName(own.select("top", F.col("top").alias("head"), "w"))
+        votes = votes.groupBy("top", "head").agg(F.sum("w").alias("votes"))
         to = materialize(votes.groupBy("top").agg(F.max(F.struct("votes", "head")).alias("v")).select("top", F.col("v.head").alias("head")), "sim-heads")
         moved = to.filter("head <> top").count()
         if not moved:
             break
         while moved:                                # a head's hash is less than that of the group that names it: no circles
             on = to.select(F.col("top").alias("head"), F.col("head").alias("next"))
-            both = materialize(to.join(on, "head").select("top", "head", "next"), "sim-heads")
+            both = materialize(to.join(_small(on), "head").select("top", "head", "next"), "sim-heads")
             moved = both.filter("next <> head").count()
             to = both.select("top", F.col("next").alias("head"))
+        to = _small(materialize(to, "sim-heads"))
         of = materialize(of.join(to, "top").select("cls", F.col("head").alias("top")), "sim-tops")
+        marks = materialize(marks.join(to, "top").groupBy("token", F.col("head").alias("top")).agg(F.sum("w").alias("w")), "sim-votes")
+        ends = materialize(marks.groupBy("token").agg(F.min("top").alias("lo"), F.max("top").alias("hi"), F.sum("w").alias("w")), "sim-ends")
+        alone = ends.filter("lo = hi").select(F.col("lo").alias("top"), "w")
+        if own is not None:
+            alone = alone.unionByName(own.join(to, "top").select(F.col("head").alias("top"), "w"))
+        own = materialize(alone.groupBy("top").agg(F.sum("w").alias("w")), "sim-own")
+        marks = marks.join(ends.filter("lo <> hi").select("token"), "token")
     return of
 
 
@@ -433,9 +444,9 @@ def _similarity_components(docs, id_col, text_col, shingle, percent, row_col) ->
     shared = materialize(_in_two_classes(prefixes).distinct(), "sim-shared")
     sizes = classes.select("cls", "n")
     for _ in range(2):
-        needed = shared.groupBy("cls").agg(F.count("*").alias("k")).join(sizes, "cls").filter(
-            F.col("k") >= _partner_least(F.col("n"), percent)).select("cls")
-        shared = materialize(_in_two_classes(shared.join(needed, "cls").select("token", "cls")), "sim-shared")
+        needed = materialize(shared.groupBy("cls").agg(F.count("*").alias("k")).join(sizes, "cls").filter(
+            F.col("k") >= _partner_least(F.col("n"), percent)).select("cls"), "sim-needed")
+        shared = materialize(_in_two_classes(shared.join(_small(needed), "cls").select("token", "cls")), "sim-shared")
     needed = materialize(shared.select("cls").distinct(), "sim-needed")
     wanted = materialize(classes.join(needed, "cls").select(F.col("id").alias("wanted_id")).distinct(), "sim-wanted")
     full = docs.select(F.col(id_col).cast("long").alias("i"), text).join(
