@@ -1,8 +1,9 @@
 """Deterministic sharded WARC writer and reader.
 
-Pages are dealt to shards by ranges of their id (``rows_per_shard`` consecutive ids), sorted in
-each shard by id, and written as one gzip member per record; a shard's file is rolled when
-its compressed size passes ``roll_bytes``. Headers and digests are made anew from the
+Pages are dealt to shards by ranges of their id: the distinct ids are sorted, and every ``rows_per_shard``-th one
+(more with over ``MAX_SHARDS`` ranges) starts a shard, however the ids are spread. An id that more rows
+repeat is dealt on to parts of its shard by a hash of digest and url. Each part is sorted by id and written as
+one gzip member per record; its file is rolled when its compressed size passes ``roll_bytes``. Headers and digests are made anew from the
 payload. What lands in a file depends on the rows alone: record ids are derived from the
 digest and id, dates are a parameter, and gzip headers carry no time.
 
@@ -15,7 +16,7 @@ Of records with equal payloads of at least ``revisit_bytes`` the one with the sm
 page id is a response and the others revisit it.
 
 Defined results: null html is an empty payload; a null url is written as ``urn:no-url``;
-null ids sort first, in shards of their own (by hash of the digest and url), and name no response unless all
+null ids have a shard of their own, dealt to parts like a repeated id, and name no response unless all
 are null (``refers_to`` is then null); among rows that repeat an id and payload one is the
 response; extra columns are ignored.
 """
@@ -33,18 +34,20 @@ from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize, utf8
 from tessera.session import scratch_path, sql_conf
 
 ROWS_PER_SHARD = 4096
+MAX_SHARDS = 1 << 20         # their first ids are sent to the tasks (8 MB)
 ROLL_BYTES = 16 << 20
 REVISIT_BYTES = 0
 DATE = "1970-01-01T00:00:00Z"
 LEVEL = 5
-MANIFEST = "file string, shard long, roll int, records long, bytes long, sha256 string, first_id long, last_id long"
+SLICES = (4096, 1 << 16)      # compressed bytes fed at once: first, then
+MANIFEST = "file string, shard long, part int, roll int, records long, bytes long, sha256 string, first_id long, last_id long"
 
 
 def payload_digest(payload: bytes) -> str:
@@ -87,10 +90,10 @@ class _Roller:
         self.fs, self.root = pafs.FileSystem.from_uri(uri)
         self.roll_bytes, self.shard, self.out = roll_bytes, None, None
 
-    def _open(self, shard: int, roll: int) -> None:
+    def _open(self, shard: tuple[int, int], roll: int) -> None:
         self.shard, self.roll = shard, roll
-        kind = "null" if shard < 0 else "warc"
-        self.name = f"{kind}-{abs(shard):010d}-{roll:05d}.warc.gz"
+        kind = "null" if shard[0] < 0 else "warc"
+        self.name = f"{kind}-{abs(shard[0]):010d}-{shard[1]:05d}-{roll:05d}.warc.gz"
         self.temp = f"{self.root}/.{self.name}.{uuid.uuid4().hex}.tmp"
         self.out, self.sha = self.fs.open_output_stream(self.temp), hashlib.sha256()
         self.bytes = self.records = 0
@@ -100,10 +103,10 @@ class _Roller:
         if self.out is not None:
             self.out.close()
             self.fs.move(self.temp, f"{self.root}/{self.name}")
-            yield (self.name, self.shard, self.roll, self.records, self.bytes, self.sha.hexdigest(), self.first, self.last)
+            yield (self.name, *self.shard, self.roll, self.records, self.bytes, self.sha.hexdigest(), self.first, self.last)
             self.out = None
 
-    def add(self, shard: int, page_id: int | None, data: bytes) -> Iterator[tuple]:
+    def add(self, shard: tuple[int, int], page_id: int | None, data: bytes) -> Iterator[tuple]:
         if self.out is None or shard != self.shard or self.bytes >= self.roll_bytes:
             roll = self.roll + 1 if shard == self.shard and self.out is not None else 0
             yield from self.close()
@@ -116,6 +119,41 @@ class _Roller:
         self.first, self.last = page_id if self.records == 1 else self.first, page_id
 
 
+def _ranges(ids: DataFrame, rows_per_shard: int) -> tuple[list[int], DataFrame]:
+    """First ids of all shards but the first, ascending, and (id, parts) of the ids to be dealt on (null among them)."""
+    spark = ids.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counts = materialize(ids.groupBy("id").agg(F.count("*").alias("n")).repartitionByRange(n, "id").sortWithinPartitions("id")
+                         .withColumn("at", F.monotonically_increasing_id()), "warc-ids")      # numbered in order within a range
+    known, part = counts.filter("id is not null"), F.shiftright("at", 33).alias("part")
+    shifts, distinct = [], 0
+    for r in known.groupBy(part).agg(F.min("at").alias("first"), F.count("*").alias("n")).orderBy("part").collect():       # a row per range
+        shifts.append((r.part, distinct - r["first"]))
+        distinct += r.n
+    step = max(rows_per_shard, -(-distinct // MAX_SHARDS))
+    ranked = known.withColumn("part", part).join(F.broadcast(spark.createDataFrame(shifts, "part long, shift long")), "part")
+    place = F.col("at") + F.col("shift")
+    cuts = [r.id for r in ranked.filter((place > 0) & (place % step == 0)).select("id").collect()]                         # at most MAX_SHARDS
+    many = counts.filter(F.col("n") > step).select(F.col("id").alias("many_id"), F.ceil(F.col("n") / F.lit(step)).cast("int").alias("parts"))
+    return sorted(cuts), materialize(many, "warc-many")
+
+
+def _cuts_up_to(id_col: Column, cuts: list[int]) -> Column:
+    """How many of the sorted ``cuts`` are not above the id: a binary search in one literal array."""
+    if not cuts:
+        return F.lit(0).cast("long")
+    held = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>")
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi"))
+
+    def halve(at, _):
+        mid = F.floor((at["lo"] + at["hi"]) / 2).cast("int")
+        right = F.element_at(held, F.least(mid + 1, F.lit(len(cuts)))) <= id_col
+        done = at["lo"] >= at["hi"]
+        return F.struct(F.when(~done & right, mid + 1).otherwise(at["lo"]).alias("lo"), F.when(~done & ~right, mid).otherwise(at["hi"]).alias("hi"))
+
+    return F.aggregate(F.array_repeat(F.lit(0), len(cuts).bit_length() + 1), start, halve)["lo"].cast("long")
+
+
 def write(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
           rows_per_shard: int = ROWS_PER_SHARD, roll_bytes: int = ROLL_BYTES, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
     """Write the archive under ``path`` (a URI that all executors share) and return its manifest."""
@@ -130,17 +168,22 @@ def write(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str
     first = materialize(first, "warc-responses")
     small = first.count() <= 50_000                          # checked: at most about 10 MB
     keyed = p.withColumn("digest", digest).join(F.broadcast(first) if small else first, "digest", "left")
-    salt = F.pmod(F.xxhash64("digest", F.coalesce("url", F.lit(""))), F.lit(1 << 16))
-    shard = F.when(F.col("id").isNull(), -1 - salt).otherwise(F.floor(F.col("id") / F.lit(rows_per_shard)).cast("long"))
-    rows = keyed.withColumn("shard", shard).repartition("shard").sortWithinPartitions("shard", "id", "url", "digest")
+    cuts, many = _ranges(p.select("id"), rows_per_shard)
+    few = many.count() <= 50_000
+    keyed = keyed.join(F.broadcast(many) if few else many, F.col("id").eqNullSafe(F.col("many_id")), "left")
+    shard = F.when(F.col("id").isNull(), F.lit(-1).cast("long")).otherwise(_cuts_up_to(F.col("id"), cuts))
+    salt = F.pmod(F.xxhash64("digest", F.coalesce("url", F.lit(""))), F.col("parts")).cast("int")
+    # rows of a repeated id have parts of their own: 1, 2, ...
+    rows = keyed.withColumn("shard", shard).withColumn("part", F.coalesce(salt + 1, F.lit(0))) \
+        .repartition("shard", "part").sortWithinPartitions("shard", "part", "id", "url", "digest")
     _make_folder(spark, path)
 
     def run(batches):
         r, chosen = _Roller(path, roll_bytes), set()
         done: list[tuple] = []
         for b in batches:
-            cols = [b.column(n).to_pylist() for n in ("shard", "id", "url", "payload", "copies", "to", "to_url")]
-            for sh, i, url, payload, copies, to, to_url in zip(*cols):
+            cols = [b.column(n).to_pylist() for n in ("shard", "part", "id", "url", "payload", "copies", "to", "to_url")]
+            for sh, part, i, url, payload, copies, to, to_url in zip(*cols):
                 d = payload_digest(payload)
                 revisit = False
                 if copies is not None:
@@ -148,14 +191,14 @@ def write(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str
                     revisit = not here or d in chosen        # rows equal in id, url and payload lie together
                     if here:
                         chosen.add(d)
-                done += r.add(sh, i, record(i, url, payload, d, to if revisit else None, revisit))
+                done += r.add((sh, part), i, record(i, url, payload, d, to if revisit else None, revisit))
         done += r.close()
         cols = list(zip(*done)) if done else [[]] * 8
-        types = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+        types = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], [x.split()[0] for x in MANIFEST.split(", ")])
 
     with sql_conf(spark, spark__sql__execution__arrow__maxRecordsPerBatch="500"):
-        rows.select("shard", "id", "url", "payload", "copies", "to", "to_url").mapInArrow(run, MANIFEST) \
+        rows.select("shard", "part", "id", "url", "payload", "copies", "to", "to_url").mapInArrow(run, MANIFEST) \
             .write.mode("errorifexists").parquet(f"{path}/_manifest")
     return spark.read.schema(MANIFEST).parquet(f"{path}/_manifest")
 
@@ -172,15 +215,19 @@ class Parsed:
 
 
 def parse(data: bytes) -> Iterator[Parsed]:
-    """Records of a .warc.gz file, one gzip member after another."""
+    """Records of a .warc.gz file, one gzip member after another. A member is fed in slices: what is left of a
+    slice at its end is copied, so the work grows with the file and not with its square."""
     at = 0
     view = memoryview(data)
     while at < len(data):
-        d = zlib.decompressobj(31)
-        raw = d.decompress(view[at:])
+        d, parts, size = zlib.decompressobj(31), [], SLICES[0]
+        while not d.eof and at < len(data):
+            parts.append(d.decompress(view[at:at + size]))
+            at, size = min(at + size, len(data)), SLICES[1]
         if not d.eof:
             raise ValueError("a gzip member is cut off")
-        at = len(data) - len(d.unused_data)
+        at -= len(d.unused_data)
+        raw = b"".join(parts)
         top, _, rest = raw.partition(b"\r\n\r\n")
         lines = top.decode().split("\r\n")
         head = dict(x.split(": ", 1) for x in lines[1:])

@@ -229,3 +229,38 @@ def test_box_candidates_hold_every_nearest_centroid():
         assert set(zone_clusters.nearest(v, c)[0]) <= set(left.tolist())
         pruned += 12 - len(left)
     assert pruned > 1000
+
+
+# ------------------------------------------------------------------ 2 warc: ranges and reader
+def test_warc_ranges_follow_ids_however_spread(ready):
+    from tessera.llm import warc
+    rnd = random.Random(12)
+    sparse = [rnd.randrange(-2 ** 62, 2 ** 62) for _ in range(300)]
+    rows = [(i, f"u{k}", f"<p>{k}</p>", "s", 1, 2, "d") for k, i in enumerate(sparse)]
+    rows += [(sparse[7], f"r{k}", f"<p>again {k % 90}</p>", "s", 1, 2, "d") for k in range(200)]                   # one repeated id
+    rows += [(None, f"n{k}", f"<p>none {k}</p>", "s", 1, 2, "d") for k in range(70)] + [(5, None, None, "s", 1, 2, "d")]
+    pages = ready.createDataFrame(rows, "page_id long, url string, html string, shard string, part int, parts int, digest string")
+    found = []
+    for n in (1, 6):
+        path = warc.archive_path(ready)
+        manifest = warc.write(pages.repartition(n), path, rows_per_shard=20).collect()
+        found.append(sorted((r.file, r.sha256, r.records) for r in manifest))
+        out = warc.read(ready, path).collect()
+        assert len(out) == len(rows) and all(r.digest_ok for r in out)
+    assert found[0] == found[1]
+    ranges = sorted((r.shard, r.first_id, r.last_id) for r in manifest if r.shard >= 0 and r.part == 0)
+    assert 14 <= len(ranges) <= 17 and all(a[2] < b[1] for a, b in zip(ranges, ranges[1:]))
+    assert len({r.part for r in manifest if r.part and r.shard >= 0}) >= 8 and len({r.part for r in manifest if r.shard < 0}) >= 3
+    assert max(r.records for r in manifest) <= 60
+
+
+def test_warc_reader_of_long_and_short_records():
+    from tessera.llm import warc
+    rnd = random.Random(1)
+    payloads = [b"", b"x", rnd.randbytes(300_000), b"y" * 2_000_000] + [rnd.randbytes(rnd.randrange(3000)) for _ in range(300)]
+    data = b"".join(warc._gzip(warc.record(i, "u", p, warc.payload_digest(p), None, False)) for i, p in enumerate(payloads))
+    out = list(warc.parse(data))
+    assert [r.block.partition(b"\r\n\r\n")[2] for r in out] == payloads and [int(r.head["X-Page-Id"]) for r in out] == list(range(len(payloads)))
+    with pytest.raises(ValueError, match="cut off"):
+        list(warc.parse(data[:-3]))
+    assert list(warc.parse(b"")) == []
