@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.contract import ALGORITHMS, CATEGORICAL_IMPUTERS, NUMERIC_IMPUTERS, PROBLEM_TYPES, REDUCTIONS
+
 CLASSIFIER_SUFFIX = "_classifier"
 
 
@@ -20,8 +22,8 @@ def is_classifier(algorithm) -> F.Column:
 
 def contract_audit(requests: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Violations of the data contract: a feature or the target absent from the dataset,
-    the target used as a feature, a non-numeric regression target.
-    Output: request_id, problem, column_name."""
+    the target used as a feature, a non-numeric regression target, a feature or the target absent from the external
+    test set if there is one (``test_dataset_id``). Output: request_id, problem, column_name."""
     cat = catalogue.select("dataset_id", "column_name", "ml_type")
     feats = requests.select("request_id", "dataset_id", F.explode("feature_columns").alias("column_name"))
     missing = (feats.join(cat.select("dataset_id", "column_name"), ["dataset_id", "column_name"], "left_anti")
@@ -34,14 +36,18 @@ def contract_audit(requests: DataFrame, catalogue: DataFrame) -> DataFrame:
                             F.lit("target_not_numeric")))
     targets = (tgt.select("request_id", target_problem.alias("problem"), F.col("target_column").alias("column_name"))
                .filter(F.col("problem").isNotNull()))
-    return missing.unionByName(targets)
+    tested = requests.filter("test_dataset_id is not null").select("request_id", F.col("test_dataset_id").alias("dataset_id"), F.explode(F.concat(
+        F.transform("feature_columns", lambda c: F.struct(F.lit("test_missing_feature").alias("problem"), c.alias("column_name"))),
+        F.array(F.struct(F.lit("test_missing_target").alias("problem"), F.col("target_column").alias("column_name"))))).alias("c"))
+    tested = tested.select("request_id", "dataset_id", "c.problem", "c.column_name").join(
+        cat.select("dataset_id", "column_name"), ["dataset_id", "column_name"], "left_anti").select("request_id", "problem", "column_name")
+    return missing.unionByName(targets).unionByName(tested)
 
 
 def request_audit(requests: DataFrame, allowed: DataFrame) -> DataFrame:
     """Violations of the request contract: algorithm vs problem type, hyper-parameters
     outside the algorithm's whitelist, l1 with lbfgs, bounds and enumerations.
     Output: request_id, problem, detail."""
-    from tessera.plans.requests import CATEGORICAL_IMPUTERS, NUMERIC_IMPUTERS, REDUCTIONS
     r = requests
     algo = F.col("algorithm")
     mismatch = (F.when((F.col("problem_type") == "classification") & ~is_classifier(algo), F.lit("classification_needs_classifier"))
@@ -49,6 +55,8 @@ def request_audit(requests: DataFrame, allowed: DataFrame) -> DataFrame:
     penalty = F.lower(F.col("hyperparameters")["penalty"])
     solver = F.lower(F.col("hyperparameters")["solver"])
     checks = [
+        (F.when(~algo.isin(*ALGORITHMS), F.lit("bad_algorithm")), algo),
+        (F.when(~F.col("problem_type").isin(*PROBLEM_TYPES), F.lit("bad_problem_type")), F.col("problem_type")),
         (mismatch, algo),
         (F.when((algo == "logistic_regression") & (penalty == "l1") & (solver == "lbfgs"), F.lit("l1_with_lbfgs")),
          F.lit("penalty=l1,solver=lbfgs")),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import retry_delay, valid_request_id
-from tessera.operators.ranking import bucketed_running_sum, quantile_buckets
+from tessera.operators.ranking import range_running_sum
 
 # The default bucket bounds (seconds) of a Prometheus client histogram.
 DEFAULT_BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0, 2.5, 5.0, 7.5, 10.0)
@@ -54,12 +54,22 @@ TRANSIENT_ERRORS = (
     "MasterDownError", "ClusterCrossSlotError")
 
 
+# fixed values: a job is tried again if its error is one of these or derives from one
+RETRYABLE_BASES = ("OSError", "TimeoutError", "ConnectionError", "RedisError")
+
+
 def retry_plan(state: DataFrame, error_class: str = "error_class", max_attempts: int = MAX_ATTEMPTS,
-               base: float = RETRY_BASE, cap: float = RETRY_CAP) -> DataFrame:
-    """Failed jobs whose error class is one of the transient ones (an allow-list; a missing
-    class is not retried) and that have attempts left get a capped exponential delay."""
+               base: float = RETRY_BASE, cap: float = RETRY_CAP, ancestry: str | None = None) -> DataFrame:
+    """Failed jobs whose error is a transient one and that have attempts left get a capped exponential delay.
+    ``ancestry`` names a column with the names of the error's class and all classes it derives from, as the
+    job record has them: any subclass counts, also the user's own. Without it (or where it is null) the class name
+    is looked up among the known ones. A missing class is not retried."""
     failed = state.filter(F.col("status") == "failed")
-    retryable = F.coalesce(F.col(error_class).isin(*TRANSIENT_ERRORS), F.lit(False)) & (F.col("attempt") < max_attempts)
+    transient = F.col(error_class).isin(*TRANSIENT_ERRORS)
+    if ancestry:
+        bases = F.array(*[F.lit(b) for b in RETRYABLE_BASES])
+        transient = F.when(F.col(ancestry).isNotNull(), F.arrays_overlap(F.col(ancestry), bases)).otherwise(transient)
+    retryable = F.coalesce(transient, F.lit(False)) & (F.col("attempt") < max_attempts)
     return failed.select("job_id", "attempt", error_class, retryable.alias("retryable"),
                          F.when(retryable, retry_delay(F.col("attempt"), base, cap)).alias("delay_seconds"))
 
@@ -100,14 +110,10 @@ def duration_histogram(log: DataFrame, duration: str, keys: list[str] | None = N
         .select(*keys, "h.le", "h.cumulative", "count", "sum")
 
 
-def active_gauge(events: DataFrame, order_cols: list[str], delta: str, n_buckets: int = 256) -> DataFrame:
-    """O3: the running sum of +1 (start) / -1 (finish) in time order, without a
-    one-partition window: buckets are approximate quantiles of the first order column."""
-    first = order_cols[0]
-    keyed = events.withColumn("_o", F.col(first).cast("timestamp").cast("double")
-                              if dict(events.dtypes)[first].startswith("timestamp") else F.col(first).cast("double"))
-    bucket = quantile_buckets(keyed, "_o", n_buckets)
-    return bucketed_running_sum(keyed, bucket, [F.col(c) for c in order_cols], {"active": F.col(delta)}).drop("_o")
+def active_gauge(events: DataFrame, order_cols: list[str], delta: str) -> DataFrame:
+    """O3: the running sum of +1 (start) / -1 (finish) in the order of ``order_cols``, without a
+    one-partition window; events of one time are split over tasks by the later columns."""
+    return range_running_sum(events, order_cols, {"active": F.col(delta).cast("long")})
 
 
 def request_id_check(log: DataFrame, candidate: str) -> DataFrame:

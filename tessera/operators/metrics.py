@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import MAPE_EPSILON, col
-from tessera.operators.ranking import bucketed_running_sum, quantile_buckets
+from tessera.operators.ranking import range_running_sum
 
 ROUND = 6
 
@@ -163,19 +163,17 @@ def cv_classification_metrics(oof: DataFrame, fold: str, actual: str, predicted:
 
 # --------------------------------------------------------------------------- ROC AUC
 
-def roc_auc(df: DataFrame, label: str, score: str, positive: Column | None = None,
-            n_buckets: int = 256) -> DataFrame:
+def roc_auc(df: DataFrame, label: str, score: str, positive: Column | None = None) -> DataFrame:
     """Exact ROC AUC by the rank-sum rule with tied scores sharing their average rank.
 
     Rows first collapse to distinct scores (positive/negative counts), so copies of
     one score cost nothing downstream; the running count of negatives below each
-    score comes from bucketed running sums (no one-partition window)."""
+    score comes from running sums over ranges of scores (no one-partition window)."""
     pos = positive if positive is not None else (col(label) == F.lit(1))
     by_score = (df.select(col(score).cast("double").alias("_s"), pos.cast("long").alias("_pos"))
                 .groupBy("_s").agg(F.sum("_pos").alias("_p"), F.count(F.lit(1)).alias("_c"))
                 .withColumn("_q", F.col("_c") - F.col("_p")))
-    bucket = quantile_buckets(by_score, "_s", n_buckets)
-    run = bucketed_running_sum(by_score, bucket, [F.col("_s")], {"_neg_le": F.col("_q")})
+    run = range_running_sum(by_score, ["_s"], {"_neg_le": F.col("_q")})
     # negatives strictly below = running inclusive count minus this score's negatives
     return run.agg(
         F.sum(F.col("_p") * (F.col("_neg_le") - F.col("_q") + F.col("_q") * 0.5)).alias("_num"),

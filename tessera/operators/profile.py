@@ -151,6 +151,13 @@ def profile(df: DataFrame, accuracy: int | None = None) -> DataFrame:
         "outlier_count", "minimum", "maximum", "mean", "std", "median", "mode")
 
 
+def feature_choices(stats: DataFrame, target: str) -> DataFrame:
+    """Per column of ``column_stats`` whether it can be the target of each problem type, and whether it
+    stays a feature once ``target`` is chosen."""
+    return stats.select("position", "name", "ml_type", (F.col("ml_type") == "numeric").alias("regression_candidate"),
+                        F.lit(True).alias("classification_candidate"), (F.col("name") != F.lit(target)).alias("feature"), "n")
+
+
 def shape(df: DataFrame) -> DataFrame:
     """row_count and column_count."""
     return df.agg(F.count(F.lit(1)).alias("row_count")).withColumn("column_count", F.lit(len(df.columns)))

@@ -1,7 +1,7 @@
 """Global ranks and running sums without a one-partition window.
 
 A global order is cut into buckets by a function that is monotone in the sort key
-(a hex prefix of an md5, or approximate quantile cuts). Per-bucket totals are small
+(a hex prefix of an md5), or rows are dealt by ranges of the key itself. Per-bucket totals are small
 (bounded by the bucket count, which we choose), so their prefix sums are computed on
 that small table and broadcast back; inside each bucket an ordinary partitioned
 window finishes the job. Every bucket is a separate task, so no single task sees
@@ -12,11 +12,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import col
+from tessera.session import scratch_path
 
 BUCKET = "_bucket"
 
@@ -142,29 +142,26 @@ def global_rank_with_copies(df: DataFrame, key_cols: list[str], seed: int = 42,
     return out.withColumn(rank_col, F.col("_start") + F.col("_i") + 1).drop("_gid", "_c", "_start", "_pid", "_i")
 
 
-def quantile_buckets(df: DataFrame, value: str, n_buckets: int = 256,
-                     accuracy: int = 10000) -> Column:
-    """A bucket index monotone in ``value`` with at most ``n_buckets`` distinct values,
-    cut at approximate quantiles (one aggregate; the cut list is bounded by n_buckets)."""
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    cuts = df.agg(F.percentile_approx(col(value), probs, accuracy).alias("c")).first()["c"] or []
-    cuts = sorted(set(float(c) for c in cuts if c is not None))
-    splits = [-math.inf] + cuts + [math.inf]
-    if len(splits) < 3:
-        return F.lit(0).cast("long")
-    # Bucketizer searches the split array on the JVM; we only need its expression form:
-    return _bucket_expr(col(value), splits)
-
-
-def _bucket_expr(c: Column, splits: list[float]) -> Column:
-    # number of inner cuts strictly below-or-equal to the value; binary search is not
-    # available as a SQL function, but a sorted literal array with ``filter`` +
-    # ``size`` is evaluated on the JVM and is O(cuts) per row with cuts <= 255
-    inner = F.array(*[F.lit(x) for x in splits[1:-1]])
-    return F.size(F.filter(inner, lambda x: x <= c)).cast("long")
-
-
-def bucketizer(input_col: str, output_col: str, splits: list[float]) -> Bucketizer:
-    """Spark ML Bucketizer for many rows x few columns (binary search on the JVM)."""
-    return Bucketizer(splits=splits, inputCol=input_col, outputCol=output_col,
-                      handleInvalid="keep")
+def range_running_sum(df: DataFrame, order: list[str], values: dict[str, Column]) -> DataFrame:
+    """Running (inclusive) sums of ``values`` in the order of the ``order`` columns.
+
+    Rows are dealt by ranges of the whole order (a value that many rows share is split if later columns differ) and
+    written once; a total per range, worked out for all of them in one aggregate, becomes the range's offset,
+    and each range is summed on its own. Output columns are named after the keys of ``values``."""
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch_path(spark, "ranges")
+    staged = df.select("*", *[v.alias(f"_v_{k}") for k, v in values.items()])
+    staged.repartitionByRange(parts, *[col(c) for c in order]).withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    schema = staged.withColumn("_part", F.lit(0)).schema
+    rows = spark.read.schema(schema).parquet(path)
+    before, offsets = {k: 0 for k in values}, []
+    for r in sorted(rows.groupBy("_part").agg(*[F.sum(f"_v_{k}").alias(k) for k in values]).collect(), key=lambda r: r["_part"]):   # a row per range
+        offsets.append((r["_part"], *before.values()))
+        before = {k: n + (r[k] or 0) for k, n in before.items()}
+    kinds = {k: schema[f"_v_{k}"].dataType.simpleString() for k in values}
+    total = {"int": "bigint", "float": "double"}
+    table = spark.createDataFrame(offsets, "_part int, " + ", ".join(f"_off_{k} {total.get(t, t)}" for k, t in kinds.items()))
+    w = Window.partitionBy("_part").orderBy(*[col(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.join(F.broadcast(table), "_part")
+    return out.select(*[col(c) for c in df.columns], *[(F.col(f"_off_{k}") + F.sum(f"_v_{k}").over(w)).alias(k) for k in values])

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # event kinds
-REGISTER, SET_STATUS, RENAME, UNREGISTER = "register", "set_status", "rename", "unregister"
+REGISTER, SET_STATUS, RENAME, UNREGISTER, UPDATE = "register", "set_status", "rename", "unregister", "update_manifest"
 
 
 def _trimmed(name: str):
@@ -23,19 +23,28 @@ def _trimmed(name: str):
 
 def registry_state(events: DataFrame, id_col: str = "model_id", seq: str = "seq") -> DataFrame:
     """Fold (id, seq, kind, name, status) events into one row per id:
-    name (trimmed, latest register/rename), status (latest register -> active or
-    set_status), present (latest register/unregister is a register), registered_seq."""
+    name (trimmed, latest register/rename/update), status (latest register -> active or
+    set_status), present (latest register/unregister is a register), registered_seq. If the events have them:
+    manifest (a map of text; that of the latest register or update, with the current name in it), package_name and
+    registered_at of the latest register."""
     kind = F.col("kind")
     s = F.col(seq)
     life = kind.isin(REGISTER, UNREGISTER)
-    named = kind.isin(REGISTER, RENAME) & F.col("name").isNotNull()
+    named = kind.isin(REGISTER, RENAME, UPDATE) & F.col("name").isNotNull()
     status = F.when(kind == REGISTER, F.lit("active")).when(kind == SET_STATUS, F.col("status"))
-    return events.groupBy(id_col).agg(
+    registered = F.when(kind == REGISTER, s)
+    extra = [F.max_by(c, registered).alias(c) for c in ("package_name", "registered_at") if c in events.columns]
+    if "manifest" in events.columns:
+        extra.append(F.max_by("manifest", F.when(kind.isin(REGISTER, UPDATE) & F.col("manifest").isNotNull(), s)).alias("manifest"))
+    state = events.groupBy(id_col).agg(
         F.max_by(_trimmed("name"), F.when(named, s)).alias("name"),
         F.max_by(status, F.when(status.isNotNull(), s)).alias("status"),
         (F.max_by(kind, F.when(life, s)) == REGISTER).alias("present"),
-        F.max(F.when(kind == REGISTER, s)).alias("registered_seq"),
-    )
+        F.max(registered).alias("registered_seq"), *extra)
+    if "manifest" not in events.columns:
+        return state
+    rest = F.map_filter("manifest", lambda k, _: k != "name")
+    return state.withColumn("manifest", F.when(F.col("manifest").isNotNull(), F.map_concat(rest, F.create_map(F.lit("name"), F.col("name")))))
 
 
 def active_models(state: DataFrame) -> DataFrame:

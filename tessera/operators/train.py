@@ -74,7 +74,7 @@ class TrainSpec:
             raise ValueError("at least one feature is required")
         if self.target in self.features:
             raise ValueError("the target cannot also be a feature")
-        from tessera.plans.requests import ALLOWED_PARAMS
+        from tessera.operators.contract import ALLOWED_PARAMS
         allowed = ALLOWED_PARAMS.get(self.algorithm, ())
         bad = set(self.hyperparameters) - set(allowed)
         if self.algorithm != "linear_regression" and bad:

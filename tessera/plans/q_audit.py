@@ -19,7 +19,11 @@ t AS (SELECT r.request_id,
                   WHEN r.problem_type = 'regression' AND cat.ml_type <> 'numeric' THEN 'target_not_numeric' END AS problem,
              r.target_column AS column_name
       FROM r LEFT JOIN cat ON cat.dataset_id = r.dataset_id AND cat.column_name = r.target_column)
-SELECT * FROM missing UNION ALL SELECT * FROM t WHERE problem IS NOT NULL""")
+SELECT * FROM missing UNION ALL SELECT * FROM t WHERE problem IS NOT NULL
+UNION ALL SELECT request_id, 'test_missing_feature', column_name FROM (SELECT request_id, test_dataset_id, unnest(feature_columns) AS column_name FROM r) f
+WHERE test_dataset_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM cat WHERE cat.dataset_id = f.test_dataset_id AND cat.column_name = f.column_name)
+UNION ALL SELECT request_id, 'test_missing_target', target_column FROM r
+WHERE test_dataset_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM cat WHERE cat.dataset_id = r.test_dataset_id AND cat.column_name = r.target_column)""")
 def q_contract_audit(spark, sf_dir):
     return A.contract_audit(training_requests(spark, sf_dir), column_catalogue(spark, sf_dir))
 
@@ -31,7 +35,9 @@ hp AS (SELECT request_id, algorithm, hp_keys[i] AS param, hp_values[i] AS value
 lr AS (SELECT request_id, max(CASE WHEN param = 'penalty' THEN lower(value) END) AS penalty,
               max(CASE WHEN param = 'solver' THEN lower(value) END) AS solver FROM hp GROUP BY request_id),
 checks AS (
-  SELECT request_id, CASE WHEN problem_type = 'classification' AND NOT (algorithm LIKE '%\\_classifier' ESCAPE '\\' OR algorithm = 'logistic_regression') THEN 'classification_needs_classifier'
+  SELECT request_id, 'bad_algorithm' AS problem, algorithm AS detail FROM r WHERE algorithm NOT IN (SELECT algorithm FROM allowed)
+  UNION ALL SELECT request_id, 'bad_problem_type', problem_type FROM r WHERE problem_type NOT IN ('regression', 'classification')
+  UNION ALL SELECT request_id, CASE WHEN problem_type = 'classification' AND NOT (algorithm LIKE '%\\_classifier' ESCAPE '\\' OR algorithm = 'logistic_regression') THEN 'classification_needs_classifier'
                           WHEN problem_type = 'regression' AND (algorithm LIKE '%\\_classifier' ESCAPE '\\' OR algorithm = 'logistic_regression') THEN 'regression_with_classifier' END AS problem,
          algorithm AS detail FROM r
   UNION ALL SELECT r.request_id, CASE WHEN algorithm = 'logistic_regression' AND lr.penalty = 'l1' AND lr.solver = 'lbfgs' THEN 'l1_with_lbfgs' END,

@@ -2,48 +2,53 @@
 
 Fixed derivation rule (both engines): job_id = user_id, seq = event_id,
 state = signup -> queued, view -> running, purchase -> completed, error -> failed
-(click is log noise); error class of a failure = 'ValidationError' when props k % 4 = 0,
-else 'ConnectionError'; request duration = value / 100 seconds.
+(click is log noise); error classes of a failure (the class, then what it derives from) by
+event_id % 6, see ERRORS; request duration = value / 100 seconds.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera.operators import joblog as J
 from tessera.plans.catalog import query
 from tessera.plans.fixtures import LIFECYCLE_SQL, lifecycle_state, table
 
 
+# by event_id % 6: a built-in subclass, a subclass of the user's own, the base itself, a redis one, no transient one, none recorded
+ERRORS = (("ConnectionResetError", "ConnectionError", "OSError"), ("UploadStalled", "TimeoutError", "OSError"), ("OSError",),
+          ("BusyLoadingError", "ConnectionError", "RedisError"), ("ValidationError", "ValueError"), None)
+
+
 def job_events(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    k = F.from_json("props", T.StructType([T.StructField("k", T.LongType())]))["k"]
+    classes = F.element_at(F.array(*[F.lit(None).cast("array<string>") if c is None else F.array(*[F.lit(x) for x in c]) for c in ERRORS]),
+                           (F.col("event_id") % 6).cast("int") + 1)
     return e.select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"),
                     lifecycle_state(F.col("event_type")).alias("state"),
-                    F.when(k % 4 == 0, F.lit("ValidationError")).otherwise(F.lit("ConnectionError")).alias("error_class"),
+                    F.struct(classes.alias("error_classes")).alias("error"),
                     "ts", "value", "event_type", "event_id", "props")
 
 
 def _state(spark, sf_dir):
     ev = job_events(spark, sf_dir)
-    last_err = F.max_by(F.col("error_class"), F.when(F.col("state") == "failed", F.col("seq"))).alias("error_class")
-    return J.job_state(ev, extra=[last_err])
+    last_err = F.max_by(F.col("error"), F.when(F.col("state") == "failed", F.col("seq")))["error_classes"].alias("error_classes")
+    return J.job_state(ev, extra=[last_err]).withColumn("error_class", F.get("error_classes", F.lit(0)))
 
 
 JOBS_SQL = f"""
 ev AS (SELECT user_id AS job_id, event_id AS seq, {LIFECYCLE_SQL} AS state,
-              CASE WHEN CAST(json_extract(props, '$.k') AS BIGINT) % 4 = 0 THEN 'ValidationError' ELSE 'ConnectionError' END AS error_class
+              {{'c': [{", ".join("NULL" if c is None else "[" + ", ".join(f"'{x}'" for x in c) + "]" for c in ERRORS)}][event_id % 6 + 1]}} AS error
        FROM events),
 st AS (SELECT job_id, arg_max(state, seq) AS status, CAST(count_if(state = 'running') AS INTEGER) AS attempt,
               min(seq) AS first_seq, max(seq) AS last_seq,
-              arg_max(error_class, seq) FILTER (WHERE state = 'failed') AS error_class
+              arg_max(error, seq) FILTER (WHERE state = 'failed').c AS error_classes
        FROM ev WHERE state IS NOT NULL GROUP BY job_id)"""
 
 
 @query("job_state_fold", f"WITH {JOBS_SQL} SELECT job_id, status, attempt, first_seq, last_seq FROM st")
 def q_job_state_fold(spark, sf_dir):
-    return _state(spark, sf_dir).drop("error_class")
+    return _state(spark, sf_dir).drop("error_class", "error_classes")
 
 
 @query("job_status_counts", f"""WITH {JOBS_SQL}
@@ -63,11 +68,12 @@ def q_dead_letter_report(spark, sf_dir):
 
 
 @query("retry_plan", f"""WITH {JOBS_SQL}
-SELECT job_id, attempt, error_class, coalesce(error_class IN ('OSError', 'TimeoutError', 'ConnectionError'), false) AND attempt < 3 AS retryable,
-       CASE WHEN error_class IN ('OSError', 'TimeoutError', 'ConnectionError') AND attempt < 3 THEN least(2.0 * pow(2.0, greatest(attempt - 1, 0)), 60.0) END AS delay_seconds
-FROM st WHERE status = 'failed'""")
+SELECT job_id, attempt, error_classes[1] AS error_class, t AND attempt < 3 AS retryable,
+       CASE WHEN t AND attempt < 3 THEN least(2.0 * pow(2.0, greatest(attempt - 1, 0)), 60.0) END AS delay_seconds
+FROM (SELECT *, coalesce(list_has_any(error_classes, ['OSError', 'TimeoutError', 'ConnectionError', 'RedisError']), false) AS t FROM st)
+WHERE status = 'failed'""")
 def q_retry_plan(spark, sf_dir):
-    return J.retry_plan(_state(spark, sf_dir))
+    return J.retry_plan(_state(spark, sf_dir), ancestry="error_classes")
 
 
 @query("job_actionable", f"""WITH {JOBS_SQL}

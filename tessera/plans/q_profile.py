@@ -190,10 +190,5 @@ FROM cols""")
 def q_target_candidates(spark, sf_dir):
     """Target candidates per problem type from the profile's ml_type, and the
     feature list once 'o_totalprice' is chosen as target."""
-    df = orders_na(spark, sf_dir)
-    s = P.column_stats(df, quartiles=False, moments=False)
-    return s.select("position", "name", "ml_type",
-                    (F.col("ml_type") == "numeric").alias("regression_candidate"),
-                    F.lit(True).alias("classification_candidate"),
-                    (F.col("name") != "o_totalprice").alias("feature_when_target_is_price"),
-                    F.col("n").alias("row_count"))
+    s = P.column_stats(orders_na(spark, sf_dir), quartiles=False, moments=False)
+    return P.feature_choices(s, "o_totalprice").withColumnsRenamed({"feature": "feature_when_target_is_price", "n": "row_count"})

@@ -10,7 +10,9 @@ from tessera.functions.columns import NA_TOKENS, source_name
 from tessera.operators.score import FeatureSpec, Manifest, score
 from tessera.plans.catalog import query
 from tessera.plans.fixtures import LINEITEM_NA_SQL, lineitem_na, table
+from tessera.plans.q_logs import JOBS_SQL
 from tessera.plans.q_score import KEY_COLS, PRICE_MANIFEST, PRICE_MODEL, PRICE_SQL
+from tessera.plans.requests import TRAINING_REQUESTS_SQL
 from tessera.session import scratch_path
 from tessera.sources import records as R
 from tessera.sources import store as S
@@ -75,9 +77,12 @@ def q_src_json_records(spark, sf_dir):
 
 # ------------------------------------------------------------------ S4 / S5 / S15 dataset store
 # customer stored as datasets by market segment: dataset_id = lower(c_mktsegment);
-# uploaded file name 'uploads\\<segment>/<segment>_customers.v1.csv'; created_at = the
-# first order date of the segment's customers is not needed -- we use a fixed rule:
-# created order = position of the segment name.
+# uploaded file name 'uploads\\<segment>/<segment>_customers.v1.csv'; created_at = the first
+# order date of the segment's customers.
+UPLOADS_SQL = """up AS (SELECT lower(c_mktsegment) AS dataset_id, strftime(min(o_orderdate), '%Y-%m-%d %H:%M:%S') AS created_at
+       FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1)"""
+
+
 def _store(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     root = scratch_path(spark, "datasets")
@@ -91,29 +96,30 @@ def q_src_dataset_scan(spark, sf_dir):
     return S.scan_dataset(spark, _store(spark, sf_dir), "building")
 
 
-def _uploads(spark, root):
-    ids = spark.read.parquet(root).select("dataset_id").distinct()
+def _uploads(spark, sf_dir):
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    ids = c.join(o, F.col("o_custkey") == F.col("c_custkey"), "left").groupBy(F.lower("c_mktsegment").alias("dataset_id")) \
+        .agg(F.date_format(F.min("o_orderdate"), "yyyy-MM-dd HH:mm:ss").alias("created_at"))
     fname = F.concat(F.lit("uploads\\"), F.col("dataset_id"), F.lit("/"), F.col("dataset_id"), F.lit("_customers.v1.csv"))
-    return ids.select("dataset_id", fname.alias("original_filename"),
-                      F.length("dataset_id").alias("created_at"))
+    return ids.select("dataset_id", fname.alias("original_filename"), "created_at")
 
 
-@query("dataset_metadata", """
+@query("dataset_metadata", f"""
+WITH {UPLOADS_SQL}
 SELECT lower(c_mktsegment) AS dataset_id, lower(c_mktsegment) || '_customers.v1' AS name,
        'uploads\\' || lower(c_mktsegment) || '/' || lower(c_mktsegment) || '_customers.v1.csv' AS original_filename,
-       count(*) AS row_count, 5 AS column_count, length(lower(c_mktsegment)) AS created_at
-FROM customer GROUP BY 1""")
+       count(*) AS row_count, 5 AS column_count, max(created_at) AS created_at
+FROM customer JOIN up ON up.dataset_id = lower(c_mktsegment) GROUP BY 1""")
 def q_dataset_metadata(spark, sf_dir):
-    root = _store(spark, sf_dir)
-    return S.dataset_metadata(spark, root, _uploads(spark, root))
+    return S.dataset_metadata(spark, _store(spark, sf_dir), _uploads(spark, sf_dir))
 
 
-@query("dataset_list", """
-SELECT lower(c_mktsegment) AS dataset_id, count(*) AS row_count, length(lower(c_mktsegment)) AS created_at
-FROM customer GROUP BY 1""")
+@query("dataset_list", f"""
+WITH {UPLOADS_SQL}
+SELECT lower(c_mktsegment) AS dataset_id, count(*) AS row_count, max(created_at) AS created_at
+FROM customer JOIN up ON up.dataset_id = lower(c_mktsegment) GROUP BY 1""")
 def q_dataset_list(spark, sf_dir):
-    root = _store(spark, sf_dir)
-    meta = S.dataset_metadata(spark, root, _uploads(spark, root))
+    meta = S.dataset_metadata(spark, _store(spark, sf_dir), _uploads(spark, sf_dir))
     return S.newest_first(meta, "created_at", "dataset_id").select("dataset_id", "row_count", "created_at")
 
 
@@ -177,7 +183,9 @@ def _history(spark, sf_dir):
     return spark.read.parquet(path)
 
 
-@query("history_append")
+@query("history_append", f"""
+SELECT id, model_id, string_split(replace(raw_source, '\\', '/'), '/')[-1] AS source_filename, row_count, created_at, event_id
+FROM ({HISTORY_SRC_SQL})""")
 def q_history_append(spark, sf_dir):
     return _history(spark, sf_dir)
 
@@ -199,7 +207,9 @@ def q_history_source_name(spark, sf_dir):
 # ------------------------------------------------------------------ S11 manifests
 # One manifest per part row, grouped into 50 package folders (p_partkey % 50):
 # id 'model-<key>', name p_name, features [p_size, p_retailprice], target p_brand.
-@query("manifest_scan")
+@query("manifest_scan", """
+SELECT 'model-' || CAST(p_partkey AS VARCHAR) AS id, p_name AS name, 'package=pkg_' || CAST(p_partkey % 50 AS VARCHAR) AS package_dir,
+       2 AS n_features, 'classification' AS problem_type FROM part""")
 def q_manifest_scan(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     feat = F.array(F.struct(F.lit("p_size").alias("name"), F.lit("int64").alias("dtype"), F.lit(True).alias("required")),
@@ -215,8 +225,25 @@ def q_manifest_scan(spark, sf_dir):
     return scanned.select("id", "name", "package_dir", F.size("features").alias("n_features"), "problem_type")
 
 
+# A package per brand: one indented metadata.json in a folder of its own, features by the brand's part types.
+@query("manifest_folders", """
+SELECT 'model-' || p_brand AS id, p_brand AS name, replace(p_brand, '#', '-') AS package_dir, count(DISTINCT p_type) AS n_features,
+       'regression' AS problem_type FROM part GROUP BY p_brand""")
+def q_manifest_folders(spark, sf_dir):
+    from tessera.sources.runs import write_document
+    root = scratch_path(spark, "packages")
+    for r in table(spark, sf_dir, "part").groupBy("p_brand").agg(F.collect_set("p_type").alias("types")).collect():       # a package per brand
+        write_document(spark, f"{root}/{r.p_brand.replace('#', '-')}/metadata.json", {
+            "id": f"model-{r.p_brand}", "name": r.p_brand, "version": "1.0.0", "framework": "spark", "problem_type": "regression",
+            "target": "p_retailprice", "features": [{"name": t, "dtype": "float64", "required": True} for t in sorted(r.types)]})
+    return S.scan_manifests(spark, root).select("id", "name", "package_dir", F.size("features").cast("long").alias("n_features"), "problem_type")
+
+
 # ------------------------------------------------------------------ S12 / S13 job and model records
-@query("job_scan")
+@query("job_scan", f"""
+WITH {JOBS_SQL}, r AS ({TRAINING_REQUESTS_SQL})
+SELECT st.job_id, status, attempt, first_seq, last_seq, dataset_id AS request_dataset_id, algorithm AS request_algorithm,
+       target_column AS request_target_column, cv_folds AS request_cv_folds FROM st LEFT JOIN r ON r.request_id = st.job_id""")
 def q_job_scan(spark, sf_dir):
     from tessera.plans.q_logs import _state
     from tessera.plans.requests import training_requests

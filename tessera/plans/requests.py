@@ -12,31 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.profile import ml_type, raw_dtype
+from tessera.operators.contract import ALGORITHMS, ALLOWED_PARAMS  # noqa: F401
 from tessera.plans.fixtures import table
 
 DATASETS = ("lineitem", "orders", "customer", "part")
 
-# The nine algorithm names of the training contract, and the
-# hyper-parameter names each accepts.
-ALGORITHMS = ("random_forest", "gradient_boosting", "xgboost", "adaboost",
-              "random_forest_classifier", "gradient_boosting_classifier", "xgboost_classifier",
-              "adaboost_classifier", "logistic_regression")
-ALLOWED_PARAMS = {
-    "random_forest": ("n_estimators", "min_samples_leaf", "max_depth", "min_samples_split", "max_leaf_nodes"),
-    "gradient_boosting": ("n_estimators", "learning_rate", "max_depth", "subsample"),
-    "xgboost": ("n_estimators", "verbosity", "learning_rate", "max_depth", "gamma", "subsample"),
-    "adaboost": ("n_estimators", "learning_rate", "loss"),
-    "random_forest_classifier": ("n_estimators", "min_samples_leaf", "max_depth", "min_samples_split",
-                                 "max_leaf_nodes"),
-    "gradient_boosting_classifier": ("n_estimators", "learning_rate", "max_depth", "subsample"),
-    "xgboost_classifier": ("n_estimators", "verbosity", "learning_rate", "max_depth", "gamma", "subsample"),
-    "adaboost_classifier": ("n_estimators", "learning_rate"),
-    "logistic_regression": ("penalty", "solver", "C"),
-}
-NUMERIC_IMPUTERS = ("median", "mean", "most_frequent", "constant", "drop")
-CATEGORICAL_IMPUTERS = ("most_frequent", "constant")
-REDUCTIONS = ("none", "truncated_svd")
-
 # Rule tables for generated requests (our own choices).
 GEN_NUMERIC_IMPUTERS = ("median", "mean", "most_frequent", "constant", "drop", "zero")
 GEN_CATEGORICAL_IMPUTERS = ("most_frequent", "constant", "mode")
@@ -96,8 +76,9 @@ def training_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 17 == 0, F.lit("x")).otherwise(F.col("p_name")).alias("model_name"),
         target.alias("target_column"),
         feats.alias("feature_columns"),
-        F.when(k % 2 == 0, F.lit("regression")).otherwise(F.lit("classification")).alias("problem_type"),
-        _pick(ALGORITHMS, (k % 9).cast("int")).alias("algorithm"),
+        F.when(k % 31 == 0, F.lit("ranking")).when(k % 2 == 0, F.lit("regression")).otherwise(F.lit("classification")).alias("problem_type"),
+        F.when(k % 29 == 0, F.lit("linear_svm")).otherwise(_pick(ALGORITHMS, (k % 9).cast("int"))).alias("algorithm"),
+        F.when(k % 3 == 0, _pick(DATASETS, ((k + F.when(k % 2 == 0, 1).otherwise(0)) % 4).cast("int"))).alias("test_dataset_id"),
         _pick(GEN_NUMERIC_IMPUTERS, (size % 6).cast("int")).alias("numeric_imputer"),
         _pick(GEN_CATEGORICAL_IMPUTERS, (k % 3).cast("int")).alias("categorical_imputer"),
         (size % 12).cast("int").alias("cv_folds"),
@@ -129,8 +110,9 @@ SELECT p_partkey AS request_id,
                                         p_size % len({_COLS_SQL}[p_partkey % 4 + 1]) + 1 + p_partkey % 3), ['ghost_feature'])
             ELSE list_slice({_COLS_SQL}[p_partkey % 4 + 1], p_size % len({_COLS_SQL}[p_partkey % 4 + 1]) + 1,
                             p_size % len({_COLS_SQL}[p_partkey % 4 + 1]) + 1 + p_partkey % 3) END AS feature_columns,
-       CASE WHEN p_partkey % 2 = 0 THEN 'regression' ELSE 'classification' END AS problem_type,
-       {_sql_pick(ALGORITHMS, 'p_partkey % 9')} AS algorithm,
+       CASE WHEN p_partkey % 31 = 0 THEN 'ranking' WHEN p_partkey % 2 = 0 THEN 'regression' ELSE 'classification' END AS problem_type,
+       CASE WHEN p_partkey % 29 = 0 THEN 'linear_svm' ELSE {_sql_pick(ALGORITHMS, 'p_partkey % 9')} END AS algorithm,
+       CASE WHEN p_partkey % 3 = 0 THEN {_sql_pick(DATASETS, '(p_partkey + CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 0 END) % 4')} END AS test_dataset_id,
        {_sql_pick(GEN_NUMERIC_IMPUTERS, 'p_size % 6')} AS numeric_imputer,
        {_sql_pick(GEN_CATEGORICAL_IMPUTERS, 'p_partkey % 3')} AS categorical_imputer,
        CAST(p_size % 12 AS INTEGER) AS cv_folds,
