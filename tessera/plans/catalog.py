@@ -28,7 +28,7 @@ def query(name: str, sql: str | None = None):
 def _load_all() -> None:
     # importing the modules registers their queries
     from tessera.plans import (  # noqa: F401
-        q_audit, q_folds, q_logs, q_prepare, q_profile, q_registry, q_runs, q_score,
+        q_audit, q_closed, q_folds, q_logs, q_prepare, q_profile, q_registry, q_runs, q_score,
         q_sources, q_train,
     )
 
