@@ -155,11 +155,12 @@ def q_log_valid_request_id(spark, sf_dir):
 def q_stream_job_state(spark, sf_dir):
     """J3 as a streaming aggregation over the events table read as a file stream."""
     from tessera.session import scratch_path
-    from tessera.streaming.scoring import job_state_stream
+    from tessera.streaming.scoring import compact_job_state, job_state_stream, read_job_state
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir.rstrip('/')}/events.parque[t]")  # a glob: file streams watch folders
     ev = stream.select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"),
                        lifecycle_state(F.col("event_type")).alias("state"))
     out, ck = scratch_path(spark, "job_state"), scratch_path(spark, "job_state_ck")
     job_state_stream(ev, out, ck).awaitTermination()
-    return spark.read.parquet(out)
+    compact_job_state(spark, out)
+    return read_job_state(spark, out)

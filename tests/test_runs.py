@@ -78,3 +78,30 @@ def test_a_training_run_is_read_whole_and_evaluated(spark, tmp_dir):
     model, record = RN.load_run(spark, tmp_dir, "m1")
     assert record["test_rmse"] == pytest.approx(3.0) and record["name"] == "Second"
     assert model.transform(_rows(spark, 3)).filter("abs(prediction - y) > 1e-6").count() == 0
+
+
+def test_streamed_job_states_equal_the_batch_fold(spark, tmp_dir):
+    """Events out of order over many batches, a repeated batch, snapshots in between."""
+    import random
+
+    from tessera.operators import joblog as J
+    from tessera.streaming.scoring import compact_job_state, job_state_stream, read_job_state
+    rnd = random.Random(3)
+    rows = [(rnd.randrange(40), i, rnd.choice(["queued", "running", "completed", "failed", None])) for i in range(600)]
+    rnd.shuffle(rows)
+    schema, src, out = "job_id long, seq long, state string", f"{tmp_dir}/src", f"{tmp_dir}/out"
+    done = []
+    for k in range(3):
+        done += rows[200 * k:200 * k + 200]
+        spark.createDataFrame(rows[200 * k:200 * k + 200], schema).repartition(2).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+        job_state_stream(stream, out, f"{tmp_dir}/ck").awaitTermination()
+        want = sorted(map(tuple, J.job_state(spark.createDataFrame(done, schema)).collect()))
+        assert sorted(map(tuple, read_job_state(spark, out).collect())) == want
+        if k == 1:
+            # the last batch once more, as after a failure between its write and its commit
+            last = max(int(n.split("=")[1]) for n in os.listdir(f"{out}/changes") if "=" in n)
+            batch = spark.read.parquet(f"{out}/changes/batch_id={last}")
+            spark.createDataFrame(batch.collect(), batch.schema).write.mode("overwrite").parquet(f"{out}/changes/batch_id={last}")
+        compact_job_state(spark, out)
+        assert sorted(map(tuple, read_job_state(spark, out).collect())) == want
