@@ -220,3 +220,38 @@ def q_stream_score_records(spark, sf_dir):
     out, hist, ck = scratch_path(spark, "stream_out"), scratch_path(spark, "stream_hist"), scratch_path(spark, "stream_ck")
     score_stream(records, man, JSON_MODEL, out, hist, ck).awaitTermination()
     return spark.read.parquet(out).select("event_id", "k", "value", "prediction")
+
+
+# One model per supplier (key s): framework 'onnx' where s % 11 = 0, logistic where s % 3 = 1 else linear, fill 10 for
+# quantity and 0.02 for tax (none for discount), quantity scaled by 2; rows name the model of their supplier, those with
+# l_orderkey % 41 = 0 a model that does not exist.
+_Z = ("(0.1 * (s % 5) + 0.5 * (s % 7) * (coalesce(l_quantity, 10.0) / 2.0) + -3.0 * l_discount + 1.5 * (s % 4) * coalesce(l_tax, 0.02) "
+      "- CASE WHEN s % 3 = 1 THEN 20.0 ELSE 0.0 END)")
+
+
+@query("score_manifest_table", f"""
+WITH rows AS (SELECT l_orderkey * 8 + l_linenumber AS key, CASE WHEN l_orderkey % 41 = 0 THEN 'gone' ELSE 'supplier-' || CAST(l_suppkey AS VARCHAR) END AS model_id,
+                     l_suppkey AS s, l_orderkey, l_quantity, l_discount, l_tax FROM ({LINEITEM_NA_SQL})),
+r AS (SELECT *, CASE WHEN l_orderkey % 41 = 0 OR s NOT IN (SELECT s_suppkey FROM supplier) THEN 'unknown_model' WHEN s % 11 = 0 THEN 'unsupported_framework'
+                     WHEN l_discount IS NULL THEN 'missing_feature' END AS reason, {_Z} AS z FROM rows),
+p AS (SELECT *, CASE WHEN reason IS NULL THEN CASE WHEN s % 3 = 1 THEN 1 / (1 + exp(-z)) ELSE z END END AS y FROM r)
+SELECT key, model_id, round(y, 4) AS prediction, CASE WHEN reason IS NULL AND s % 3 = 1 THEN CASE WHEN y > 0.5 THEN 'high' ELSE 'low' END END AS label, reason FROM p""")
+def q_score_manifest_table(spark, sf_dir):
+    """Several features, two families, a leading preprocessing step, rejects beside the predictions."""
+    from tessera.operators.model_table import score_by_manifest
+    s = F.col("s_suppkey")
+    model = table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("supplier-"), s.cast("string")).alias("model_id"), F.when(s % 11 == 0, F.lit("onnx")).otherwise(F.lit("spark")).alias("framework"),
+        F.when(s % 3 == 1, F.lit("logistic")).otherwise(F.lit("linear")).alias("family"),
+        F.array(F.lit("l_quantity"), F.lit("l_discount"), F.lit("l_tax")).alias("features"),
+        F.array(F.lit(10.0), F.lit(None).cast("double"), F.lit(0.02)).alias("fill"), F.array(F.lit(2.0), F.lit(1.0), F.lit(1.0)).alias("scale"),
+        F.array(0.5 * (s % 7), F.lit(-3.0), 1.5 * (s % 4)).alias("weights"),
+        (0.1 * (s % 5) - F.when(s % 3 == 1, 20.0).otherwise(0.0)).alias("intercept"),
+        F.when(s % 3 == 1, F.array(F.lit("low"), F.lit("high"))).alias("classes"))
+    li = lineitem_na(spark, sf_dir)
+    rows = li.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("key"), F.when(F.col("l_orderkey") % 41 == 0, F.lit("gone")).otherwise(
+        F.concat(F.lit("supplier-"), F.col("l_suppkey").cast("string"))).alias("model_id"),
+        F.create_map(*[x for c in ("l_quantity", "l_discount", "l_tax") for x in (F.lit(c), F.col(c))]).alias("inputs"))
+    out = score_by_manifest(rows, model, key="key")
+    return out.predictions.select("key", "model_id", F.round("prediction", 4).alias("prediction"), "label", F.lit(None).cast("string").alias("reason")) \
+        .unionByName(out.rejects.select("key", "model_id", F.lit(None).cast("double").alias("prediction"), F.lit(None).cast("string").alias("label"), "reason"))
