@@ -170,6 +170,9 @@ DIGESTS = ("n_turns long, turns_sha256 string, loss_chars long, loss_sha256 stri
 def _read_batch(formatted: pd.Series, mask: pd.Series) -> pd.DataFrame:
     rows = []
     for text, spans in zip(formatted, mask):
+        if text is None:                            # a record that was not formatted
+            rows.append((None,) * 5)
+            continue
         turns = parse_formatted(text)
         loss = "".join(unescape(text[s["first"]:s["last"]]) for s in spans)
         rows.append((len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest(),
@@ -178,12 +181,12 @@ def _read_batch(formatted: pd.Series, mask: pd.Series) -> pd.DataFrame:
 
 
 def read_back(formatted: Column, mask: Column) -> Column:
-    """Struct of DIGESTS: what the formatted strings and their masks hold."""
+    """Struct of DIGESTS: what the formatted strings and their masks hold (nulls for a null string)."""
     return pandas_udf(_read_batch, DIGESTS)(formatted, mask)
 
 
 def format_records(records: DataFrame, *, json_col: str = "record") -> DataFrame:
-    """``records`` with layout, formatted, mask and error in a struct column ``chat``."""
+    """``records`` with layout, formatted, mask and error in a struct column ``chat``, which replaces one of that name."""
     return records.withColumn("chat", pandas_udf(_format_batch, FORMATTED)(F.coalesce(F.col(json_col), F.lit(""))))
 
 

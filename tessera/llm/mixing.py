@@ -10,7 +10,8 @@ once, so no document is lost and small sources repeat.
 The weights are realised by block permutations: a source's documents are dealt by hash
 into blocks of about ``block_tokens`` tokens, every epoch has its own order of the blocks
 and of the documents in a block, and a source is read epoch after epoch until its budget
-of tokens is spent. Whole epochs are a number per source; in the last, partial epoch
+of tokens is spent. The exponent is solved over (tokens, number of sources with so many) rows, of which T
+tokens give at most sqrt(2 T), and a source's quota is an expression of its tokens, met by a join. Whole epochs are a number per source; in the last, partial epoch
 whole blocks are taken by a running sum over the small block table and only the block at
 the edge is cut document by document. So documents are never sorted or moved as a whole.
 
@@ -18,14 +19,17 @@ Defined results: a null source is a source of its own (named by ``NO_SOURCE`` in
 plan); documents without words weigh 0 tokens and come along in whole epochs and in taken
 blocks; a table without words keeps every row once; rows that repeat an id are separate
 rows; ties in the permutation go by id. The document that crosses the budget is taken, so
-a source overshoots by less than one document (rows equal in id and text are taken together).
+a source overshoots by less than one document (rows equal in id and text are taken together). ``mix`` replaces
+columns called mix_epochs, mix_block and mix_key, ``realise`` also mix_epoch and mix_order; to keep such columns pass
+them inside a struct.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,25 +40,29 @@ MAX_EPOCHS = 2.0
 BLOCK_TOKENS = 1 << 20
 SEED = 11
 NO_SOURCE = "\u0000none"
-MAX_SOURCES = 200_000        # the plan is solved on the driver over one row per source
+SMALL_SOURCES = 200_000      # tables of a row per source are broadcast up to so many rows
 
 
 @dataclass(frozen=True)
 class MixPlan:
+    """A source of t tokens has the weight (t / top) ^ exponent / norm and budget times that in tokens."""
     exponent: float
     budget: float
-    rows: tuple[tuple[str, int, float, float], ...]     # source, tokens, weight, token budget
+    top: float = 1.0
+    norm: float = 1.0
+    rows: tuple[tuple[str, int, float, float], ...] = ()     # source, tokens, weight, token budget; for a report, left out beyond SMALL_SOURCES
 
 
-def _weights(tokens: list[int], a: float) -> list[float]:
-    top = max(tokens)
-    w = [(t / top) ** a for t in tokens]
-    total = sum(w)
-    return [x / total for x in w]
+def _weights(tokens: np.ndarray, counts: np.ndarray, a: float) -> np.ndarray:
+    w = (tokens / tokens.max()) ** a
+    return w / (w * counts).sum()
 
 
-def _entropy(w: list[float]) -> float:
-    return -sum(x * math.log(x) for x in w if x > 0)
+def _entropy(w, counts=None) -> float:
+    w = np.asarray(w, np.float64)
+    n = np.ones(len(w)) if counts is None else counts
+    some = w > 0
+    return float(-(n[some] * w[some] * np.log(w[some])).sum())
 
 
 def _bisect(ok, steps: int = 60) -> float:
@@ -79,33 +87,45 @@ def _bisect_up(ok, low: float, steps: int = 60) -> float:
     return high
 
 
-def solve(tokens: dict[str, int], *, entropy_share: float = ENTROPY_SHARE, max_epochs: float = MAX_EPOCHS,
-          budget: float | None = None) -> MixPlan:
-    """Exponent, weights and token budgets from the tokens per source."""
-    named = sorted((s, n) for s, n in tokens.items() if n > 0)
-    if not named:
-        return MixPlan(1.0, 0.0, tuple((s, 0, 0.0, 0.0) for s in sorted(tokens)))
-    n = [t for _, t in named]
+def solve_counts(tokens: np.ndarray, counts: np.ndarray, *, entropy_share: float = ENTROPY_SHARE, max_epochs: float = MAX_EPOCHS,
+                 budget: float | None = None) -> MixPlan:
+    """Exponent and budget when ``counts[i]`` sources have ``tokens[i]`` tokens each (all above 0)."""
+    n, m = np.asarray(tokens, np.float64), np.asarray(counts, np.float64)
+    if not len(n):
+        return MixPlan(1.0, 0.0)
 
-    def spend(w: list[float]) -> float:
-        return float(budget) if budget is not None else max(t / x for t, x in zip(n, w))
+    def spend(w: np.ndarray) -> float:
+        return float(budget) if budget is not None else float((n / w).max())
 
     def repeats(a: float) -> float:
-        w = _weights(n, a)
-        return max(spend(w) * x / t for t, x in zip(n, w))
+        w = _weights(n, m, a)
+        return float((spend(w) * w / n).max())
 
-    target = entropy_share * math.log(len(n))
-    a = _bisect(lambda x: _entropy(_weights(n, x)) >= target)
+    target = entropy_share * math.log(m.sum())
+    a = _bisect(lambda x: _entropy(_weights(n, m, x), m) >= target)
     # at a = 1 every source is repeated budget / all tokens times; a limit below that cannot be met
     if repeats(1.0) <= max_epochs * (1 + 1e-12):
         a = _bisect_up(lambda x: repeats(x) <= max_epochs * (1 + 1e-12), a)
     else:
         a = 1.0
-    w = _weights(n, a)
-    b = spend(w)
-    rows = [(s, t, x, b * x) for (s, t), x in zip(named, w)]
-    rows += [(s, 0, 0.0, 0.0) for s, t in sorted(tokens.items()) if t <= 0]
-    return MixPlan(a, b, tuple(rows))
+    return MixPlan(a, spend(_weights(n, m, a)), float(n.max()), float((((n / n.max()) ** a) * m).sum()))
+
+
+def solve(tokens: dict[str, int], *, entropy_share: float = ENTROPY_SHARE, max_epochs: float = MAX_EPOCHS,
+          budget: float | None = None) -> MixPlan:
+    """Exponent, weights and token budgets from the tokens per source."""
+    named = sorted((s, n) for s, n in tokens.items() if n > 0)
+    t = np.asarray([n for _, n in named], np.float64)
+    p = solve_counts(t, np.ones(len(t)), entropy_share=entropy_share, max_epochs=max_epochs, budget=budget)
+    w = _weights(t, np.ones(len(t)), p.exponent).tolist() if named else []
+    rows = [(s, n, x, p.budget * x) for (s, n), x in zip(named, w)]
+    rows += [(s, 0, 0.0, 0.0) for s, n in sorted(tokens.items()) if n <= 0]
+    return MixPlan(p.exponent, p.budget, p.top, p.norm, tuple(rows))
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    """Broadcast a written table of a row per source if it is small, else leave the join to a shuffle."""
+    return F.broadcast(rows) if rows.count() <= SMALL_SOURCES else rows
 
 
 def token_count(text: Column) -> Column:
@@ -117,24 +137,26 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
         block_tokens: int = BLOCK_TOKENS) -> tuple[DataFrame, MixPlan]:
     """Returns (docs with ``mix_epochs``: how often the row is read, 0 or more, and ``mix_block``;
     plan). Extra columns of ``docs`` stay, unless they have one of these names."""
-    spark = docs.sparkSession
     src = F.coalesce(F.col(source_col).cast("string"), F.lit(NO_SOURCE))
     sizes = materialize(docs.select(src.alias("s"), F.col(id_col).cast("string").alias("i"),
                                     token_count(F.col(text_col)).alias("t"),
                                     F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h")), "mix-sizes")
-    per = sizes.groupBy("s").agg(F.sum("t").alias("t")).limit(MAX_SOURCES + 1).collect()
-    if len(per) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources; group them first")
-    plan = solve({r.s: r.t for r in per}, entropy_share=entropy_share, max_epochs=max_epochs, budget=budget)
-    rows = []
-    for s, t, _, b in plan.rows:
-        epochs = math.floor(b / t + 1e-9) if t else 1
-        rest = max(0.0, b - epochs * t) if t else 0.0
-        rows.append((s, epochs, rest if rest > 1e-6 * t else 0.0, max(1, math.ceil(t / block_tokens))))
-    quota = spark.createDataFrame(rows, "s string, epochs int, rest double, blocks int")
+    per = materialize(sizes.groupBy("s").agg(F.sum("t").alias("t")), "mix-sources")
+    few = per.limit(SMALL_SOURCES + 1).collect()
+    kinds = per.filter("t > 0").groupBy("t").agg(F.count("*").alias("n")).orderBy("t").toArrow()
+    plan = solve_counts(kinds.column("t").to_numpy(), kinds.column("n").to_numpy(), entropy_share=entropy_share, max_epochs=max_epochs, budget=budget)
+    if len(few) <= SMALL_SOURCES:
+        held = [(r.s, r.t, (r.t / plan.top) ** plan.exponent / plan.norm if r.t else 0.0) for r in sorted(few, key=lambda r: (r.t == 0, r.s))]
+        plan = replace(plan, rows=tuple((s, n, x, plan.budget * x) for s, n, x in held))
+    t, share = F.col("t"), F.pow(F.col("t") / F.lit(plan.top), F.lit(plan.exponent)) / F.lit(plan.norm)
+    quota = per.withColumn("b", F.when(t > 0, F.lit(plan.budget) * share).otherwise(F.lit(0.0))) \
+        .withColumn("epochs", F.when(t > 0, F.floor(F.col("b") / t + F.lit(1e-9))).otherwise(F.lit(1)).cast("int")) \
+        .withColumn("over", F.when(t > 0, F.greatest(F.lit(0.0), F.col("b") - F.col("epochs") * t)).otherwise(F.lit(0.0)))
+    quota = materialize(quota.select("s", "epochs", F.when(F.col("over") > 1e-6 * t, F.col("over")).otherwise(F.lit(0.0)).alias("rest"),
+                                     F.greatest(F.lit(1), F.ceil(t / F.lit(block_tokens))).cast("int").alias("blocks")), "mix-quota")
 
     # the partial epoch: order the blocks, take those that fit, cut the one at the edge
-    dealt = (sizes.join(F.broadcast(quota.filter("rest > 0")), "s")     # one row per source
+    dealt = (sizes.join(_small(quota.filter("rest > 0")), "s")
              .withColumn("b", F.pmod(F.xxhash64(F.lit(SEED), "i", "h"), F.col("blocks"))))
     key = F.xxhash64(F.lit(SEED), "s", "epochs", "b")
     blocks = dealt.groupBy("s", "epochs", "rest", "b").agg(F.sum("t").alias("t")).withColumn("o", key)
@@ -144,27 +166,29 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
             .select("s", F.col("b").alias("edge_b"), F.col("o").alias("edge_o"), (F.col("rest") - F.col("before")).alias("left")))
     inner = F.xxhash64(F.lit(SEED + 1), "epochs", "i", "h")
     w2 = Window.partitionBy("s").orderBy("k", "i", "h").rowsBetween(Window.unboundedPreceding, -1)
-    cut = (dealt.join(F.broadcast(edge), "s").filter(F.col("b") == F.col("edge_b")).withColumn("k", inner)
+    edge = materialize(edge, "mix-edge")
+    cut = (dealt.join(_small(edge), "s").filter(F.col("b") == F.col("edge_b")).withColumn("k", inner)
            .withColumn("sum", F.coalesce(F.sum("t").over(w2), F.lit(0))).filter(F.col("sum") < F.col("left"))
            .groupBy("s").agg(F.max(F.struct("k", "i", "h")).alias("last")))
-    edges = quota.join(edge, "s", "left").join(cut, "s", "left").collect()      # one row per source
-    marks = spark.createDataFrame(
-        [(r.s, r.epochs, r.blocks, r.edge_b, r.edge_o, None if r["last"] is None else r["last"].k,
-          None if r["last"] is None else r["last"].i, None if r["last"] is None else r["last"].h) for r in edges],
-        "_ms string, _me int, _mb int, _mx long, _mo long, _mk long, _mi string, _mh long")
+    # names that no column of docs begins with
+    p = next(x for x in (f"mix{i}_" for i in range(len(docs.columns) + 1)) if not any(c.lower().startswith(x) for c in docs.columns))
+    marks = quota.join(edge, "s", "left").join(cut, "s", "left").select(
+        F.col("s").alias(p + "s"), F.col("epochs").alias(p + "e"), F.col("blocks").alias(p + "b"), F.col("edge_b").cast("long").alias(p + "x"),
+        F.col("edge_o").alias(p + "o"), F.col("last.k").alias(p + "k"), F.col("last.i").alias(p + "i"), F.col("last.h").alias(p + "h"))
+    marks = materialize(marks, "mix-marks")
+    m = lambda n: F.col(p + n)
     i, h = F.col(id_col).cast("string"), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    b = F.pmod(F.xxhash64(F.lit(SEED), i, h), F.col("_mb"))
-    o = F.xxhash64(F.lit(SEED), F.col("_ms"), F.col("_me"), b)
-    k = F.xxhash64(F.lit(SEED + 1), F.col("_me"), i, h)
-    first = F.struct(o.alias("a"), b.alias("b")) < F.struct(F.col("_mo").alias("a"), F.col("_mx").alias("b"))
-    inside = (b == F.col("_mx")) & (F.struct(k.alias("k"), i.alias("i"), h.alias("h"))
-                                    <= F.struct(F.col("_mk").alias("k"), F.col("_mi").alias("i"), F.col("_mh").alias("h")))
-    partial = F.when(F.col("_mx").isNull(), 0).otherwise(F.when(first, 1).otherwise(F.coalesce(F.when(inside, 1), F.lit(0))))
-    keep = [c for c in docs.columns if c not in ("mix_epochs", "mix_block", "mix_key")]
-    # at most MAX_SOURCES small rows
-    out = docs.join(F.broadcast(marks), src == F.col("_ms")).withColumns(
-        {"mix_epochs": F.col("_me") + partial, "mix_block": b, "mix_key": F.struct(i.alias("i"), h.alias("h"))})
-    return out.select(*keep, "mix_epochs", "mix_block", "mix_key"), plan
+    b = F.pmod(F.xxhash64(F.lit(SEED), i, h), m("b"))
+    o = F.xxhash64(F.lit(SEED), m("s"), m("e"), b)
+    k = F.xxhash64(F.lit(SEED + 1), m("e"), i, h)
+    first = F.struct(o.alias("a"), b.alias("b")) < F.struct(m("o").alias("a"), m("x").alias("b"))
+    inside = (b == m("x")) & (F.struct(k.alias("k"), i.alias("i"), h.alias("h"))
+                              <= F.struct(m("k").alias("k"), m("i").alias("i"), m("h").alias("h")))
+    partial = F.when(m("x").isNull(), 0).otherwise(F.when(first, 1).otherwise(F.coalesce(F.when(inside, 1), F.lit(0))))
+    keep = [c for c in docs.columns if c.lower() not in ("mix_epochs", "mix_block", "mix_key")]
+    out = docs.join(_small(marks), src == m("s")).select(
+        *keep, (m("e") + partial).alias("mix_epochs"), b.alias("mix_block"), F.struct(i.alias("i"), h.alias("h")).alias("mix_key"))
+    return out, plan
 
 
 def realise(mixed: DataFrame) -> DataFrame:

@@ -144,8 +144,12 @@ def encode_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                      path: str = MODEL_FILE) -> DataFrame:
     """doc_id, the columns of ``keep``, n_pieces, ids, ids_sha256 (little-endian int32) and
     round_trip (measured: the ids are decoded again and compared with the text): one row per
-    row. Rows come back in small batches, so a task holds a block at a time."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), *keep, F.coalesce(F.col(text_col), F.lit("")).alias("piece_text"))
+    row. A kept column with the name of one of these comes back as ``<name>_in``. Rows come back in small
+    batches, so a task holds a block at a time."""
+    own = {"doc_id", "n_pieces", "ids", "ids_sha256", "round_trip"}
+    named = {k: f"{k}_in" if k.lower() in own else k for k in keep}
+    text = next(n for n in (f"piece_text{i}" for i in range(len(keep) + 1)) if n not in {k.lower() for k in named.values()})
+    rows = docs.select(F.col(id_col).alias("doc_id"), *[F.col(k).alias(n) for k, n in named.items()], F.coalesce(F.col(text_col), F.lit("")).alias(text))
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("n_pieces", T.IntegerType()),
                            T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("ids_sha256", T.StringType()),
                            T.StructField("round_trip", T.BooleanType())])

@@ -264,3 +264,102 @@ def test_warc_reader_of_long_and_short_records():
     with pytest.raises(ValueError, match="cut off"):
         list(warc.parse(data[:-3]))
     assert list(warc.parse(b"")) == []
+
+
+# ------------------------------------------------------------------ 4 mixing: the permutation itself
+def _hash(*values):
+    """Spark's xxhash64 of a row: each value with the hash so far as seed."""
+    import xxhash
+    h = 42
+    for v in values:
+        if isinstance(v, str):
+            raw = v.encode()
+        else:
+            n, size = v
+            raw = n.to_bytes(size, "little", signed=True)
+        h = xxhash.xxh64_intdigest(raw, h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _mixed_by_hand(rows, block_tokens, **kw):
+    from tessera.llm import mixing
+    i4, i8 = lambda n: (n, 4), lambda n: (n, 8)
+    name = lambda s: mixing.NO_SOURCE if s is None else s
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    tokens = {}
+    for _, t, s in rows:
+        tokens[name(s)] = tokens.get(name(s), 0) + size(t)
+    plan = mixing.solve(tokens, **kw)
+    out = {}
+    for s, total, _, budget in plan.rows:
+        epochs = math.floor(budget / total + 1e-9) if total else 1
+        rest = max(0.0, budget - epochs * total) if total else 0.0
+        rest = rest if rest > 1e-6 * total else 0.0
+        blocks = max(1, math.ceil(total / block_tokens))
+        own = [(str(i), _hash(t or ""), size(t), (i, t)) for i, t, x in rows if name(x) == s]
+        block = {r: _hash(i4(mixing.SEED), r[0], i8(r[1])) % blocks for r in own}
+        order = lambda b: (_hash(i4(mixing.SEED), s, i4(epochs), i8(b)), b)
+        inner = lambda r: (_hash(i4(mixing.SEED + 1), i4(epochs), r[0], i8(r[1])), r[0], r[1])
+        taken, spent = set(), 0.0
+        for b in sorted(set(block.values()), key=order):
+            if spent >= rest:
+                break
+            whole = sum(r[2] for r in own if block[r] == b)
+            if spent + whole < rest:
+                taken |= {r for r in own if block[r] == b}
+            else:
+                part = 0
+                for r in sorted((r for r in own if block[r] == b), key=inner):
+                    if part < rest - spent:
+                        taken.add(r)
+                    part += r[2]
+            spent += whole
+        for r in own:
+            out[r[3]] = epochs + (r in taken)
+    return plan, out
+
+
+@pytest.mark.parametrize("small", [200_000, 1])
+def test_mixing_equals_the_permutation_by_hand(ready, monkeypatch, small):
+    """Quotas, block order and the edge block; with tables of sources broadcast and joined by a shuffle."""
+    from tessera.llm import mixing
+    monkeypatch.setattr(mixing, "SMALL_SOURCES", small)
+    rnd = random.Random(17)
+    rows = [(i, " ".join("w" + str(rnd.randrange(99)) for _ in range(rnd.randrange(1, 60))), rnd.choice(["a", "b", "b", "b", "c", None])) for i in range(400)]
+    rows += [(900, None, "a"), (901, "", "empty"), (902, " \n", "empty")]
+    schema = "doc_id long, text string, source string"
+    df = ready.createDataFrame([(*r, 1, "m", 2, "k") for r in rows], schema + ", mix0_e int, _me string, mix_order int, mix1_s string").repartition(3)
+    for kw in ({}, {"budget": 9000.0, "max_epochs": 9.0}, {"entropy_share": 0.999, "max_epochs": 50.0}):
+        plan, want = _mixed_by_hand(rows, 200, **kw)
+        mixed, got = mixing.mix(df, block_tokens=200, **kw)
+        assert {(r.doc_id, r.text): r.mix_epochs for r in mixed.collect()} == want
+        assert got.exponent == pytest.approx(plan.exponent, abs=1e-9) and got.budget == pytest.approx(plan.budget)
+        assert len(got.rows) == (len(plan.rows) if small > 100 else 0)
+        assert set(df.columns) <= set(mixed.columns)
+
+
+def test_mixing_of_many_sources_counts_them_together():
+    from tessera.llm import mixing
+    tokens = {f"s{i}": 10 + i % 7 for i in range(3000)}
+    sizes, counts = np.unique(list(tokens.values()), return_counts=True)
+    one, many = mixing.solve(tokens), mixing.solve_counts(sizes, counts)
+    assert one.exponent == pytest.approx(many.exponent) and one.budget == pytest.approx(many.budget) and one.norm == pytest.approx(many.norm)
+
+
+# ------------------------------------------------------------------ 6 and 9: odd columns and rows
+def test_pieces_keep_columns_of_any_name(ready):
+    from tessera.llm import pieces
+    df = ready.createDataFrame([(1, "one two", "p", 7, "q"), (2, None, None, None, None)], "doc_id long, text string, piece_text string, ids int, piece_text0 string")
+    out = pieces.encode_documents(df, keep=("piece_text", "ids", "piece_text0"))
+    assert out.columns == ["doc_id", "piece_text", "ids_in", "piece_text0", "n_pieces", "ids", "ids_sha256", "round_trip"]
+    rows = {r.doc_id: r for r in out.collect()}
+    assert (rows[1].piece_text, rows[1].ids_in, rows[1].piece_text0, rows[1].round_trip) == ("p", 7, "q", True) and rows[2].n_pieces == 0
+
+
+def test_chat_reads_back_records_that_were_not_formatted(ready):
+    from tessera.llm import chat_format
+    df = ready.createDataFrame([(1, '{"what": 1}', "old"), (2, "no json", "old"), (3, None, "old"), (4, '{"prompt": "a", "response": "b"}', "old")],
+                               "conv_id long, record string, chat string")
+    out = chat_format.format_records(df)
+    rows = {r.conv_id: r.r for r in out.select("conv_id", chat_format.read_back(F.col("chat.formatted"), F.col("chat.mask")).alias("r")).collect()}
+    assert rows[4].n_turns == 2 and all(rows[i].n_turns is None for i in (1, 2, 3))
