@@ -37,8 +37,9 @@ def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Temperature mixing within the budget that holds every source whole: rows of small
     sources are read more than once, none is lost."""
     prepare(spark)
-    mixed, _ = mixing.mix(docs)
-    return mixing.realise(mixed).select(*docs.columns)
+    # whole rows travel in a struct, so that no column of theirs meets one of mixing's
+    mixed, _ = mixing.mix(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", "source"))
+    return mixing.realise(mixed).select("row.*")
 
 
 def stage_sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
