@@ -193,8 +193,8 @@ def write(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str
                         chosen.add(d)
                 done += r.add((sh, part), i, record(i, url, payload, d, to if revisit else None, revisit))
         done += r.close()
-        cols = list(zip(*done)) if done else [[]] * 8
         types = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+        cols = list(zip(*done)) if done else [[]] * len(types)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], [x.split()[0] for x in MANIFEST.split(", ")])
 
     with sql_conf(spark, spark__sql__execution__arrow__maxRecordsPerBatch="500"):

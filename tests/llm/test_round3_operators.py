@@ -252,6 +252,9 @@ def test_warc_ranges_follow_ids_however_spread(ready):
     assert 14 <= len(ranges) <= 17 and all(a[2] < b[1] for a, b in zip(ranges, ranges[1:]))
     assert len({r.part for r in manifest if r.part and r.shard >= 0}) >= 8 and len({r.part for r in manifest if r.shard < 0}) >= 3
     assert max(r.records for r in manifest) <= 60
+    # tasks without rows write nothing
+    few = warc.archive_path(ready)
+    assert [r.records for r in warc.write(pages.filter("page_id = 5"), few).collect()] == [1] and warc.read(ready, few).count() == 1
 
 
 def test_warc_reader_of_long_and_short_records():
