@@ -5,6 +5,11 @@ is assembled from JVM-side distributed statistics (Pearson correlation, variance
 means and count): A^T A = (n - 1) Cov + n mu mu^T. The Gram matrix is features x
 features whatever the row count; its eigen-decomposition runs on the driver and the
 projection is a JVM-side dot product per component.
+
+Beyond ``WIDE`` columns no such matrix is made. A basis W of k + ``EXTRA`` columns is improved by
+passes over the rows: tasks add up A^T (A W) over the entries that are not 0, a row per column they touched, and the
+driver makes W orthonormal again (columns x (k + EXTRA) numbers). Ritz values of W^T A^T A W are the squared
+singular values; passes end when the first k change by less than ``TOLERANCE`` or after ``PASSES``.
 """
 
 from __future__ import annotations
@@ -12,10 +17,19 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tessera.operators.boost import _entries, _raw
+from tessera.session import scratch_path, ship
+
+WIDE = 2048
+EXTRA, PASSES, TOLERANCE = 10, 60, 1e-9
 
 
 @dataclass
@@ -31,11 +45,95 @@ class SVDModel:
         return F.array(*comps)
 
     def transform(self, df: DataFrame, input_col: str = "features", output_col: str = "features") -> DataFrame:
+        if self.components.shape[1] > WIDE:
+            return self._transform_wide(df, input_col, output_col)
         projected = self.project_array(vector_to_array(F.col(input_col)))
         return df.withColumn(output_col, array_to_vector(projected))
 
+    def _transform_wide(self, df: DataFrame, input_col: str, output_col: str) -> DataFrame:
+        """The same projection over the entries that are not 0."""
+        spark = df.sparkSession
+        ship(spark)
+        held = spark.sparkContext.broadcast(np.ascontiguousarray(self.components.T))         # columns x k
+        kept = [c for c in df.columns if c != output_col]
+
+        def run(batches):
+            v = held.value
+            k = v.shape[1]
+            for b in batches:
+                n = b.num_rows
+                row, f, x = _entries(b.column(1), b.column(2))
+                out = np.stack([np.bincount(row, x * v[f, j], n) for j in range(k)], 1)
+                ends = pa.array(np.arange(0, n * k + 1, k, dtype=np.int32))
+                parts = [pa.array(np.ones(n, np.int8)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.int32())),
+                         pa.ListArray.from_arrays(ends, pa.array(out.ravel()))]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.StructArray.from_arrays(parts, ["type", "size", "indices", "values"])], ["row", "out"])
+
+        at, values = _raw(F.col(input_col))
+        packed = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), at, values)
+        schema = T.StructType([T.StructField("row", packed.schema["row"].dataType), T.StructField("out", VectorUDT())])
+        return packed.mapInArrow(run, schema).select(*[F.col("row")[c].alias(c) for c in kept], F.col("out").alias(output_col))
+
+
+def _products(basis):
+    """Rows (column, its part of A^T (A W)) of the columns a batch touches."""
+    def run(batches):
+        w = basis.value
+        width = w.shape[1]
+        for b in batches:
+            row, f, x = _entries(b.column(0), b.column(1))
+            if not len(f):
+                continue
+            aw = np.stack([np.bincount(row, x * w[f, j], b.num_rows) for j in range(width)], 1)
+            used, place = np.unique(f, return_inverse=True)
+            z = np.stack([np.bincount(place, x * aw[row, j], len(used)) for j in range(width)], 1)
+            ends = pa.array(np.arange(0, len(used) * width + 1, width, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.ListArray.from_arrays(ends, pa.array(z.ravel()))], ["f", "z"])
+
+    return run
+
+
+def _fit_wide(df: DataFrame, input_col: str, k: int, p: int) -> SVDModel:
+    spark = df.sparkSession
+    ship(spark)
+    path = scratch_path(spark, "svd-rows")
+    df.select(*_raw(F.col(input_col))).write.parquet(path)                     # read by every pass
+    rows = spark.read.schema("at array<int>, v array<double>").parquet(path)
+    width = min(p, k + EXTRA)
+    w = np.linalg.qr(np.random.default_rng(0).standard_normal((p, width)))[0]
+    before = None
+    for _ in range(PASSES):
+        sums = rows.mapInArrow(_products(spark.sparkContext.broadcast(w)), "f int, z array<double>").groupBy("f").agg(
+            *[F.sum(F.col("z")[j]).alias(f"z{j}") for j in range(width)]).toArrow()
+        z = np.zeros((p, width))
+        at = sums.column("f").to_numpy()
+        for j in range(width):
+            z[at, j] = sums.column(f"z{j}").to_numpy()
+        vals, turn = np.linalg.eigh(w.T @ z)
+        order = np.argsort(vals)[::-1]
+        vals, ritz = vals[order], w @ turn[:, order]
+        if before is not None and np.abs(vals[:k] - before).max() <= TOLERANCE * max(vals[0], 1e-300):
+            break
+        before = vals[:k]
+        w = np.linalg.qr(z @ turn[:, order])[0]
+    return SVDModel(_signed(ritz[:, :k].T), np.sqrt(np.maximum(vals[:k], 0.0)))
+
+
+def _signed(comps: np.ndarray) -> np.ndarray:
+    """Deterministic sign: the largest-magnitude entry of each component is positive."""
+    for i in range(comps.shape[0]):
+        j = int(np.argmax(np.abs(comps[i])))
+        if comps[i, j] < 0:
+            comps[i] = -comps[i]
+    return comps
+
 
 def fit_truncated_svd(df: DataFrame, input_col: str, k: int) -> SVDModel:
+    first = df.select(F.unwrap_udt(F.col(input_col)).alias("v")).select(F.coalesce("v.size", F.size("v.values")).alias("p")).first()
+    if first is not None and first.p > WIDE:
+        if k > first.p:
+            raise ValueError(f"{k} components asked of {first.p} columns")
+        return _fit_wide(df, input_col, k, first.p)
     stats = df.select(Summarizer.metrics("mean", "variance", "count").summary(F.col(input_col)).alias("s")).first()["s"]
     mu = np.asarray(stats["mean"].toArray())
     var = np.asarray(stats["variance"].toArray())
@@ -54,10 +152,4 @@ def fit_truncated_svd(df: DataFrame, input_col: str, k: int) -> SVDModel:
     gram = (n - 1.0) * cov + n * np.outer(mu, mu)
     vals, vecs = np.linalg.eigh(gram)
     order = np.argsort(vals)[::-1][:k]
-    comps = vecs[:, order].T
-    # deterministic sign: the largest-magnitude entry of each component is positive
-    for i in range(comps.shape[0]):
-        j = int(np.argmax(np.abs(comps[i])))
-        if comps[i, j] < 0:
-            comps[i] = -comps[i]
-    return SVDModel(comps, np.sqrt(np.maximum(vals[order], 0.0)))
+    return SVDModel(_signed(vecs[:, order].T), np.sqrt(np.maximum(vals[order], 0.0)))

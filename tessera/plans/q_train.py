@@ -191,6 +191,17 @@ def q_truncated_svd(spark, sf_dir):
     return svd.transform(v, "features", "svd").select("vec_id", vector_to_array("svd").alias("components"))
 
 
+@query("truncated_svd_wide")
+def q_truncated_svd_wide(spark, sf_dir):
+    """F9 over as many columns as there are orders: customers' order dates (a column per date) and order counts."""
+    from tessera.operators.dictionary import assemble, fit_dictionary
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("string").alias("day"),
+                                              F.col("o_custkey").cast("string").alias("customer"), (F.col("o_totalprice") / 100000.0).alias("price"))
+    feats = assemble(o, ["price"], ["day", "customer"], fit_dictionary(o, ["day", "customer"]))
+    svd = fit_truncated_svd(feats, "features", 3)
+    return svd.transform(feats, "features", "svd").select("o_orderkey", vector_to_array("svd").alias("components"))
+
+
 @query("assemble", f"""
 WITH src AS (SELECT * FROM ({ORDERS_NA_SQL}) WHERE o_orderstatus IS NOT NULL),
 f AS (SELECT o_orderkey, coalesce(o_totalprice, (SELECT quantile_cont(o_totalprice, 0.5) FROM src)) AS price,
