@@ -58,17 +58,6 @@ def is_missing(df: DataFrame, name: str) -> Column:
     return c.isNull()
 
 
-def nan_to_null(df: DataFrame) -> DataFrame:
-    """Normalise NaN to null in floating columns (one projection)."""
-    out = []
-    for f in df.schema.fields:
-        c = col(f.name)
-        if isinstance(f.dataType, FLOAT_TYPES):
-            c = F.when(F.isnan(c), F.lit(None).cast(f.dataType)).otherwise(c)
-        out.append(c.alias(f.name))
-    return df.select(*out)
-
-
 def na_token_to_null(c: Column) -> Column:
     """A text cell equal to one of the NA tokens becomes null."""
     return F.when(c.isin(*NA_TOKENS), F.lit(None).cast("string")).otherwise(c)
@@ -79,10 +68,6 @@ def numeric_text(c: Column) -> Column:
     return c.rlike(FLOAT_PATTERN) | c.rlike(INF_PATTERN)
 
 
-def text_to_double(c: Column) -> Column:
-    return F.when(numeric_text(c), F.trim(c).try_cast("double"))
-
-
 def source_name(c: Column, default: str = "json-api") -> Column:
     """Last path segment of an uploaded file name, either slash style."""
     last = F.element_at(F.split(F.replace(c, F.lit("\\"), F.lit("/")), "/"), -1)

@@ -29,7 +29,7 @@ from tessera.operators.boost import _entries, _raw
 from tessera.session import scratch_path, ship
 
 WIDE = 2048
-EXTRA, PASSES, TOLERANCE = 10, 60, 1e-9
+EXTRA, PASSES, TOLERANCE = 10, 30, 1e-8
 
 
 @dataclass

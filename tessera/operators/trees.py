@@ -97,11 +97,6 @@ class FlatTrees:
                            lambda acc, t: acc + t["w"] * F.element_at(value, self.leaf_expr(t["r"], x) + 1)) \
             + F.lit(float(self.base))
 
-    def leaves_expr(self) -> Column:
-        """Array of the leaf index reached in every tree (used for per-tree votes)."""
-        x = F.array(*[F.coalesce(col(c).cast("double"), F.lit(float("nan"))) for c in self.features])
-        return F.transform(_ints(self.roots), lambda r: self.leaf_expr(r, x))
-
     def predict(self) -> Column:
         return self.predict_expr()
 
