@@ -130,7 +130,7 @@ def _count_long(order: int):
 def _contexts(docs: DataFrame, order: int) -> DataFrame:
     """k, ctx, total, below, symbols, counts: every context of orders 3 to ``order``; ``below`` is what its
     symbols weigh in the context one byte shorter. Groups have at most 256 rows."""
-    grams = materialize(docs.mapInArrow(_count_long(order), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "ppm-grams")
+    grams = materialize(docs.mapInArrow(_count_long(order), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "ppm-grams", "zstd")
     out = None
     for k in range(order, 2, -1):
         low = F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1))
@@ -141,13 +141,26 @@ def _contexts(docs: DataFrame, order: int) -> DataFrame:
         rows = rows.select(F.lit(k).alias("k"), "ctx", "total", "below", F.col("x.s").alias("symbols"), F.col("x.n").alias("counts"))
         out = rows if out is None else out.unionByName(rows)
         grams = grams.groupBy(low.alias("gram")).agg(F.sum("n").alias("n"))
-    return materialize(out, "ppm-contexts")
+    return materialize(out, "ppm-contexts", "zstd")
+
+
+def _packed(rows: list[tuple]) -> tuple:
+    """(ids, uids, lengths, compressed texts) of rows (id, uid, text)."""
+    ids, uids, texts = zip(*rows)
+    return list(ids), list(uids), [len(t) for t in texts], pa.compress(b"".join(texts), "zstd", asbytes=True)
+
+
+def _unpacked(lengths: list[int], packed: bytes) -> list[bytes]:
+    held = pa.decompress(packed, sum(lengths), "zstd", asbytes=True) if any(lengths) else b""
+    ends = np.cumsum([0, *lengths]).tolist()
+    return [held[a:z] for a, z in zip(ends, ends[1:])]
 
 
 def _ask_contexts(order: int):
-    """Rows (chunk, doc_id, uid, text) and, at the end of a chunk, (chunk, k, ctx) of its distinct contexts."""
-    names = ["chunk", "doc_id", "uid", "t", "k", "ctx"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64()]
+    """Rows (chunk, ids, uids, lengths, texts) of consecutive texts and, at the end of a chunk, (chunk, k, ctx) of its
+    distinct contexts."""
+    names = ["chunk", "ids", "uids", "lengths", "t", "k", "ctx"]
+    types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.int32(), pa.int64()]
 
     def run(batches):
         chunk, size, asked = None, 0, []
@@ -157,7 +170,7 @@ def _ask_contexts(order: int):
             for k in range(order, 2, -1):
                 for i in range(0, len(c), 500_000):
                     part = c[i:i + 500_000]
-                    none = [pa.nulls(len(part), t) for t in types[1:4]]
+                    none = [pa.nulls(len(part), t) for t in types[1:5]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), chunk, np.int64)), *none,
                                                       pa.array(np.full(len(part), k, np.int32)), pa.array(part)], names)
                 c = np.unique(c & ((1 << 8 * (k - 1)) - 1))
@@ -168,7 +181,7 @@ def _ask_contexts(order: int):
                 part = [(i, u, t.lower()) for i, u, t in part]
                 if chunk is None:
                     chunk = part[0][1]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*[(chunk, *r, None, None) for r in part]), types)], names)
+                yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip((chunk, *_packed(part), None, None), types)], names)
                 asked.append(np.unique(long_keys([t for _, _, t in part], order)[0] >> 8))
                 size += sum(len(t) for _, _, t in part)
                 if size >= CHUNK_BYTES:
@@ -264,13 +277,15 @@ def _long_scores(order: int, table, base):
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
         long, logp, low = _Long(found, order), table.value, base.value
         del found
-        scores = []
-        for part in chunks((x.as_py() for x in docs.column("t")), len, LONG_BLOCK_BYTES):
+        scores, uids = [], []
+        for i in range(docs.num_rows):
+            uids += docs.column("uids")[i].as_py()
+            part = _unpacked(docs.column("lengths")[i].as_py(), docs.column("t")[i].as_py())
             key, starts = long_keys(part, order)
             u, at = np.unique(key, return_inverse=True)
             scores += np.add.reduceat(long.costs(u, logp, *low)[at], starts).tolist()
         tidy()
-        return pa.table({"uid": docs.column("uid"), "score": pa.array(scores, pa.float64())})
+        return pa.table({"uid": pa.array(uids, pa.int64()), "score": pa.array(scores, pa.float64())})
 
     return run
 
@@ -385,12 +400,21 @@ def score_documents(docs: DataFrame, model: PpmModel, *, id_col: str = "doc_id",
     model_order = model.order
     fields = "doc_id long, uid long, n_tokens long, n_known long, base double, score double, rare array<binary>, times array<int>"
 
+    def plain(batches):
+        for b in batches:
+            yield b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()
+
+    def unpacked(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                ids, uids, lengths, packed = (b.column(j)[i].as_py() for j in range(4))
+                yield ids, uids, _unpacked(lengths, packed)
+
     def score(batches):
         logp, get = table.value, heavy.value.get
-        for b in batches:
-            ids, uids = b.column(0).to_pylist(), b.column(1).to_pylist()
+        for ids, uids, whole in (plain if model_order == 2 else unpacked)(batches):
             rows, at = [], 0
-            for part in chunks(b.column(2).to_pylist(), len, BLOCK_BYTES):
+            for part in chunks(whole, len, BLOCK_BYTES):
                 part = [t.lower() for t in part]
                 total = np.zeros(len(part))
                 if model_order == 2:
@@ -415,18 +439,19 @@ def score_documents(docs: DataFrame, model: PpmModel, *, id_col: str = "doc_id",
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("uid"), utf8(F.col(text_col)).alias("t"))
     if model.order > 2:
-        chunked = materialize(texts.mapInArrow(_ask_contexts(model.order), "chunk long, doc_id long, uid long, t binary, k int, ctx long"), "ppm-chunks")
-        texts = chunked.filter("k is null").select("chunk", "doc_id", "uid", "t")
+        chunked = materialize(texts.mapInArrow(_ask_contexts(model.order), "chunk long, ids array<long>, uids array<long>, lengths array<long>, t binary, k int, ctx long"), "ppm-chunks", "zstd")
+        texts = chunked.filter("k is null").select("chunk", "ids", "uids", "lengths", "t")
         found = chunked.filter("k is not null").select(F.col("chunk").alias("asker"), "k", "ctx").join(model.contexts, ["k", "ctx"])
         base = spark.sparkContext.broadcast(model.base)                        # 3 MB
-        long = materialize(texts.groupBy("chunk").cogroup(found.groupBy("asker")).applyInArrow(
+        long = materialize(texts.drop("ids").groupBy("chunk").cogroup(found.groupBy("asker")).applyInArrow(
             _long_scores(model.order, table, base), "uid long, score double"), "ppm-long")
         texts = texts.drop("chunk")
     first = materialize(texts.mapInArrow(score, fields), "ppm-scored")
-    if model.order > 2:
-        first = first.drop("score").join(long, "uid")
     rare = first.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select(
         "uid", F.col("x.rare").alias("word"), F.col("x.times").alias("k"))
+    first = first.drop("rare", "times")
+    if model.order > 2:
+        first = first.drop("score").join(long, "uid")
     c = F.coalesce(F.col("c"), F.lit(0))
     rest = (rare.join(model.words, "word", "left").groupBy("uid")
             .agg(F.sum(F.col("k") * F.log10((c + 0.5) / F.lit(float(spread)))).alias("base2"),

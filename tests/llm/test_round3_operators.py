@@ -366,3 +366,16 @@ def test_chat_reads_back_records_that_were_not_formatted(ready):
     out = chat_format.format_records(df)
     rows = {r.conv_id: r.r for r in out.select("conv_id", chat_format.read_back(F.col("chat.formatted"), F.col("chat.mask")).alias("r")).collect()}
     assert rows[4].n_turns == 2 and all(rows[i].n_turns is None for i in (1, 2, 3))
+
+
+def test_ppm_packs_texts_and_joins_scores_once(spark):
+    from tessera.llm import ppm
+    rows = [(1, 10, b"ab c"), (None, 11, b""), (3, 12, "é".encode() * 50)]
+    ids, uids, lengths, packed = ppm._packed(rows)
+    assert list(zip(ids, uids, ppm._unpacked(lengths, packed))) == rows
+    assert ppm._unpacked(*ppm._packed([(1, 1, b""), (2, 2, b"")])[2:]) == [b"", b""]
+    docs = spark.createDataFrame([(i, f"some words {i} here" * (i % 3)) for i in range(40)] + [(40, None)], "doc_id long, text string")
+    out = ppm.score_documents(docs, ppm.fit(docs, ~ppm.held_out(F.col("doc_id")), order=4))
+    # rare words are taken from the scored rows alone, not from their join with the long scores
+    assert len(re.findall(r"Relation \[uid#\d+L?,score#\d+\] parquet", out._jdf.queryExecution().optimizedPlan().toString())) == 1
+    assert out.count() == 41 and out.filter("score is null").count() == 0
