@@ -42,3 +42,27 @@ def test_wide_and_narrow_agree(spark, monkeypatch):
     assert np.allclose(narrow.components, wide.components, atol=1e-4)
     with pytest.raises(ValueError):
         svd.fit_truncated_svd(df, "features", 41)
+
+
+def test_wide_passes_send_products_not_columns_to_the_driver(spark, monkeypatch):
+    a = _matrix()
+    rows = [(SparseVector(a.shape[1], np.flatnonzero(x).tolist(), x[np.flatnonzero(x)].tolist()),) for x in a]
+    df = spark.createDataFrame(rows, ["features"]).repartition(3)
+    monkeypatch.setattr(svd, "BLOCK_ENTRIES", 5000)           # several blocks a task
+    from pyspark.sql.classic.dataframe import DataFrame
+    seen = []
+    whole = DataFrame.toArrow
+    monkeypatch.setattr(DataFrame, "toArrow", lambda self: (lambda t: (seen.append(t.num_rows), t)[1])(whole(self)))
+    m = svd.fit_truncated_svd(df, "features", 4)
+    assert np.allclose(m.singular_values, np.linalg.svd(a, compute_uv=False)[:4], rtol=1e-6)
+    assert len(seen) == 1                                     # the model's components; before, a table of columns a pass
+
+
+def test_wide_without_enough_directions(spark):
+    for n in (0, 2):
+        rows = [(SparseVector(3000, [i, 2500], [1.0, 2.0]),) for i in range(n)] + [(SparseVector(3000, [], []),)] * 3
+        df = spark.createDataFrame(rows, ["features"])
+        m = svd.fit_truncated_svd(df, "features", 3)
+        a = np.asarray([r[0].toArray() for r in rows])
+        assert np.allclose(m.singular_values, np.linalg.svd(a, compute_uv=False)[:3], atol=1e-7)
+        assert np.allclose(m.components @ m.components.T, np.eye(3), atol=1e-9)
