@@ -76,3 +76,18 @@ def test_train_without_keys_uses_whole_rows(spark):
                               cv_folds=3))
     assert res.oof.count() == df.count()
     assert res.metrics.first()["r2"] is not None
+
+
+def test_training_passes_have_a_task_per_slot(spark, monkeypatch):
+    from tessera.operators import train as t
+    from tessera.session import sql_conf
+    df = spark.range(400).selectExpr("id", "id % 7 as a", "id % 7 + 0.5 as y")
+    spec = t.TrainSpec(features=["a"], target="y", algorithm="linear_regression", key_cols=["id"])
+    seen, fit = [], t.fit_pipeline
+    monkeypatch.setattr(t, "fit_pipeline", lambda data, *a: (seen.append(data.rdd.getNumPartitions()), fit(data, *a))[1])
+    with sql_conf(spark, spark__sql__shuffle__partitions="50", spark__sql__adaptive__enabled="false"):
+        slots = spark.sparkContext.defaultParallelism
+        assert t.train(df, spec).oof.count() == 400
+        assert len(seen) == 6 and max(seen) <= slots
+        monkeypatch.setattr(t, "ROWS_PER_TASK", 400 // (2 * slots))
+        assert t.fit_partitions(df) >= 2 * slots
