@@ -78,3 +78,18 @@ def test_pruned_forest_survives_save_and_load(spark):
     a = m.transform(data).select("p_partkey", F.col("prediction").alias("a"))
     b = again.transform(data).select("p_partkey", F.col("prediction").alias("b"))
     assert a.join(b, "p_partkey").filter(F.abs(F.col("a") - F.col("b")) > 1e-12).count() == 0
+
+
+def test_classifiers_score_in_a_session_that_has_observed(spark):
+    """A binary classifier's training summary holds the session, which cannot be sent to tasks once a query was observed."""
+    from pyspark.sql import Observation
+    from tessera.operators.train import TrainSpec, fit_pipeline, prepare_training_frame
+    seen = Observation()
+    spark.range(5).observe(seen, F.count("*").alias("n")).collect()
+    assert seen.get["n"] == 5
+    df = spark.range(60).selectExpr("id", "id % 7 as x", "if(id % 7 > 3, 'a', 'b') as y")
+    for algorithm, hp in (("random_forest_classifier", {"n_estimators": "3", "max_depth": "3"}), ("logistic_regression", {})):
+        spec = TrainSpec(features=["x"], target="y", problem_type="classification", algorithm=algorithm, hyperparameters=hp, key_cols=["id"])
+        data, num, cat, labels = prepare_training_frame(df, spec)
+        out = fit_pipeline(data, spec, num, cat, labels).transform(data)
+        assert out.filter(F.col("prediction") != F.col("y")).count() == 0
