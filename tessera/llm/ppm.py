@@ -16,10 +16,11 @@ table of costs is what each scoring task holds. Bytes that no training text hold
 so the table has a row for each byte that occurs and one for all others (at most 64 MB).
 
 Longer orders (``order`` 3 to 6; ``ORDER`` in the query) follow the same rules. Their contexts grow with the
-corpus and stay in Spark: tasks count the longest grams, shorter ones are sums of them, and every
+corpus and stay in Spark: tasks count the longest grams, shorter ones (trigrams too) are sums of them, and every
 context is a row with its symbols' counts and the mass of those symbols one order below (which
 exclusion takes away there). Texts are scored in chunks of about ``CHUNK_BYTES``; a chunk asks for its distinct contexts
-by a join, and meets the answers in one task, where orders 0 to 2 come from the table.
+by a join, and meets the answers in one task, where orders 0 to 2 come from the table and each distinct gram
+of the chunk is costed once.
 
 The base model counts words (one end token per text). Words that make up at least one in
 ``HEAVY`` training tokens are at most that many and are broadcast; all rarer words are
@@ -33,7 +34,6 @@ separately and alike.
 from __future__ import annotations
 
 import math
-from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -42,7 +42,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import chunks, fold_of, materialize, tidy, utf8
+from tessera.llm.common import SPACE, chunks, fold_of, materialize, tidy, utf8
 
 BOUND = b"\xff"
 N_KEYS = 1 << 24
@@ -54,6 +54,7 @@ FLUSH_GRAMS = 2_000_000      # distinct long grams a counting task holds
 HEAVY = 1_000_000            # at most so many words are broadcast
 HEAVY_BYTES = 64             # longer words always go through the join
 FLUSH_WORDS = 300_000        # distinct words a counting task holds
+IS_SPACE = np.isin(np.arange(256), list(SPACE))
 
 
 def byte_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -84,6 +85,29 @@ def add_counts(key: np.ndarray, total: np.ndarray) -> None:
     total[(used[at // (m * m)] << 16) | (used[at // m % m] << 8) | used[at % m]] += n[at]
 
 
+def tokens(texts: list[bytes]) -> tuple[pa.BinaryArray, np.ndarray]:
+    """The words of all texts end to end, each text's followed by its end (the empty word), and each text's first one."""
+    a = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
+    space = IS_SPACE[a]
+    edge = np.flatnonzero(np.diff(space, prepend=True, append=True))            # a word starts, it ends, the next one starts
+    starts, ends = edge[::2], edge[1::2]
+    bounds = np.cumsum([0] + [len(t) + 1 for t in texts])
+    count = np.diff(np.searchsorted(starts, bounds)) + 1
+    first = np.cumsum(count) - count
+    offsets = np.zeros(len(starts) + len(texts) + 1, np.int32)
+    word = np.ones(len(offsets) - 1, bool)
+    word[first + count - 1] = False
+    offsets[1:][word] = ends - starts
+    np.cumsum(offsets, out=offsets)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(word), [None, pa.py_buffer(offsets), pa.py_buffer(a[~space])]), first
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values in order (for many copies a plain sort beats ``np.unique``)."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def long_keys(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys of ``order`` context bytes and the next byte at every byte and end of the texts, and
     each text's first one."""
@@ -127,10 +151,14 @@ def _count_long(order: int):
     return run
 
 
-def _contexts(docs: DataFrame, order: int) -> DataFrame:
+def _long_grams(docs: DataFrame, order: int) -> DataFrame:
+    """gram, n: ``order`` context bytes and the next byte."""
+    return materialize(docs.mapInArrow(_count_long(order), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "ppm-grams", "zstd")
+
+
+def _contexts(grams: DataFrame, order: int) -> DataFrame:
     """k, ctx, total, below, symbols, counts: every context of orders 3 to ``order``; ``below`` is what its
     symbols weigh in the context one byte shorter. Groups have at most 256 rows."""
-    grams = materialize(docs.mapInArrow(_count_long(order), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "ppm-grams", "zstd")
     out = None
     for k in range(order, 2, -1):
         low = F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1))
@@ -166,14 +194,14 @@ def _ask_contexts(order: int):
         chunk, size, asked = None, 0, []
 
         def asks():
-            c = np.unique(np.concatenate(asked))
+            c = distinct(np.concatenate(asked))
             for k in range(order, 2, -1):
                 for i in range(0, len(c), 500_000):
                     part = c[i:i + 500_000]
                     none = [pa.nulls(len(part), t) for t in types[1:5]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), chunk, np.int64)), *none,
                                                       pa.array(np.full(len(part), k, np.int32)), pa.array(part)], names)
-                c = np.unique(c & ((1 << 8 * (k - 1)) - 1))
+                c = distinct(c & ((1 << 8 * (k - 1)) - 1))
 
         for b in batches:
             rows = zip(*(b.column(i).to_pylist() for i in range(3)))
@@ -182,7 +210,7 @@ def _ask_contexts(order: int):
                 if chunk is None:
                     chunk = part[0][1]
                 yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip((chunk, *_packed(part), None, None), types)], names)
-                asked.append(np.unique(long_keys([t for _, _, t in part], order)[0] >> 8))
+                asked.append(distinct(long_keys([t for _, _, t in part], order)[0] >> 8))
                 size += sum(len(t) for _, _, t in part)
                 if size >= CHUNK_BYTES:
                     yield from asks()
@@ -278,50 +306,66 @@ def _long_scores(order: int, table, base):
         long, logp, low = _Long(found, order), table.value, base.value
         del found
         scores, uids = [], []
+        grams, costs = np.zeros(0, np.int64), np.zeros(0)          # the chunk's grams so far, in order, and what they cost
         for i in range(docs.num_rows):
             uids += docs.column("uids")[i].as_py()
             part = _unpacked(docs.column("lengths")[i].as_py(), docs.column("t")[i].as_py())
             key, starts = long_keys(part, order)
-            u, at = np.unique(key, return_inverse=True)
-            scores += np.add.reduceat(long.costs(u, logp, *low)[at], starts).tolist()
+            coded = pc.dictionary_encode(pa.array(key))
+            u = coded.dictionary.to_numpy()
+            by = np.argsort(u)
+            new = u[by][~_at(grams, u[by])[1]]
+            spot = np.searchsorted(grams, new)
+            grams, costs = np.insert(grams, spot, new), np.insert(costs, spot, long.costs(new, logp, *low))
+            cost = np.empty(len(u))
+            cost[by] = costs[_at(grams, u[by])[0]]
+            scores += np.add.reduceat(cost[coded.indices.to_numpy()], starts).tolist()
         tidy()
         return pa.table({"uid": pa.array(uids, pa.int64()), "score": pa.array(scores, pa.float64())})
 
     return run
 
 
-def count_corpus(batches):
-    """Partition-wise counts: rows (gram, null, n) and (null, word, n)."""
-    grams = np.zeros(N_KEYS, np.int64)
-    words: Counter = Counter()
-
-    def word_rows():
-        w = list(words.items())
-        words.clear()
-        for i in range(0, len(w), 200_000):
-            part = w[i:i + 200_000]
-            yield pa.RecordBatch.from_pydict({"gram": pa.nulls(len(part), pa.int32()),
-                                              "word": pa.array([x for x, _ in part], pa.binary()),
-                                              "n": pa.array([n for _, n in part], pa.int64())})
-
-    for b in batches:
-        for part in chunks(b.column(0).to_pylist(), len, BLOCK_BYTES):
-            part = [t.lower() for t in part]
-            key, _ = byte_keys(part)
-            add_counts(key, grams)
-            for t in part:
-                words.update(t.split())
-            words[b""] += len(part)                       # the end token
-            if len(words) > FLUSH_WORDS:
-                yield from word_rows()
-    yield from word_rows()
-    at = np.flatnonzero(grams)
-    for i in range(0, len(at), 500_000):
-        k = at[i:i + 500_000]
-        yield pa.RecordBatch.from_pydict({"gram": pa.array(k.astype(np.int32)), "word": pa.nulls(len(k), pa.binary()),
-                                          "n": pa.array(grams[k])})
-    del grams
-    tidy()
+def _count_corpus(order: int):
+    """Partition-wise counts: rows (null, word, n) and, for order 2, (gram, null, n)."""
+    def run(batches):
+        grams = np.zeros(N_KEYS if order == 2 else 0, np.int64)
+        held, total = [], 0
+
+        def sums():
+            added = pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")])
+            return pa.table({"word": added.column("word"), "n": added.column("n_sum")})
+
+        def out(words):
+            for b in words.to_batches(200_000):
+                yield pa.RecordBatch.from_arrays([pa.nulls(b.num_rows, pa.int32()), b.column("word"), b.column("n")], ["gram", "word", "n"])
+
+        for b in batches:
+            for part in chunks(b.column(0).to_pylist(), len, BLOCK_BYTES):
+                part = [t.lower() for t in part]
+                if order == 2:
+                    add_counts(byte_keys(part)[0], grams)
+                found = pc.value_counts(tokens(part)[0])
+                held.append(pa.table({"word": found.field("values"), "n": found.field("counts")}))
+                total += len(found)
+                if total > 2 * FLUSH_WORDS:
+                    held = [sums()]
+                    total = held[0].num_rows
+                    if total > FLUSH_WORDS:
+                        yield from out(held[0])
+                        held, total = [], 0
+        if held:
+            yield from out(sums())
+        held.clear()
+        at = np.flatnonzero(grams)
+        for i in range(0, len(at), 500_000):
+            k = at[i:i + 500_000]
+            yield pa.RecordBatch.from_pydict({"gram": pa.array(k.astype(np.int32)), "word": pa.nulls(len(k), pa.binary()),
+                                              "n": pa.array(grams[k])})
+        del grams
+        tidy()
+
+    return run
 
 
 def costs_below(last: int | None, c2: np.ndarray, c0: np.ndarray) -> np.ndarray:
@@ -357,12 +401,15 @@ def fit(docs: DataFrame, train: Column, *, text_col: str = "text", order: int =
     """Gather the model from all rows of ``docs`` where ``train`` holds."""
     if not 2 <= order <= 6:
         raise ValueError("order must be 2 to 6")
-    counts = materialize(docs.filter(train).select(utf8(F.col(text_col)).alias("t"))
-                         .mapInArrow(count_corpus, "gram int, word binary, n long"), "ppm-counts")
-    grams = counts.filter("gram is not null").groupBy("gram").agg(F.sum("n").alias("n"))
+    texts = docs.filter(train).select(utf8(F.col(text_col)).alias("t"))
+    counts = materialize(texts.mapInArrow(_count_corpus(order), "gram int, word binary, n long"), "ppm-counts")
+    long = _long_grams(texts, order) if order > 2 else None
+    # a longer gram ends in the trigram at the same place, so their sums are the trigrams' counts
+    parts = counts.filter("gram is not null") if long is None else long.select(F.col("gram").bitwiseAND(F.lit(N_KEYS - 1)).cast("int").alias("gram"), "n")
+    grams = parts.groupBy("gram").agg(F.sum("n").alias("n"))
     sym = F.col("gram").bitwiseAND(255)
     c0 = np.zeros(256)
-    for r in counts.filter("gram is not null").groupBy(sym.alias("s")).agg(F.sum("n").alias("n")).collect():   # 256 rows
+    for r in parts.groupBy(sym.alias("s")).agg(F.sum("n").alias("n")).collect():   # 256 rows
         c0[r.s] = r.n
 
     def table_of(rows: pd.DataFrame) -> pd.DataFrame:
@@ -382,7 +429,7 @@ def fit(docs: DataFrame, train: Column, *, text_col: str = "text", order: int =
         total2[:, r["last"]] = np.frombuffer(r.total, np.float64)
         seen2[:, r["last"], :] = np.frombuffer(r.seen, np.uint8).reshape(256, 32)
     kinds2 = np.unpackbits(seen2, axis=2).sum(axis=2).astype(np.float64)
-    contexts = _contexts(docs.filter(train).select(utf8(F.col(text_col)).alias("t")), order) if order > 2 else None
+    contexts = _contexts(long, order) if order > 2 else None
 
     words = materialize(counts.filter("word is not null").groupBy("word").agg(F.sum("n").alias("c")), "ppm-words")
     total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
@@ -413,7 +460,7 @@ def score_documents(docs: DataFrame, model: PpmModel, *, id_col: str = "doc_id",
     def score(batches):
         logp, get = table.value, heavy.value.get
         for ids, uids, whole in (plain if model_order == 2 else unpacked)(batches):
-            rows, at = [], 0
+            at = 0
             for part in chunks(whole, len, BLOCK_BYTES):
                 part = [t.lower() for t in part]
                 total = np.zeros(len(part))
@@ -422,20 +469,22 @@ def score_documents(docs: DataFrame, model: PpmModel, *, id_col: str = "doc_id",
                     cost = logp[key]
                     cost[key < 0] = 0.0
                     total = np.add.reduceat(cost, starts)
-                for t, s in zip(part, total):
-                    words = t.split()
-                    words.append(b"")
-                    known = list(map(get, words))
-                    x = np.asarray(known, dtype=np.float64)
-                    miss = np.isnan(x)
-                    rare = Counter(words[i] for i in np.flatnonzero(miss))
-                    rows.append((ids[at], uids[at], len(words), int(len(words) - miss.sum()), float(x[~miss].sum()), float(s),
-                                 list(rare.keys()), list(rare.values())))
-                    at += 1
-            cols = list(zip(*rows)) if rows else [[]] * 8
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()))
-            names = ("doc_id", "uid", "n_tokens", "n_known", "base", "score", "rare", "times")
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], list(names))
+                words, first = tokens(part)
+                coded = words.dictionary_encode()
+                code, names = coded.indices.to_numpy(), coded.dictionary
+                x = np.asarray(list(map(get, names.to_numpy(zero_copy_only=False))), dtype=np.float64)[code]
+                miss = np.isnan(x)
+                n = np.diff(np.append(first, len(x)))
+                # the rare words of each text, each once
+                rare, times = np.unique(np.repeat(np.arange(len(part)), n)[miss] * len(names) + code[miss], return_counts=True)
+                ends = pa.array(np.searchsorted(rare, np.arange(len(part) + 1) * len(names)), pa.int32())
+                cols = (pa.array(ids[at:at + len(part)], pa.int64()), pa.array(uids[at:at + len(part)], pa.int64()), pa.array(n, pa.int64()),
+                        pa.array(n - np.add.reduceat(miss.astype(np.int64), first), pa.int64()),
+                        pa.array(np.add.reduceat(np.where(miss, 0.0, x), first)), pa.array(total, pa.float64()),
+                        pa.ListArray.from_arrays(ends, names.take(pa.array(rare % len(names)))),
+                        pa.ListArray.from_arrays(ends, pa.array(times, pa.int32())))
+                yield pa.RecordBatch.from_arrays(list(cols), ["doc_id", "uid", "n_tokens", "n_known", "base", "score", "rare", "times"])
+                at += len(part)
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("uid"), utf8(F.col(text_col)).alias("t"))
     if model.order > 2:
